@@ -65,10 +65,9 @@ def pivot_grid(
     only_value = F.when(F.count(F.lit(1)) == 1, F.first("value")).otherwise(
         F.raise_error(DUPLICATE_CELL).cast("double")
     )
-    by_level = cells.groupBy("level_group")
     if not columns:
-        return by_level.agg().select("level_group")
-    wide = by_level.pivot("date", columns).agg(only_value)
+        return cells.select("level_group").distinct()
+    wide = cells.groupBy("level_group").pivot("date", columns).agg(only_value)
     # Name the day columns explicitly: they are part of the result's schema.
     wide = wide.toDF("level_group", *[d.isoformat() for d in columns])
     return wide.orderBy("level_group") if ordered else wide

@@ -1,0 +1,142 @@
+from datetime import date, datetime
+
+import pytest
+from conftest import attempt, plan
+from pyspark.sql import functions as F
+
+from attempt_grid import (
+    ATTEMPT_COLUMNS,
+    ATTEMPT_SCHEMA,
+    ContractError,
+    canonical_sort,
+    contract_rejects,
+    to_contract,
+)
+from attempt_grid.functions.casts import WHITESPACE
+
+
+def text_frame(spark, *rows):
+    schema = ", ".join(f"{name} string" for name in ATTEMPT_COLUMNS)
+    return spark.createDataFrame(
+        [tuple(row[name] for name in ATTEMPT_COLUMNS) for row in rows], schema
+    )
+
+
+def text_attempt(**changes):
+    row = {name: None if v is None else str(v) for name, v in attempt().items()}
+    return {**row, **changes}
+
+
+def test_projects_exactly_the_contract(spark):
+    source = spark.createDataFrame(
+        [
+            (
+                "ignored", "2026-01-01 00:00:00", "u1", 1, "organic", "payer", 1, 2, "ios", 0,
+                0, 0, 1, 0, "close_fail", "2026-01-01", 10, True,
+            )
+        ],
+        ["extra_column", *ATTEMPT_COLUMNS],
+    )
+    result = to_contract(source)
+    assert result.columns == list(ATTEMPT_COLUMNS)
+    assert [f.dataType for f in result.schema] == [f.dataType for f in ATTEMPT_SCHEMA]
+    row = result.first()
+    assert row["client_time"] == datetime(2026, 1, 1)
+    assert row["partition_date"] == date(2026, 1, 1)
+    assert (row["failed"], row["CF"], row["super_ball"]) == (1, 1, True)
+
+
+def test_missing_columns_are_named_in_order(attempts):
+    frame = attempts(attempt()).drop("super_ball", "level_cohort")
+    with pytest.raises(ContractError, match="Missing required columns: level_cohort, super_ball"):
+        to_contract(frame)
+
+
+@pytest.mark.parametrize(
+    ("text", "number"),
+    [("2.9", 2), (" 3 ", 3), ("1e2", 100), ("-4", -4), (".5", 0), ("7.", 7), ("abc", None), ("", None),
+     ("NaN", None), ("3000000000", None), ("1d", None), ("0x10", None), ("Infinity", None)],
+)
+def test_whole_numbers(spark, text, number):
+    row = to_contract(text_frame(spark, text_attempt(attempt=text))).first()
+    assert row["attempt"] == number
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("true", True), (" T ", True), ("YES", True), ("y", True), ("1", True), ("False", False),
+     ("f", False), ("no", False), ("N", False), ("0", False), ("on", None), ("2", None),
+     ("1.0", None), ("", None)],
+)
+def test_booleans_from_text(spark, text, value):
+    row = to_contract(text_frame(spark, text_attempt(super_ball=text))).first()
+    assert row["super_ball"] is value
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "bigint"])
+def test_booleans_from_numbers(attempts, kind):
+    for number, value in ((1, True), (0, False), (2, None)):
+        frame = attempts(attempt()).withColumn("super_ball", F.lit(number).cast(kind))
+        assert to_contract(frame).first()["super_ball"] is value
+
+
+def test_text_is_trimmed_and_null_text_is_legal(spark):
+    padded = WHITESPACE + "u 1" + WHITESPACE
+    row = to_contract(text_frame(spark, text_attempt(user_id=padded, traffic_type="NULL"))).first()
+    assert (row["user_id"], row["traffic_type"]) == ("u 1", "NULL")
+
+
+def test_days_lose_their_time(spark):
+    row = to_contract(text_frame(spark, text_attempt(partition_date="2026-01-02 23:59:59"))).first()
+    assert row["partition_date"] == date(2026, 1, 2)
+
+
+def test_rejects_carry_the_raw_row_and_every_reason(spark):
+    bad = text_attempt(
+        user_id=" \t", attempt="abc", super_ball="on", client_time="soon",
+        partition_date="2026-01-01 nonsense",
+    )
+    rows = contract_rejects(text_frame(spark, text_attempt(), bad)).collect()
+    assert len(rows) == 1
+    assert rows[0]["attempt"] == "abc"
+    assert rows[0]["reject_reasons"] == [
+        "client_time is not a timestamp",
+        "user_id is empty",
+        "attempt is not a number",
+        "partition_date is not a date",
+        "super_ball is not a boolean",
+    ]
+
+
+def test_null_is_a_violation_in_every_column(spark):
+    nothing = dict.fromkeys(ATTEMPT_COLUMNS)
+    (row,) = contract_rejects(text_frame(spark, nothing)).collect()
+    assert len(row["reject_reasons"]) == len(ATTEMPT_COLUMNS)
+
+
+def test_strict_raises_and_passes(spark):
+    with pytest.raises(ContractError, match="attempt is not a number"):
+        to_contract(text_frame(spark, text_attempt(), text_attempt(attempt="x")), strict=True)
+    assert to_contract(text_frame(spark, text_attempt()), strict=True).count() == 1
+
+
+def test_canonical_sort(attempts):
+    frame = attempts(
+        attempt(user_id="b"),
+        attempt(user_id="a", balance_id=1002),
+        attempt(user_id="a"),
+        attempt(level_cohort=9),
+        attempt(partition_date=date(2025, 12, 31), level_cohort=99),
+    )
+    keys = [(r["partition_date"], r["level_cohort"], r["user_id"], r["balance_id"])
+            for r in canonical_sort(frame).collect()]
+    assert keys == sorted(keys)
+
+
+def test_typed_columns_are_untouched(spark, attempts, tmp_path):
+    attempts(attempt()).write.parquet(str(tmp_path / "t"))
+    stored = to_contract(spark.read.parquet(str(tmp_path / "t")), trim_text=False)
+    text = plan(stored.filter((F.col("payer_type") == "payer") & (F.col("attempt") >= 2)))
+    assert "EqualTo(payer_type,payer)" in text
+    assert "GreaterThanOrEqual(attempt,2)" in text
+    assert "cast" not in text.lower().split("filescan")[0]

@@ -1,0 +1,166 @@
+import math
+from datetime import date
+
+import pytest
+
+from attempt_grid import (
+    cell_details,
+    clamp_values,
+    dense_grid,
+    duplicate_cells,
+    grid_records,
+    mask_low_samples,
+    pivot_grid,
+    value_bounds,
+)
+from attempt_grid.operators.grid import grid_days, normalise_range, require_unique_cells
+
+SCHEMA = (
+    "level_group int, date date, value double, value_count double, sample_count double,"
+    " is_low_sample boolean"
+)
+
+
+def day(n):
+    return date(2026, 1, n)
+
+
+@pytest.fixture
+def cells(spark):
+    def build(*rows):
+        return spark.createDataFrame(
+            [(level, day(d), v, v, v, low) for level, d, v, low in rows], SCHEMA
+        )
+
+    return build
+
+
+@pytest.fixture
+def sparse(cells):
+    return cells((2, 3, 30.0, False), (1, 1, 10.0, True), (1, 2, 20.0, False), (3, 1, None, False))
+
+
+def test_pivot_sorts_both_axes_and_leaves_gaps(sparse):
+    wide = pivot_grid(sparse)
+    assert wide.columns == ["level_group", "2026-01-01", "2026-01-02", "2026-01-03"]
+    assert [tuple(r) for r in wide.collect()] == [
+        (1, 10.0, 20.0, None),
+        (2, None, None, 30.0),
+        (3, None, None, None),
+    ]
+
+
+def test_pivot_takes_the_days_it_is_given(sparse):
+    wide = pivot_grid(sparse, ["2026-01-02", date(2026, 1, 1), "2026-01-09"])
+    assert wide.columns == ["level_group", "2026-01-01", "2026-01-02", "2026-01-09"]
+    assert [tuple(r) for r in wide.collect()][1] == (2, None, None, None)
+
+
+def test_pivot_of_another_column(sparse):
+    assert pivot_grid(sparse, value="sample_count").first()["2026-01-02"] == 20.0
+
+
+def test_pivot_accepts_text_levels_and_timestamps(spark):
+    frame = spark.sql("select '7' level_group, timestamp'2026-01-01 13:00:00' date, '1.5' value")
+    assert [tuple(r) for r in pivot_grid(frame).collect()] == [(7, 1.5)]
+
+
+def test_duplicate_cells_are_an_error(cells):
+    twice = cells((10, 1, 1.0, False), (10, 1, 2.0, False), (11, 1, 1.0, False))
+    assert [tuple(r) for r in duplicate_cells(twice).collect()] == [(10, day(1), 2)]
+    with pytest.raises(Exception, match="exactly one value"):
+        pivot_grid(twice).collect()
+    with pytest.raises(ValueError, match="exactly one value"):
+        require_unique_cells(twice)
+
+
+def test_missing_columns_and_empty_input(cells, sparse):
+    with pytest.raises(ValueError, match="Missing grid columns: date, nothing"):
+        pivot_grid(sparse.drop("date"), value="nothing")
+    empty = pivot_grid(cells())
+    assert empty.columns == ["level_group"] and empty.collect() == []
+    records = grid_records(empty)
+    assert records.columns == ["level_group", "date", "value"] and records.collect() == []
+
+
+def test_records_are_the_pivot_undone(sparse):
+    records = grid_records(pivot_grid(sparse))
+    assert [f.dataType.typeName() for f in records.schema] == ["integer", "date", "double"]
+    assert [tuple(r) for r in records.collect()] == [(1, day(1), 10.0), (1, day(2), 20.0), (2, day(3), 30.0)]
+
+
+@pytest.mark.parametrize("days", [None, [day(1), day(2), day(3)]])
+def test_dense_grid_fills_every_cell(sparse, days):
+    rows = {(r["level_group"], r["date"]): r for r in dense_grid(sparse, days).collect()}
+    assert set(rows) == {(level, day(d)) for level in (1, 2, 3) for d in (1, 2, 3)}
+    assert rows[1, day(1)]["value"] == 10.0 and rows[1, day(1)]["is_low_sample"] is True
+    assert rows[2, day(1)]["value"] is None and rows[2, day(1)]["sample_count"] is None
+
+
+def test_dense_grid_on_other_days_keeps_levels(sparse):
+    rows = dense_grid(sparse, ["2026-01-03", "2026-01-08"]).collect()
+    assert sorted((r["level_group"], r["date"].day, r["value"]) for r in rows if r["value"]) == [(2, 3, 30.0)]
+    assert len(rows) == 6
+
+
+def test_grid_days(sparse):
+    assert grid_days(sparse) == [day(1), day(2), day(3)]
+
+
+def test_masking_and_bounds(cells):
+    masked = mask_low_samples(
+        cells((1, 1, 10.0, True), (1, 2, 20.0, False), (1, 3, 30.0, None), (2, 1, math.nan, False))
+    )
+    shown = {(r["level_group"], r["date"].day): r["visible_value"] for r in masked.collect()}
+    assert (shown[1, 1], shown[1, 2], shown[1, 3]) == (None, 20.0, 30.0)
+    assert tuple(value_bounds(masked).first()) == (20.0, 30.0)
+
+
+def test_bounds_of_nothing(cells):
+    assert tuple(value_bounds(mask_low_samples(cells((1, 1, 5.0, True)))).first()) == (None, None)
+
+
+def test_masked_and_visible_cells_are_all_cells(sparse):
+    dense = mask_low_samples(dense_grid(sparse))
+    hidden = dense.filter("is_low_sample").count()
+    blank = dense.filter("value is null").count()
+    assert hidden + blank + dense.filter("visible_value is not null").count() == dense.count()
+
+
+def test_cell_details(sparse):
+    rows = {(r["level_group"], r["date"].day): r["detail"] for r in cell_details(dense_grid(sparse)).collect()}
+    assert rows[1, 1].asDict() == {
+        "value_count": 10.0, "sample_count": 10.0, "reliability": "мало данных", "value": 10.0
+    }
+    assert rows[2, 1].asDict() == {
+        "value_count": None, "sample_count": None, "reliability": "достаточно", "value": None
+    }
+    assert cell_details(sparse, low="low", enough="ok").first()["detail"]["reliability"] == "ok"
+
+
+@pytest.mark.parametrize(
+    ("selected", "expected"),
+    [((5, 15), (5, 15)), ((15, 5), (5, 15)), ((-9, 99), (0, 20)), (None, (0, 20)), ((1,), (0, 20)),
+     (("a", 3), (0, 20)), ((math.nan, 3), (0, 20)), (("4", "6"), (4, 6)), ((30, 40), (20, 20))],
+)
+def test_normalise_range(selected, expected):
+    assert normalise_range(selected, (0, 20)) == expected
+    assert normalise_range(selected, (20, 0)) == expected
+
+
+@pytest.mark.parametrize("selected", [(5, 15), (15, 5), (-9, 99), None, ("a", 3), (30, 40)])
+@pytest.mark.parametrize("bounds", [None, (10.0, 30.0), (30.0, 10.0)])
+def test_clamping_agrees_with_the_plain_range_rule(cells, selected, bounds):
+    values = [10.0, 12.0, 20.0, 30.0]
+    frame = cells(*[(1, n + 1, v, False) for n, v in enumerate(values)], (2, 1, 7.0, True))
+    low, high = normalise_range(selected, (10.0, 30.0))
+    rows = clamp_values(mask_low_samples(frame), selected, bounds).collect()
+    for row in rows:
+        shown = row["visible_value"]
+        if shown is None:
+            assert row["color_value"] is None and row["color_position"] is None
+        elif low < high:
+            assert row["color_value"] == min(max(shown, low), high)
+            assert row["color_position"] == pytest.approx((row["color_value"] - low) / (high - low))
+        else:
+            assert row["color_value"] == shown and row["color_position"] is None
