@@ -1,0 +1,68 @@
+from datetime import date
+
+from conftest import attempt
+
+from attempt_grid import ProjectTable, dataset_status, latest_partition
+from attempt_grid.operators import health
+
+
+def test_latest_partition(attempts):
+    frame = attempts(attempt(), attempt(partition_date=date(2026, 3, 1)))
+    assert [tuple(r) for r in latest_partition(frame).collect()] == [(date(2026, 3, 1),)]
+    assert latest_partition(frame.limit(0)).first()[0] is None
+
+
+def test_dataset_status(spark, attempts):
+    attempts(attempt()).createOrReplaceTempView("status_full")
+    attempts(attempt()).limit(0).createOrReplaceTempView("status_empty")
+    spark.sql("select raise_error('broken') as partition_date").createOrReplaceTempView("status_broken")
+    status = dataset_status(
+        spark,
+        [
+            ProjectTable("full", "status_full", True),
+            ProjectTable("empty", "status_empty"),
+            ProjectTable("missing", "status_missing"),
+            ProjectTable("broken", "status_broken"),
+        ],
+    )
+    assert [tuple(r) for r in status.collect()] == [
+        ("full", "status_full", True, "2026-01-01"),
+        ("empty", "status_empty", False, None),
+        ("missing", "status_missing", False, "недоступно: AnalysisException"),
+        ("broken", "status_broken", False, "недоступно: SparkRuntimeException"),
+    ]
+
+
+def test_days_without_attempts_show_as_zero(attempts):
+    frame = attempts(
+        attempt(), attempt(), attempt(partition_date=date(2026, 1, 4)), attempt(partition_date=None)
+    )
+    rows = {r["partition_date"].day: r["attempts"] for r in health.attempts_per_day(frame).collect()}
+    assert rows == {1: 2, 2: 0, 3: 0, 4: 1}
+    assert health.attempts_per_day(frame.limit(0)).collect() == []
+
+
+def test_attempts_per_bucket(attempts):
+    rows = health.attempts_per_bucket(attempts(attempt(), attempt(), attempt(level_cohort=None)))
+    assert {r[0]: r[1] for r in rows.collect()} == {10: 2, None: 1}
+
+
+def test_missing_values(attempts):
+    frame = attempts(
+        attempt(), attempt(level_cohort=None, reason_seg="far_win"), attempt(platform_name=None, attempt=None)
+    )
+    row = health.missing_values(frame).first().asDict()
+    assert row == {
+        "attempts": 3, "no_balance_id": 0, "no_level_cohort": 1, "no_traffic_type": 0, "no_payer_type": 0,
+        "no_platform_name": 1, "no_attempt": 1, "no_super_ball": 0, "unknown_outcome": 2,
+    }
+
+
+def test_sources_of_repeated_attempts(spark):
+    players = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("u2", "a")], "user_id string, traffic_type string")
+    assert [tuple(r) for r in health.players_with_many_traffic_types(players).collect()] == [("u1", 2)]
+    outcomes = spark.createDataFrame(
+        [("u1", 1, 0, 0, 0), ("u1", 0, 1, 0, 0), ("u2", 1, 0, 0, 0)],
+        "user_id string, FW int, CW int, CF int, FF int",
+    )
+    assert [tuple(r) for r in health.repeated_outcomes(outcomes).collect()] == [("u1", 2)]
