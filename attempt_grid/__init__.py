@@ -34,7 +34,12 @@ from attempt_grid.operators.metrics import (
     select_metric_values,
 )
 from attempt_grid.operators.options import distinct_values, filter_options, read_filter_options
-from attempt_grid.operators.statistics import STATISTIC_COLUMNS, aggregate_statistics
+from attempt_grid.operators.statistics import (
+    STATISTIC_COLUMNS,
+    aggregate_statistics,
+    segment_totals,
+    statistics_from_segments,
+)
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
 from attempt_grid.plans.grid_request import GridRequest, grid_cells, metric_cells
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, rebuild_table

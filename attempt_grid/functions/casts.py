@@ -18,12 +18,17 @@ from pyspark.sql import types as T
 WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 # Plain decimal notation only: Spark's own cast would also take '1d' and '0x1p3'.
-DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def strip_text(column: Column) -> Column:
-    """Text without leading and trailing whitespace."""
-    return F.btrim(column.cast("string"), F.lit(WHITESPACE))
+    """Text without leading and trailing whitespace.
+
+    Trimming a set of characters is slow, so it is kept to text that needs it.
+    """
+    text = column.cast("string")
+    padded = F.left(text, F.lit(1)).isin(*WHITESPACE) | F.right(text, F.lit(1)).isin(*WHITESPACE)
+    return F.when(padded, F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def non_empty_text(column: Column) -> Column:
@@ -37,8 +42,8 @@ def whole_number(column: Column, source: T.DataType) -> Column:
         return column
     if isinstance(source, (T.NumericType, T.BooleanType)):
         return column.try_cast("int")
-    text = strip_text(column)
-    return F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double").try_cast("int"))
+    # The pattern goes first: a try_cast that fails costs far more than one that works.
+    return F.when(column.rlike(DECIMAL_TEXT), column.try_cast("double").try_cast("int"))
 
 
 def truth_value(column: Column, source: T.DataType) -> Column:
@@ -48,7 +53,12 @@ def truth_value(column: Column, source: T.DataType) -> Column:
     if isinstance(source, T.NumericType):
         return F.when(column == 1, F.lit(True)).when(column == 0, F.lit(False))
     # Spark's text-to-boolean literals are exactly true/t/yes/y/1 and false/f/no/n/0.
-    return strip_text(column).try_cast("boolean")
+    return _cast_text(column, "boolean")
+
+
+def _cast_text(column: Column, target: str) -> Column:
+    """Cast of text; only where that fails, cast of the text stripped of exotic spaces."""
+    return F.coalesce(column.try_cast(target), strip_text(column).try_cast(target))
 
 
 def instant(column: Column, source: T.DataType) -> Column:
@@ -56,7 +66,7 @@ def instant(column: Column, source: T.DataType) -> Column:
     if isinstance(source, T.TimestampType):
         return column
     if isinstance(source, T.StringType):
-        column = strip_text(column)
+        return _cast_text(column, "timestamp")
     return column.try_cast("timestamp")
 
 
@@ -66,5 +76,5 @@ def day(column: Column, source: T.DataType) -> Column:
         return column
     if isinstance(source, T.StringType):
         # Through timestamp, because text-to-date ignores whatever follows the day.
-        return strip_text(column).try_cast("timestamp").try_cast("date")
+        return _cast_text(column, "timestamp").try_cast("date")
     return column.try_cast("date")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,18 +95,22 @@ def to_contract(df: DataFrame, *, trim_text: bool = True, strict: bool = False)
 def contract_rejects(df: DataFrame) -> DataFrame:
     """Rows that violate the contract, as they came in, with all their reasons."""
     require_columns(df)
+    legal = {field.name: _coerced(df, field, True).isNotNull() for field in ATTEMPT_SCHEMA}
     reasons = [
-        F.when(
-            _coerced(df, field, True).isNull(),
-            F.lit(f"{field.name} {_COMPLAINTS[type(field.dataType)]}"),
-        )
+        F.when(~legal[field.name], F.lit(f"{field.name} {_COMPLAINTS[type(field.dataType)]}"))
         for field in ATTEMPT_SCHEMA
     ]
-    return df.select(
-        *ATTEMPT_COLUMNS, F.array_compact(F.array(*reasons)).alias("reject_reasons")
-    ).filter(F.size("reject_reasons") > 0)
+    broken = ~reduce(operator.and_, legal.values())
+    # A generator, not a filter, selects the rows: a filter would be pushed down
+    # and repeat the computation of derived input columns for every use of them.
+    reported = F.when(broken, F.array(F.array_compact(F.array(*reasons))))
+    return df.select(*ATTEMPT_COLUMNS, F.explode(reported).alias("reject_reasons"))
 
 
 def canonical_sort(attempts: DataFrame) -> DataFrame:
-    """Attempt rows in their canonical order: a global range sort, for exports only."""
-    return attempts.orderBy(*CANONICAL_ORDER)
+    """Attempt rows in their canonical order: a global range sort, for exports only.
+
+    Client time breaks ties, so that a player's countless attempts at one level on
+    one day are not a single key that only one task can sort.
+    """
+    return attempts.orderBy(*CANONICAL_ORDER, "client_time")

@@ -34,6 +34,9 @@ STATISTIC_COLUMNS = (
 )
 CELL_KEYS = ("level_group", "date")
 
+# Attempt columns that statistics add up.
+SUMMED_COLUMNS = ("FW", "CW", "CF", "FF", "failed", "first_attempt")
+
 
 def aggregate_statistics(
     attempts: DataFrame,
@@ -48,15 +51,54 @@ def aggregate_statistics(
     Pass ``ordered=False`` when another operator follows.
     """
     rows = filter_attempts(attempts, criteria) if criteria else attempts
+    return _cells(rows, F.count(F.lit(1)), F.avg("attempt"), ordered)
+
+
+def segment_totals(attempts: DataFrame) -> DataFrame:
+    """Attempts condensed to totals per cell and combination of filterable values.
+
+    The result has the columns that criteria and filter options refer to, with
+    ``attempt`` cut to 2 (all later attempts are one group), so both work on it
+    unchanged. Kept as a day-partitioned table, it answers every later request
+    from a fraction of the rows, and a new day only adds its own partition.
+    """
+    group = F.when(F.col("attempt") >= 2, F.lit(2)).otherwise(F.col("attempt"))
+    return attempts.groupBy(
+        "level_cohort",
+        "partition_date",
+        "payer_type",
+        "traffic_type",
+        "platform_name",
+        group.alias("attempt"),
+        "super_ball",
+    ).agg(
+        *[F.sum(name).alias(name) for name in SUMMED_COLUMNS],
+        F.count(F.lit(1)).alias("attempts"),
+        F.sum("attempt").alias("attempt_sum"),
+        F.count("attempt").alias("attempt_count"),
+    )
+
+
+def statistics_from_segments(
+    segments: DataFrame,
+    criteria: AttemptCriteria | None = None,
+    *,
+    ordered: bool = True,
+) -> DataFrame:
+    """The statistics of ``aggregate_statistics``, from condensed attempts."""
+    rows = filter_attempts(segments, criteria) if criteria else segments
+    average = F.try_divide(F.sum("attempt_sum").cast("double"), F.sum("attempt_count"))
+    return _cells(rows, F.sum("attempts"), average, ordered)
+
+
+def _cells(rows: DataFrame, attempts: Column, average: Column, ordered: bool) -> DataFrame:
     counts = rows.groupBy(
         F.col("level_cohort").cast("int").alias("level_group"),
         F.col("partition_date").cast("date").alias("date"),
     ).agg(
-        *[_total(flag, f"{flag}_absolute") for flag in ("FW", "CW", "CF", "FF")],
-        F.count(F.lit(1)).cast("double").alias("attempts_absolute"),
-        _total("failed", "failed_absolute"),
-        F.avg("attempt").cast("double").alias("attempt_average"),
-        _total("first_attempt", "first_attempt_absolute"),
+        *[F.sum(name).cast("double").alias(f"{name}_absolute") for name in SUMMED_COLUMNS],
+        attempts.cast("double").alias("attempts_absolute"),
+        average.cast("double").alias("attempt_average"),
     )
     totals = counts.withColumns(
         {
@@ -70,10 +112,6 @@ def aggregate_statistics(
     return statistics.orderBy(*CELL_KEYS) if ordered else statistics
 
 
-def _total(column: str, name: str) -> Column:
-    return F.sum(column).cast("double").alias(name)
-
-
 def _statistic(name: str) -> Column:
     """A statistic in terms of the counted and totalled columns of its cell."""
     fail_rate = percent(F.col("failed_absolute"), F.col("attempts_absolute"))

@@ -144,6 +144,8 @@ def typed(attempts: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_table(attempts: DataFrame, name: str, *, replace_schema: bool = False) -> None:
+def rebuild_table(
+    attempts: DataFrame, name: str, *, replace_schema: bool = False, cluster: bool = True
+) -> None:
     """Write a build as its day-partitioned table, replacing the previous one."""
-    overwrite_table(typed(attempts), name, replace_schema=replace_schema)
+    overwrite_table(typed(attempts), name, replace_schema=replace_schema, cluster=cluster)

@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 BUCKET_COLUMN = "level_cohort"
 
 
-def clustered_by_day(df: DataFrame, partition_col: str) -> DataFrame:
-    """Rows grouped by day for the write, with a hot day spread over several tasks.
+def _arranged(df: DataFrame, partition_col: str, cluster: bool) -> DataFrame:
+    """Rows arranged for a day-partitioned write.
 
-    REBALANCE lets adaptive execution split a day that exceeds the advisory
-    partition size and merge small ones. Inside a file the level buckets are
-    sorted, so a level range skips row groups.
+    REBALANCE groups a day's rows, lets adaptive execution split a day that
+    exceeds the advisory partition size and merges small ones. Inside a file the
+    level buckets are sorted, so a level range skips row groups.
     """
     order = [partition_col, *([BUCKET_COLUMN] if BUCKET_COLUMN in df.columns else [])]
-    return df.hint("rebalance", partition_col).sortWithinPartitions(*order)
+    grouped = df.hint("rebalance", partition_col) if cluster else df
+    return grouped.sortWithinPartitions(*order)
 
 
 def write_partitioned(
@@ -27,14 +28,17 @@ def write_partitioned(
     partition_col: str = "partition_date",
     *,
     only_present_days: bool = False,
+    cluster: bool = True,
 ) -> None:
     """Overwrite parquet files partitioned by day.
 
     ``only_present_days`` replaces just the days that occur in ``df``, which is
-    what a daily refresh of a long history wants.
+    what a daily refresh of a long history wants. ``cluster=False`` spares the
+    shuffle where tasks hold few days anyway: events read from a day-partitioned
+    table and joined by broadcast.
     """
     (
-        clustered_by_day(df, partition_col)
+        _arranged(df, partition_col, cluster)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if only_present_days else "static")
         .partitionBy(partition_col)
@@ -48,13 +52,14 @@ def overwrite_table(
     partition_col: str = "partition_date",
     *,
     replace_schema: bool = False,
+    cluster: bool = True,
 ) -> None:
     """Overwrite a catalog table partitioned by day.
 
     The schema options matter to table formats that check them: by default new
     columns are merged in, ``replace_schema`` puts the new schema in place.
     """
-    writer = clustered_by_day(df, partition_col).write.mode("overwrite")
+    writer = _arranged(df, partition_col, cluster).write.mode("overwrite")
     if replace_schema:
         writer = writer.option("mergeSchema", "false").option("overwriteSchema", "true")
     else:

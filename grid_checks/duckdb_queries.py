@@ -402,6 +402,8 @@ for _name, _columns in {
 }.items():
     ORACLE[_name] = f"{_LINEITEM_STATS} SELECT level_group, date, {_columns} FROM stats"
 ORACLE["stats_filtered"] = f"WITH {_LINEITEM_ATTEMPTS}, {_stats(_SEVERAL)} SELECT * FROM stats"
+ORACLE["stats_from_segments"] = ORACLE["stats_filtered"]
+ORACLE["options_from_segments"] = ORACLE["options_one_pass"]
 
 ORACLE["metric_values"] = f"""{_LINEITEM_STATS}
 SELECT level_group, date, attempt_average AS value, 'attempt' AS metric_name,

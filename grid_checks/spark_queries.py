@@ -19,7 +19,12 @@ from attempt_grid.operators.criteria import (
     filter_cells,
 )
 from attempt_grid.operators.metrics import select_metric, select_metric_values
-from attempt_grid.operators.statistics import CELL_KEYS, aggregate_statistics
+from attempt_grid.operators.statistics import (
+    CELL_KEYS,
+    aggregate_statistics,
+    segment_totals,
+    statistics_from_segments,
+)
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
 from attempt_grid.plans.grid_request import GridRequest, grid_cells
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload
@@ -312,7 +317,11 @@ def _joined(column: str):
 
 @_query
 def options_one_pass(spark, sf_dir):
-    found = options.filter_options(sample.attempts_from_lineitem(spark, sf_dir))
+    return _flat_options(options.filter_options(sample.attempts_from_lineitem(spark, sf_dir)))
+
+
+def _flat_options(found: DataFrame) -> DataFrame:
+    """The option row with each list as comma-separated text."""
     lists = [f.name for f in found.schema if f.dataType.typeName() == "array"]
     plain = [name for name in found.columns if name not in lists]
     return found.select(*plain, *map(_joined, lists))
@@ -373,6 +382,18 @@ def stats_filtered(spark, sf_dir):
     return _statistics(spark, sf_dir, SEVERAL_CONDITIONS)
 
 
+@_query
+def stats_from_segments(spark, sf_dir):
+    segments = segment_totals(sample.attempts_from_lineitem(spark, sf_dir))
+    return statistics_from_segments(segments, SEVERAL_CONDITIONS)
+
+
+@_query
+def options_from_segments(spark, sf_dir):
+    segments = segment_totals(sample.attempts_from_lineitem(spark, sf_dir))
+    return _flat_options(options.filter_options(segments))
+
+
 @_query
 def metric_values(spark, sf_dir):
     return select_metric_values(_statistics(spark, sf_dir), "attempt", "average")

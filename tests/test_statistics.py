@@ -11,8 +11,11 @@ from attempt_grid import (
     DisplayRange,
     aggregate_statistics,
     filter_cells,
+    filter_options,
+    segment_totals,
+    statistics_from_segments,
 )
-from attempt_grid.operators.criteria import FIRST_ATTEMPT
+from attempt_grid.operators.criteria import FIRST_ATTEMPT, REPEAT_ATTEMPTS
 
 OUTCOME_OF = {"far_win": "FW", "close_win": "CW", "close_fail": "CF", "far_fail": "FF"}
 
@@ -139,3 +142,23 @@ def test_one_shuffle_and_map_side_aggregation(attempts):
 
 def test_empty_input(attempts):
     assert aggregate_statistics(attempts(attempt()).filter(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize(
+    "criteria",
+    [
+        None,
+        AttemptCriteria(attempt_groups=(FIRST_ATTEMPT,), payer_types=("payer",)),
+        AttemptCriteria(attempt_groups=(REPEAT_ATTEMPTS,), level_min=9, end_date="2026-01-04"),
+        AttemptCriteria(super_ball_values=(True,)),
+    ],
+)
+def test_segments_give_the_same_statistics(attempts, criteria):
+    odd = [attempt(attempt=None, FW=None), attempt(attempt=0), attempt(attempt=-3, super_ball=None)]
+    lonely = attempt(level_cohort=77, attempt=None, failed=None)
+    frame = attempts(*random_attempts(400), *odd, lonely).cache()
+    segments = segment_totals(frame)
+    assert segments.count() < frame.count()
+    direct = aggregate_statistics(frame, criteria).collect()
+    assert statistics_from_segments(segments, criteria).collect() == direct
+    assert filter_options(segments).collect() == filter_options(frame).collect()
