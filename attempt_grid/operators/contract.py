@@ -53,7 +53,7 @@ def require_columns(df: DataFrame) -> None:
     """Raise when one of the 17 columns is missing; extra columns are fine."""
     missing = sorted(set(ATTEMPT_COLUMNS) - set(df.columns))
     if missing:
-        raise ContractError(f"Missing required columns: {', '.join(missing)}")
+        raise ContractError(f"attempt rows need the columns {', '.join(missing)}")
 
 
 def _coerced(df: DataFrame, field: T.StructField, trim_text: bool) -> Column:

@@ -103,14 +103,14 @@ def _known(selected: Iterable, allowed: tuple, what: str) -> set:
     for value in chosen:
         # 1 == True in Python, so the type has to agree as well.
         if not any(type(value) is type(option) and value == option for option in allowed):
-            raise ValueError(f"Unsupported {what}: {value!r}")
+            raise ValueError(f"{value!r} is no {what}, expected some of {allowed}")
     return set(chosen)
 
 
 def _range_conditions(criteria: AttemptCriteria | DisplayRange, level: str, day: str):
     low, high = criteria.level_min, criteria.level_max
     if low is not None and high is not None and low > high:
-        raise ValueError("level_min cannot be greater than level_max.")
+        raise ValueError(f"level range {low}..{high} is empty")
     if low is not None:
         yield F.col(level) >= F.lit(int(low))
     if high is not None:

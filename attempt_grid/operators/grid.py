@@ -16,7 +16,7 @@ from attempt_grid.operators.statistics import CELL_KEYS
 LOW_SAMPLE_LABEL = "мало данных"
 ENOUGH_LABEL = "достаточно"
 
-DUPLICATE_CELL = "Each grid cell must have exactly one value; duplicate level_group/date rows found."
+DUPLICATE_CELL = "a grid has at most one row per level_group and date, this input repeats a cell"
 
 
 def duplicate_cells(values: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def pivot_grid(
     """
     missing = sorted({*CELL_KEYS, value} - set(values.columns))
     if missing:
-        raise ValueError(f"Missing grid columns: {', '.join(missing)}")
+        raise ValueError(f"grid values need the columns {', '.join(missing)}")
     cells = values.select(
         F.col("level_group").cast("int").alias("level_group"),
         F.col("date").cast("date").alias("date"),

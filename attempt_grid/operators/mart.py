@@ -119,7 +119,7 @@ def outcome_keys(outcomes: DataFrame) -> list[str]:
     """Attempt key columns the outcome table offers."""
     keys = [name for name in ATTEMPT_KEY if name in outcomes.columns]
     if not keys:
-        raise ValueError(f"Outcome table has none of the key columns: {', '.join(ATTEMPT_KEY)}")
+        raise ValueError(f"outcomes need at least one of the columns {', '.join(ATTEMPT_KEY)}")
     return keys
 
 

@@ -70,7 +70,9 @@ def find_metric(name: str, method: str) -> Metric:
     try:
         return _BY_KEY[name, method]
     except KeyError:
-        raise ValueError(f"Unsupported metric selection: {name!r} / {method!r}") from None
+        raise ValueError(
+            f"{name!r} has no {method!r} metric, only {metric_methods(name)}"
+        ) from None
 
 
 def select_metric(

@@ -19,7 +19,7 @@ _TABLE_NAME = re.compile(rf"{_IDENTIFIER}(\.{_IDENTIFIER}){{0,2}}")
 def validate_table_identifier(name: str) -> str:
     """The name itself when it is one to three plain identifiers joined by dots."""
     if not _TABLE_NAME.fullmatch(name):
-        raise ValueError(f"Unsupported table identifier: {name!r}")
+        raise ValueError(f"{name!r} is not a plain table name such as catalog.schema.table")
     return name
 
 
@@ -80,12 +80,12 @@ class ProjectSource:
 def attempt_source(registry: Mapping[str, ProjectSource], project: str) -> ProjectSource:
     """The source registered for a project; unknown projects and kinds raise."""
     if project not in registry:
-        raise ValueError(f"Unknown project: {project!r}")
+        raise ValueError(f"no source for project {project!r}, only for {sorted(registry)}")
     source = registry[project]
     if source.kind not in READERS:
-        raise ValueError(f"Unsupported source kind: {source.kind!r}")
+        raise ValueError(f"no reader for source kind {source.kind!r}, only for {sorted(READERS)}")
     if not source.location.strip():
-        raise ValueError(f"Project {project!r} requires a location.")
+        raise ValueError(f"the source of project {project!r} has no location")
     return source
 
 

@@ -479,11 +479,8 @@ SELECT 'lineitem', 'lineitem_attempts', FALSE,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 UNION ALL
 SELECT 'missing', 'no_such_attempts', FALSE, 'недоступно: AnalysisException'"""
-ORACLE["mart_health_days"] = f"""WITH {_MART_A},
-counts AS (
-  SELECT partition_date, count(*) AS attempts FROM mart
-  WHERE traffic_type = 'crosspromo' GROUP BY 1
-)
+ORACLE["mart_health_days"] = f"""WITH {_LINEITEM_ATTEMPTS},
+counts AS (SELECT partition_date, count(*) AS attempts FROM attempts GROUP BY 1)
 SELECT CAST(d AS DATE) AS partition_date, coalesce(attempts, 0) AS attempts
 FROM (SELECT unnest(generate_series(min(partition_date), max(partition_date), INTERVAL 1 DAY)) AS d
   FROM counts)

@@ -527,9 +527,8 @@ QUERIES["dataset_status"] = QUERIES.pop("dataset_status_rows")
 
 @_query
 def mart_health_days(spark, sf_dir):
-    # One player's days have gaps, all players' days do not.
-    attempts = mart_a(spark, sf_dir)
-    return health.attempts_per_day(attempts.filter(F.col("traffic_type") == "crosspromo"))
+    # Attempts of a month are dated to its first day, so the days between are gaps.
+    return health.attempts_per_day(sample.attempts_from_lineitem(spark, sf_dir))
 
 
 @_query

@@ -58,7 +58,7 @@ def test_csv_missing_path(spark, tmp_path):
 
 def test_csv_missing_columns(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", ["user_id"], attempt())
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="need the columns"):
         read_attempts_csv(spark, path)
 
 
@@ -85,7 +85,7 @@ def test_legal_identifiers(name):
 
 @pytest.mark.parametrize("name", ["", "a.b.c.d", "1a", "a b", "a;drop", "a.", ".a", "a-b", "a\n"])
 def test_illegal_identifiers(name):
-    with pytest.raises(ValueError, match="Unsupported table identifier"):
+    with pytest.raises(ValueError, match="not a plain table name"):
         validate_table_identifier(name)
 
 
@@ -103,9 +103,9 @@ def test_routing(spark, attempts):
     assert project_options(spark, registry, "two").level_max == 5
     cells = project_statistics(spark, registry, "two").collect()
     assert [c["level_group"] for c in cells] == [3, 5]
-    with pytest.raises(ValueError, match="Unknown project"):
+    with pytest.raises(ValueError, match="no source for project"):
         attempt_source(registry, "three")
-    with pytest.raises(ValueError, match="Unsupported source kind"):
+    with pytest.raises(ValueError, match="no reader for source kind"):
         attempt_source(registry, "odd")
-    with pytest.raises(ValueError, match="requires a location"):
+    with pytest.raises(ValueError, match="has no location"):
         attempt_source(registry, "blank")

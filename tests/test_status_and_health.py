@@ -2,8 +2,11 @@ from datetime import date
 
 from conftest import attempt
 
-from attempt_grid import ProjectTable, dataset_status, latest_partition
+import pytest
+
+from attempt_grid import ProjectTable, dataset_status, latest_partition, overwrite_table
 from attempt_grid.operators import health
+from attempt_grid.operators.status import _listed_days, latest_partition_of_table
 
 
 def test_latest_partition(attempts):
@@ -33,6 +36,27 @@ def test_dataset_status(spark, attempts):
     ]
 
 
+def test_partitioned_table_is_asked_for_its_partitions(spark, attempts):
+    overwrite_table(
+        attempts(*[attempt(partition_date=date(2026, 1, d)) for d in (2, 30, 9)], attempt(partition_date=None)),
+        "listed_table",
+    )
+    assert _listed_days(spark, "listed_table", "partition_date") == [date(2026, 1, d) for d in (30, 9, 2)]
+    assert latest_partition_of_table(spark, "listed_table") == date(2026, 1, 30)
+    # A partition the catalog knows but that holds no row does not count.
+    spark.sql("ALTER TABLE listed_table ADD PARTITION (partition_date = DATE'2026-02-01')")
+    assert _listed_days(spark, "listed_table", "partition_date")[0] == date(2026, 2, 1)
+    assert latest_partition_of_table(spark, "listed_table") == date(2026, 1, 30)
+
+
+def test_unpartitioned_table_is_scanned(spark, attempts):
+    attempts(attempt(), attempt(partition_date=date(2026, 5, 5))).write.mode("overwrite").saveAsTable("flat_table")
+    assert _listed_days(spark, "flat_table", "partition_date") is None
+    assert latest_partition_of_table(spark, "flat_table") == date(2026, 5, 5)
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        latest_partition_of_table(spark, "nowhere_table")
+
+
 def test_days_without_attempts_show_as_zero(attempts):
     frame = attempts(
         attempt(), attempt(), attempt(partition_date=date(2026, 1, 4)), attempt(partition_date=None)
