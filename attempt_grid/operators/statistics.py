@@ -114,17 +114,15 @@ def _cells(rows: DataFrame, attempts: Column, average: Column, ordered: bool) ->
 
 def _statistic(name: str) -> Column:
     """A statistic in terms of the counted and totalled columns of its cell."""
-    fail_rate = percent(F.col("failed_absolute"), F.col("attempts_absolute"))
-    if name == "fail_rate_relative":
-        return fail_rate
     if name == "win_rate_relative":
         # By definition what is not failed, also where the outcome is unknown.
-        return 100 - fail_rate
-    if name.endswith("_partial_relative"):
-        flag = name.removesuffix("_partial_relative")
-        side = "wins_absolute" if flag in ("FW", "CW") else "fails_absolute"
-        return percent(F.col(f"{flag}_absolute"), F.col(side))
-    if name.endswith("_relative"):
-        count = f"{name.removesuffix('_relative')}_absolute"
-        return percent(F.col(count), F.col("attempts_absolute"))
-    return F.col(name)
+        return 100 - _statistic("fail_rate_relative")
+    if not name.endswith("_relative"):
+        return F.col(name)
+    measure = name.removesuffix("_relative")
+    whole = "attempts_absolute"
+    if measure.endswith("_partial"):
+        measure = measure.removesuffix("_partial")
+        whole = "wins_absolute" if measure in ("FW", "CW") else "fails_absolute"
+    part = "failed_absolute" if measure == "fail_rate" else f"{measure}_absolute"
+    return percent(F.col(part), F.col(whole))
