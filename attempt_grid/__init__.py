@@ -43,6 +43,7 @@ from attempt_grid.operators.statistics import (
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
 from attempt_grid.plans.grid_request import GridRequest, grid_cells, metric_cells
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, rebuild_table
+from attempt_grid.plans.refresh import ProjectBuild, refresh
 from attempt_grid.session import attempt_session
 from attempt_grid.sinks.tables import keep, overwrite_table, write_partitioned
 from attempt_grid.sources.attempts import (

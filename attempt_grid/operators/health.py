@@ -32,9 +32,8 @@ def attempts_per_day(attempts: DataFrame) -> DataFrame:
     )
     calendar = F.sequence("first", "last", F.expr("interval 1 day"))
     absent = F.array_except(calendar, F.transform("present", lambda d: d["partition_date"]))
-    gaps = F.transform(
-        absent, lambda d: F.struct(d.alias("partition_date"), F.lit(0).cast("long").alias("attempts"))
-    )
+    nothing = F.lit(0).cast("long").alias("attempts")
+    gaps = F.transform(absent, lambda d: F.struct(d.alias("partition_date"), nothing))
     return one_row.select(F.inline(F.concat("present", gaps)))
 
 

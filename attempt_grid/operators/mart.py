@@ -83,6 +83,10 @@ def within_drift(levels: DataFrame, max_seconds: int = MAX_CLOCK_DRIFT_SECONDS)
     )
 
 
+# Header, null bits and pointers of a hashed row, generously rounded.
+ROW_OVERHEAD_BYTES = 64
+
+
 def broadcast_if_small(dimension: DataFrame, max_bytes: int) -> DataFrame:
     """The dimension with a broadcast hint if its measured text fits ``max_bytes``.
 
@@ -90,18 +94,12 @@ def broadcast_if_small(dimension: DataFrame, max_bytes: int) -> DataFrame:
     without a hint: Spark then shuffles both sides, and adaptive execution splits
     the partitions of players with extremely many events.
     """
-    width = sum(
-        (F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) for name in dimension.columns),
-        start=F.lit(ROW_OVERHEAD_BYTES),
-    )
+    widths = [F.octet_length(F.col(name).cast("string")) for name in dimension.columns]
+    width = sum((F.coalesce(w, F.lit(0)) for w in widths), start=F.lit(ROW_OVERHEAD_BYTES))
     size = dimension.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
     return F.broadcast(dimension) if size <= max_bytes else dimension
 
 
-# Header, null bits and pointers of a hashed row, generously rounded.
-ROW_OVERHEAD_BYTES = 64
-
-
 def join_players(
     events: DataFrame, players: DataFrame, broadcast_bytes: int | None = None
 ) -> DataFrame:

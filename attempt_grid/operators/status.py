@@ -71,10 +71,10 @@ def dataset_status(
 
     Reads every table a little, because a broken table only shows when read.
     """
-    rows = [
-        (t.project, t.table_name, t.rebuild_requested, _latest_or_reason(spark, t.table_name, column))
-        for t in tables
-    ]
+    rows = []
+    for table in tables:
+        latest = _latest_or_reason(spark, table.table_name, column)
+        rows.append((table.project, table.table_name, table.rebuild_requested, latest))
     return spark.createDataFrame(
         rows,
         "project string, table_name string, rebuild_requested boolean, latest_partition string",

@@ -446,9 +446,8 @@ def _thin_values(spark, sf_dir):
 @_query
 def grid_duplicates(spark, sf_dir):
     attempts = sample.attempts_from_lineitem(spark, sf_dir)
-    return grid.duplicate_cells(
-        attempts.select(F.col("level_cohort").alias("level_group"), F.col("partition_date").alias("date"))
-    )
+    cells = attempts.withColumnsRenamed({"level_cohort": "level_group", "partition_date": "date"})
+    return grid.duplicate_cells(cells)
 
 
 @_query

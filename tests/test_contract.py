@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -140,3 +142,38 @@ def test_typed_columns_are_untouched(spark, attempts, tmp_path):
     assert "EqualTo(payer_type,payer)" in text
     assert "GreaterThanOrEqual(attempt,2)" in text
     assert "cast" not in text.lower().split("filescan")[0]
+
+
+def test_fractional_and_missing_numbers(attempts):
+    for kind, number, expected in (("double", 2.9, 2), ("double", -0.5, 0), ("decimal(4,2)", 7.99, 7),
+                                   ("bigint", 5, 5), ("bigint", 2**40, None), ("double", float("nan"), None)):
+        frame = attempts(attempt()).withColumn("attempt", F.lit(number).cast(kind))
+        assert to_contract(frame).first()["attempt"] == expected, (kind, number)
+
+
+def test_random_text_against_plain_python_rules(spark):
+    """Numbers, booleans and text of 2,000 random strings, judged by Python itself."""
+    draw = random.Random(5)
+    pieces = ["0", "1", "7", "42", ".", "-", "+", "e", "E", "d", " ", "\t", "yes", "T", "false", "n", "x", "\u00a0"]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 4))) for _ in range(2000)]
+
+    def number(text):
+        if re.fullmatch(r"[ \t]*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[ \t]*", text):
+            value = float(text)
+            return int(value) if abs(value) < 2**31 else None
+        return None
+
+    def truth(text):
+        word = text.strip().lower()
+        return True if word in {"true", "t", "1", "yes", "y"} else False if word in {"false", "f", "0", "no", "n"} else None
+
+    frame = text_frame(
+        spark, *[text_attempt(user_id=t, attempt=t, super_ball=t, balance_id=n) for n, t in enumerate(texts)]
+    )
+    rows = to_contract(frame).select("balance_id", "user_id", "attempt", "super_ball").collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        text = texts[row["balance_id"]]
+        assert row["user_id"] == (text.strip() or None), repr(text)
+        assert row["attempt"] == number(text), repr(text)
+        assert row["super_ball"] is truth(text), repr(text)

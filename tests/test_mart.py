@@ -4,10 +4,18 @@ import pytest
 from conftest import plan
 from pyspark.sql import functions as F
 
-from attempt_grid import attempts_from_outcomes, attempts_from_payload, rebuild_table, to_contract
+from attempt_grid import (
+    ProjectBuild,
+    attempts_from_outcomes,
+    attempts_from_payload,
+    rebuild_table,
+    refresh,
+    to_contract,
+)
 from attempt_grid.functions.attempts import is_first_attempt, level_bucket, level_number
 from attempt_grid.operators import mart
 from attempt_grid.plans.mart import OUTCOME_BUILD_COLUMNS, PAYLOAD_BUILD_COLUMNS, typed
+from attempt_grid.sinks.tables import _arranged
 
 LEVELS = (
     "user_id string, client_time timestamp, event_time timestamp, partition_date date,"
@@ -269,3 +277,65 @@ def test_rebuilt_table_is_typed_and_reads_as_contract(spark, levels, players):
     assert stored.schema["super_ball"].dataType.typeName() == "boolean"
     rows = to_contract(stored, trim_text=False).orderBy("balance_id").collect()
     assert [(r["balance_id"], r["attempt"], r["super_ball"]) for r in rows] == [(1, 2, False), (120, 1, True)]
+
+
+def test_refresh_builds_only_what_is_requested(spark, levels, players):
+    built = from_payload(levels(event(), event(partition_date=date(2026, 1, 12))), players)
+
+    def never():
+        raise AssertionError("not requested")
+
+    status = refresh(
+        spark,
+        [
+            ProjectBuild("first", "refresh_first", lambda: built, requested=True, cluster=False),
+            ProjectBuild("second", "refresh_second", never),
+        ],
+    )
+    assert [tuple(r) for r in status.collect()] == [
+        ("first", "refresh_first", True, "2026-01-12"),
+        ("second", "refresh_second", False, "недоступно: AnalysisException"),
+    ]
+    again = refresh(spark, [ProjectBuild("first", "refresh_first", never)])
+    assert again.first()["latest_partition"] == "2026-01-12"
+
+
+@pytest.fixture
+def stored_levels(spark, levels, tmp_path):
+    path = str(tmp_path / "levels")
+    levels(event(), event(chain="main")).write.partitionBy("partition_date").parquet(path)
+    return spark.read.parquet(path)
+
+
+def event_scan(text):
+    return next(line for line in text.splitlines() if "FileScan" in line and "event_payload" in line)
+
+
+def test_payload_build_prunes_its_event_scan(stored_levels, players):
+    scan = event_scan(plan(from_payload(stored_levels, players)))
+    assert "partition_date" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    for pushed in ("EqualTo(event_type,m3.level_finished)", "In(reason, [completed,failed])",
+                   "IsNull(chain)", "GreaterThan(client_time", "IsNotNull(user_id)"):
+        assert pushed in scan
+    columns = scan.split("ReadSchema")[1]
+    assert "ab_group" not in columns and "event_time" not in columns and ",attempt:" not in columns
+
+
+def test_outcome_build_prunes_its_event_scan(spark, stored_levels, players):
+    outcomes = outcome_table(spark, (NOON, 1, "u1", date(2026, 1, 10), 1, 0, 0, 0))
+    built = attempts_from_outcomes(stored_levels, players, outcomes, bucket_width=100, cutoff="2026-01-01")
+    scan = event_scan(plan(built))
+    assert "partition_date" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    for pushed in ("EqualTo(event_type,m3.level_finished)", "In(reason, [completed,failed])",
+                   "IsNotNull(event_time)", "IsNotNull(chain)", "GreaterThan(client_time"):
+        assert pushed in scan
+
+
+def test_broadcast_build_over_days_does_not_shuffle_events(stored_levels, players):
+    built = typed(from_payload(stored_levels, players, broadcast_bytes=10**6))
+    text = plan(_arranged(built, "partition_date", cluster=False))
+    events = text[: text.index("BroadcastExchange")]
+    assert "Exchange" not in events
+    # Clustering by day is the one shuffle it can have.
+    clustered = plan(_arranged(built, "partition_date", cluster=True))
+    assert clustered[: clustered.index("BroadcastExchange")].count("Exchange") == 1

@@ -2,6 +2,7 @@
 
 from contextlib import contextmanager
 from datetime import date
+from pathlib import Path
 
 import pytest
 from conftest import plan
@@ -14,6 +15,18 @@ from grid_checks import sample_tables as sample
 SF = "/root/testdata/sf0.001"
 
 
+NO_BROADCAST = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+}
+# Thresholds small enough for the few megabytes of a test to count as skew.
+SMALL_SKEW = {
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "1m",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "1m",
+}
+
+
 @contextmanager
 def settings(spark, **values):
     keys = {name.replace("__", "."): value for name, value in values.items()}
@@ -46,14 +59,7 @@ def many_players(spark):
 
 
 def test_shuffled_player_join_splits_a_hot_player(spark, hot_events, many_players):
-    with settings(
-        spark,
-        spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="1m",
-        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes="1m",
-    ):
+    with settings(spark, **NO_BROADCAST, **SMALL_SKEW):
         joined = mart.join_players(hot_events, mart.eligible_players(many_players))
         # The write that follows shuffles by day, so splitting costs no extra shuffle.
         result = joined.repartition(4, "id").agg(F.count("*"), F.sum("id"), F.max("payload").isNotNull())
@@ -63,6 +69,25 @@ def test_shuffled_player_join_splits_a_hot_player(spark, hot_events, many_player
     assert "SortMergeJoin(skew=true)" in final
 
 
+def test_outcome_join_splits_a_hot_key_and_unmatched_rows(spark, hot_events):
+    """Only the player is a key here; over a third of the rows share one."""
+    outcomes = spark.range(0, 3000, 2).select(
+        F.col("id").cast("string").alias("user_id"),
+        F.lit(1).alias("FW"),
+        *[F.lit(None).cast("int").alias(flag) for flag in ("CW", "CF", "FF")],
+    )
+    with settings(spark, **NO_BROADCAST, **SMALL_SKEW):
+        joined = mart.join_outcomes(hot_events, outcomes)
+        result = joined.repartition(4, "id").agg(
+            F.count("*"), F.sum("FW"), F.sum("CW"), F.max("payload").isNotNull()
+        )
+        (row,) = result.collect()
+        final = plan(result)
+    matched = sum(1 for n in range(200_000) if n % 5 < 2 or n % 3000 % 2 == 0)
+    assert tuple(row) == (200_000, matched, 0, True)
+    assert "SortMergeJoin(skew=true)" in final
+
+
 def test_broadcast_only_below_the_limit(spark, hot_events, many_players):
     players = mart.eligible_players(many_players)
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
@@ -72,6 +97,7 @@ def test_broadcast_only_below_the_limit(spark, hot_events, many_players):
     assert "SortMergeJoin" in large
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no sample tables")
 def test_payloads_are_parsed_before_the_join(spark):
     from attempt_grid import attempts_from_payload
 
