@@ -54,5 +54,3 @@ from attempt_grid.sources.attempts import (
     read_attempts_sql,
     read_attempts_table,
 )
-
-__all__ = [name for name in dir() if not name.startswith("_")]

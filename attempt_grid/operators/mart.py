@@ -138,7 +138,8 @@ def with_flags_segment(attempts: DataFrame) -> DataFrame:
 def payload_fields(events: DataFrame, *fields: str, payload: str = "event_payload") -> DataFrame:
     """Adds top-level JSON fields of a payload column as text, in one parse.
 
-    Does nothing clever with types: whatever the payload holds comes out as text.
+    A dot in a field name is part of the name, not a path; the new column has an
+    underscore there. Numbers and booleans come out as their JSON text.
     """
     names = [name.replace(".", "_") for name in fields]
     return events.select("*", F.json_tuple(payload, *fields).alias(*names))
