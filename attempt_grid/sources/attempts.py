@@ -23,12 +23,15 @@ def validate_table_identifier(name: str) -> str:
     return name
 
 
-def read_attempts_csv(spark: SparkSession, path: str | PurePath) -> DataFrame:
+def read_attempts_csv(
+    spark: SparkSession, path: str | PurePath, *, strict: bool = False
+) -> DataFrame:
     """Contract rows from CSV files with a header line, matched by column name.
 
     Everything is read as text and coerced, so a reordered file stays correct and
     a bad value becomes NULL (see ``contract_rejects``) instead of failing a task.
-    Files whose headers differ from each other are an error.
+    ``strict`` looks for bad values first and raises. Files whose headers differ
+    from each other are an error.
     """
     reader = spark.read.option("header", True).option("enforceSchema", False)
     try:
@@ -37,7 +40,7 @@ def read_attempts_csv(spark: SparkSession, path: str | PurePath) -> DataFrame:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(str(path)) from error
         raise
-    return to_contract(raw)
+    return to_contract(raw, strict=strict)
 
 
 def read_attempts_table(spark: SparkSession, name: str) -> DataFrame:

@@ -42,6 +42,9 @@ def test_csv_empty_text_is_a_violation(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", ATTEMPT_COLUMNS, attempt(payer_type=""), attempt())
     rejects = contract_rejects(spark.read.option("header", True).csv(path))
     assert [r["reject_reasons"] for r in rejects.collect()] == [["payer_type is empty"]]
+    assert read_attempts_csv(spark, path).count() == 2
+    with pytest.raises(ValueError, match="payer_type is empty"):
+        read_attempts_csv(spark, path, strict=True)
 
 
 def test_csv_folder_with_differing_headers_fails(spark, tmp_path):
