@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
-        "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), k.alias("k")
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the number ``k`` of their JSON properties."""
+    # A generator parses once per row; filters on k would copy a plain expression.
+    parsed = table(spark, sf_dir, "events").select(
+        "user_id",
+        "event_type",
+        "value",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.json_tuple("props", "k").alias("k"),
     )
+    return parsed.withColumn("k", F.col("k").cast("int"))
 
 
 def _payer(balance: str) -> Column:
@@ -36,7 +42,7 @@ def attempts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k")
     attempt = 1 + k % 3
     return (
-        _events(spark, sf_dir)
+        events(spark, sf_dir)
         .join(customers, "user_id")
         .select(
             F.col("ts").alias("client_time"),
@@ -161,7 +167,7 @@ def levels_from_events(spark: SparkSession, sf_dir: str, *, chained: bool) -> Da
         .when(kind == "purchase", "")
         .when(kind == "error", "broken")
     )
-    return _events(spark, sf_dir).select(
+    return events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("user_id"),
         F.col("ts").alias("client_time"),
         F.when(value >= 1, F.col("ts") - F.make_dt_interval(hours=k)).alias("event_time"),
@@ -210,7 +216,7 @@ def outcomes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, k = F.col("event_type"), F.col("k")
     copies = F.when(F.col("value") > 90, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return (
-        _events(spark, sf_dir)
+        events(spark, sf_dir)
         .filter(kind != "error")
         .select(
             F.col("ts").alias("client_time"),
@@ -228,7 +234,7 @@ def text_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts as untidy text with a surplus column; a good part breaks the contract."""
     kind, k, value = F.col("event_type"), F.col("k"), F.col("value")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return _events(spark, sf_dir).select(
+    return events(spark, sf_dir).select(
         F.lit("ignored").alias("surplus"),
         F.when(value > 200, "not a time").otherwise(stamp).alias("client_time"),
         F.when(k == 3, "  ").otherwise(F.concat(F.lit(" "), F.col("user_id"), F.lit("\t"))).alias(

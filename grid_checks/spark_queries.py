@@ -202,9 +202,9 @@ def mart_outcome_flags(spark, sf_dir):
 
 @_query
 def mart_outcome_join(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("int")
-    attempts = sample.table(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("client_time"),
+    k = F.col("k")
+    attempts = sample.events(spark, sf_dir).select(
+        F.col("ts").alias("client_time"),
         F.when(~k.isin(13, 14), k * 10).alias("balance_id"),
         F.col("user_id").cast("string").alias("user_id"),
         F.to_date("ts").alias("partition_date"),
