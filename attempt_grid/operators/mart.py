@@ -22,18 +22,28 @@ PLATFORM_KEY = "tech.platform_name"
 ATTEMPT_KEY = ("client_time", "balance_id", "user_id", "partition_date")
 
 
-def eligible_players(players: DataFrame, user_ids: Collection[str] | None = None) -> DataFrame:
+# A short list of user ids, or a DataFrame with a user_id column for a long one.
+UserIds = Collection[str] | DataFrame
+
+
+def of_users(rows: DataFrame, user_ids: UserIds) -> DataFrame:
+    """Rows of the listed users."""
+    if isinstance(user_ids, DataFrame):
+        return rows.join(user_ids.select("user_id"), "user_id", "left_semi")
+    return rows.filter(F.col("user_id").isin(list(user_ids)))
+
+
+def eligible_players(players: DataFrame, user_ids: UserIds | None = None) -> DataFrame:
     """Distinct (user_id, traffic_type) of eligible players.
 
     An allow list replaces the cheater rule. A player with two traffic types
     stays twice and doubles the player's attempts.
     """
-    eligible = (
-        F.col("cheater").isin(list(ELIGIBLE_CHEATER_STATES))
-        if user_ids is None
-        else F.col("user_id").isin(list(user_ids))
-    )
-    return players.filter(eligible).select("user_id", "traffic_type").distinct()
+    if user_ids is None:
+        eligible = players.filter(F.col("cheater").isin(list(ELIGIBLE_CHEATER_STATES)))
+    else:
+        eligible = of_users(players, user_ids)
+    return eligible.select("user_id", "traffic_type").distinct()
 
 
 def finished_events(
@@ -164,14 +174,14 @@ def ab_group_names(levels: DataFrame) -> DataFrame:
 
 
 def player_trajectory(
-    attempts: DataFrame, user_ids: Collection[str], position: str = "level_cohort"
+    attempts: DataFrame, user_ids: UserIds, position: str = "level_cohort"
 ) -> DataFrame:
     """Chosen players' positions and outcomes in time order.
 
     ``position`` is ``level_cohort`` or ``balance_id``.
     """
     return (
-        attempts.filter(F.col("user_id").isin(list(user_ids)))
+        of_users(attempts, user_ids)
         .select("user_id", "client_time", position, "reason_seg")
         .orderBy("user_id", "client_time")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +78,7 @@ def attempts_from_payload(
     *,
     bucket_width: float,
     cutoff: DateLike,
-    user_ids: Collection[str] | None = None,
+    user_ids: mart.UserIds | None = None,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Attempts whose outcome segment is in the event payload."""
@@ -108,7 +106,7 @@ def attempts_from_outcomes(
     bucket_width: float,
     cutoff: DateLike,
     max_drift_seconds: int = mart.MAX_CLOCK_DRIFT_SECONDS,
-    user_ids: Collection[str] | None = None,
+    user_ids: mart.UserIds | None = None,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Attempts whose outcome flags come from a table of their own."""

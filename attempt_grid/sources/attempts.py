@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attempt_grid.operators.contract import ATTEMPT_COLUMNS, require_columns, to_contract
 
+# Fixed value: the form of a plain table name, one to three identifiers.
 _IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 _TABLE_NAME = re.compile(rf"{_IDENTIFIER}(\.{_IDENTIFIER}){{0,2}}")
 

@@ -344,7 +344,8 @@ SELECT 'base' AS group_name FROM ev WHERE event_type IN ('click', 'view')
 UNION SELECT 'grp_' || (k % 7) FROM ev WHERE event_type = 'click'
 UNION SELECT 'obj_' || (k % 5) FROM ev WHERE event_type = 'view'"""
 ORACLE["player_trajectory"] = f"""WITH {_MART_A}
-SELECT user_id, client_time, level_cohort, reason_seg FROM mart WHERE user_id IN ('3', '7', '11')"""
+SELECT user_id, client_time, level_cohort, reason_seg FROM mart
+WHERE user_id IN (SELECT user_id FROM players WHERE traffic_type = 'crosspromo')"""
 
 # --- filters and options -----------------------------------------------------
 

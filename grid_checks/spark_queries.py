@@ -42,7 +42,6 @@ QUERIES: dict[str, Query] = {}
 CUTOFF = "2024-01-05"
 BUCKET_WIDTH = 100
 EVENT_DAYS = [date(2024, 1, 1) + timedelta(days=n) for n in range(30)]
-CHOSEN_PLAYERS = ("3", "7", "11")
 
 # A segment thin enough to leave cells of the event grid empty.
 THIN_SEGMENT = AttemptCriteria(traffic_types=("BUILDING",), payer_types=("payer",))
@@ -249,7 +248,9 @@ def ab_group_names(spark, sf_dir):
 
 @_query
 def player_trajectory(spark, sf_dir):
-    return mart.player_trajectory(mart_a(spark, sf_dir), CHOSEN_PLAYERS)
+    players = sample.players_from_customer(spark, sf_dir)
+    chosen = players.filter(F.col("traffic_type") == "crosspromo")
+    return mart.player_trajectory(mart_a(spark, sf_dir), chosen)
 
 
 # --- filters and options -----------------------------------------------------

@@ -267,6 +267,9 @@ def test_player_trajectory(levels, players):
         (14, 1, "far_win"),
     ]
     assert "balance_id" in mart.player_trajectory(built, ["u1"], "balance_id").columns
+    listed = players.filter("user_id = 'u1'")
+    assert mart.player_trajectory(built, listed).collect() == rows
+    assert mart.eligible_players(players, listed).collect() == [("u1", "organic")]
 
 
 def test_rebuilt_table_is_typed_and_reads_as_contract(spark, levels, players):
