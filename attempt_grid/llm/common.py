@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,3 +61,36 @@ def in_chunks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4
             total += size
         if first < batch.num_rows:
             yield batch.slice(first)
+
+
+def tiled(rows: DataFrame, item: str, most: int) -> DataFrame:
+    """Splits crowded cells for a comparison of their members: adds tile, target and query.
+
+    rows have cell, home, the column item and others. Home rows of a cell are compared with each
+    other and with its visitors. A cell of up to ``most`` home rows is one tile; a larger one is a
+    square of tiles, where tile (i, q) compares the i-th block of home rows as targets with the
+    q-th block of all rows as queries. Blocks are dealt by the hash of item.
+    """
+    others = [c for c in rows.columns if c not in ("cell", "home")]
+    crowded = written(
+        rows.filter("home").groupBy("cell").count().filter(F.col("count") > most).select(
+            "cell", F.ceil(F.col("count") / most).cast("int").alias("blocks")
+        )
+    )
+    n = crowded.count()
+    if n == 0:
+        return rows.select("cell", F.lit(0).alias("tile"), F.col("home").alias("target"), F.lit(True).alias("query"), "home", *others)
+    # at most one row for every ``most`` rows; joined the usual way where that is still large
+    joined = rows.join(F.broadcast(crowded) if n <= 1_000_000 else crowded, "cell", "left")
+    mine = F.pmod(F.xxhash64(item), F.col("blocks")).cast("int")
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    part = lambda tile, target, query: F.struct(tile.alias("tile"), target.alias("target"), query.alias("query"))
+    no, yes = F.lit(False), F.lit(True)
+    as_query = F.transform(each, lambda i: part(i * F.col("blocks") + mine, no, yes))
+    as_target = F.transform(each, lambda q: part(mine * F.col("blocks") + q, yes, no))
+    parts = (
+        F.when(F.col("blocks").isNull(), F.array(part(F.lit(0), F.col("home"), yes)))
+        .when(F.col("home"), F.concat(as_query, as_target))
+        .otherwise(as_query)
+    )
+    return joined.select("cell", "home", *others, F.explode(parts).alias("p")).select("cell", "p.tile", "p.target", "p.query", "home", *others)

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_components
+from .license_scan import scan_licenses
+from .neighbours import nearest
 from .packing import pack
 from .pii import find_personal_data, train_field
+from .sentencepiece_codec import encode
+from .sharding import shard_documents
 from .simhash import simhash_components
 from .substring_dedup import remove_repeated_passages
 from .toxicity import fit_toxicity, score_toxicity
@@ -24,6 +30,22 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return find_personal_data(docs, train_field(docs))
@@ -38,14 +60,23 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
         op2_mixture_packing,
+        op3_sentencepiece,
+        op4_license_scan,
+        op5_embedding_near_dedup,
+        op6_rendezvous_sharding,
         op7_personal_data,
         op8_toxicity,
         op9_simhash_near_dedup,
+        op10_vantage_point_neighbours,
     )
 }
 ORACLE: dict[str, str] = {}

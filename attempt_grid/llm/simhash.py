@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, partitions, text_bytes, written
+from .common import in_chunks, partitions, text_bytes, tiled, written
 from .components import connected_components
 
 SEED = 42
@@ -75,36 +75,6 @@ def _cells(codes: DataFrame) -> DataFrame:
     return rows.select((F.col("half") * (1 << 32) + F.col("v") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("home"), "fp")
 
 
-def _tiles(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """Adds (tile, target, query): small cells are one tile, large ones a square of tiles.
-
-    Tile (i, q) compares the i-th block of the cell's fingerprints with the q-th block of its
-    fingerprints and visitors.
-    """
-    crowded = written(
-        rows.filter("home").groupBy("cell").count().filter(F.col("count") > cell_rows).select(
-            "cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("blocks")
-        )
-    )
-    n = crowded.count()
-    plain = rows.select("cell", F.lit(0).alias("tile"), F.col("home").alias("target"), F.lit(True).alias("query"), "fp")
-    if n == 0:
-        return plain
-    small = F.broadcast(crowded) if n <= 1_000_000 else crowded
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    joined = rows.join(small, "cell", "left")
-    as_query = F.transform(each, lambda i: F.struct((i * F.col("blocks") + mine).alias("tile"), F.lit(False).alias("target"), F.lit(True).alias("query")))
-    as_target = F.transform(each, lambda q: F.struct((mine * F.col("blocks") + q).alias("tile"), F.lit(True).alias("target"), F.lit(False).alias("query")))
-    one = F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("target"), F.lit(True).alias("query")))
-    parts = (
-        F.when(F.col("blocks").isNull(), one)
-        .when(F.col("home"), F.concat(as_query, as_target))
-        .otherwise(as_query)
-    )
-    return joined.select("cell", "fp", F.explode(parts).alias("p")).select("cell", "p.tile", "p.target", "p.query", "fp")
-
-
 def _forest(fp: np.ndarray, targets: np.ndarray, queries: np.ndarray, max_bits: int):
     """Links of a spanning forest: which queries and targets of one tile are connected."""
     nodes = np.unique(np.concatenate([fp[targets], fp[queries]]))
@@ -171,7 +141,7 @@ def fingerprint_links(codes: DataFrame, max_bits: int = 3, cell_rows: int = 4096
     """Links (a, b) between distinct fingerprints (fp) that connect all within max_bits (at most 3)."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two halves at Manhattan distance 1 cover at most 3 bits")
-    tiles = _tiles(_cells(codes), cell_rows)
+    tiles = tiled(_cells(codes), "fp", cell_rows)
     n = partitions(codes.sparkSession)
     return (
         tiles.repartition(n, "cell", "tile")
