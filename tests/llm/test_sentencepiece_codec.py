@@ -1,0 +1,39 @@
+import numpy as np
+import public_tokenizers
+import sentencepiece
+
+from attempt_grid.llm.sentencepiece_codec import Codec, decode, encode
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+ODD = ["a  b   c", "  lead", "trail  ", "\n\n x\t y", "日本語 テスト 😀 ▁ mark", "<s> </s> <0x41>", "a" * 5000, " ", "", None]
+
+
+def test_ids_are_sentencepieces_and_decode_to_the_text(spark, docs, texts):
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    every = {**texts, **{1000 + i: t for i, t in enumerate(ODD)}}
+    frame = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    coded = encode(frame, PATH)
+    for r in coded.collect():
+        assert r.ids == model.encode(every[r.doc_id] or "")
+        assert r.n_tokens == len(r.ids)
+        assert r.round_trip == (model.decode(r.ids) == (every[r.doc_id] or ""))
+    assert {r.doc_id: r.text for r in decode(coded, PATH).collect()} == {i: model.decode(model.encode(t or "")) for i, t in every.items()}
+
+
+def test_unigram_takes_the_best_path():
+    codec = Codec(PATH)
+    codec.unigram, codec.prefix = True, False
+    codec.normal = {"a": 259, "b": 260, "ab": 261, "aba": 262, "ba": 263}
+    codec.scores = [0.0] * 259 + [-3.0, -3.0, -2.0, -7.0, -1.0]
+    codec.least_score = -7.0
+    codec.learn({"abab", "ababa", "ab"})
+    ids = {w: np.frombuffer(c, "<u4").tolist() for w, c in codec.words.items()}
+    assert ids["ab"] == [261] and ids["abab"] == [261, 261] and ids["ababa"] in ([261, 259, 263], [261, 261, 259], [259, 263, 263])
+    assert sum(codec.scores[i] for i in ids["ababa"]) == -5.0
+
+
+def test_odd_tables(no_docs, clashing, broken, texts):
+    assert encode(no_docs, PATH).collect() == []
+    assert encode(clashing, PATH).count() == len(texts)
+    found = {r.doc_id: r.n_tokens for r in encode(broken, PATH, with_ids=False).collect()}
+    assert found[None] in (0, 61, 91) and encode(broken, PATH).count() == broken.count()
