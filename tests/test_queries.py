@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from grid_checks.compare import difference, duckdb_views
+from grid_checks.duckdb_queries import ORACLE
+from grid_checks.spark_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no sample tables")
@@ -17,7 +19,9 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
@@ -25,6 +29,6 @@ def test_entry(spark):
     assert "fail_rate" in {r["metric_name"] for r in result.collect()}
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     assert difference(spark, connection, SF, name) is None
