@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from attempt_grid.functions.casts import whole_number
 
 # Outcome flag columns and the segment name each one stands for,
 # in the order in which a set flag wins.
@@ -36,9 +39,9 @@ def level_bucket(level: Column, width: float) -> Column:
     return F.floor(level / F.lit(float(width))).cast("int")
 
 
-def is_first_attempt(attempt: Column) -> Column:
+def is_first_attempt(attempt: Column, source: T.DataType) -> Column:
     """1 for attempt number one; missing or unreadable numbers give 0."""
-    return indicator(attempt.try_cast("int") == 1)
+    return indicator(whole_number(attempt, source) == 1)
 
 
 def segment_flags(segment: Column) -> dict[str, Column]:

@@ -20,6 +20,13 @@ WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace
 # Plain decimal notation only: Spark's own cast would also take '1d' and '0x1p3'.
 DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+# A year with month, day and time as far as given, or a time of day: what Spark can cast.
+TIMESTAMP_TEXT = r"^[+-]?[0-9]{4,6}(-(0?[1-9]|1[0-2])(-(0?[1-9]|[12][0-9]|3[01])([ T].*)?)?)?$|^T?[0-9]{1,2}:"
+
+# The words for true and false.
+TRUE_WORDS = ("true", "t", "yes", "y", "1")
+FALSE_WORDS = ("false", "f", "no", "n", "0")
+
 
 def strip_text(column: Column) -> Column:
     """Text without leading and trailing whitespace.
@@ -52,13 +59,14 @@ def truth_value(column: Column, source: T.DataType) -> Column:
         return column
     if isinstance(source, T.NumericType):
         return F.when(column == 1, F.lit(True)).when(column == 0, F.lit(False))
-    # Spark's text-to-boolean literals are exactly true/t/yes/y/1 and false/f/no/n/0.
-    return _cast_text(column, "boolean")
+    word = F.lower(strip_text(column))
+    return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
-def _cast_text(column: Column, target: str) -> Column:
-    """Cast of text; only where that fails, cast of the text stripped of exotic spaces."""
-    return F.coalesce(column.try_cast(target), strip_text(column).try_cast(target))
+def _timestamp_text(column: Column) -> Column:
+    """Timestamp of text. As with numbers, text of another form never reaches the cast."""
+    text = strip_text(column)
+    return F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp"))
 
 
 def instant(column: Column, source: T.DataType) -> Column:
@@ -66,7 +74,7 @@ def instant(column: Column, source: T.DataType) -> Column:
     if isinstance(source, T.TimestampType):
         return column
     if isinstance(source, T.StringType):
-        return _cast_text(column, "timestamp")
+        return _timestamp_text(column)
     return column.try_cast("timestamp")
 
 
@@ -76,5 +84,5 @@ def day(column: Column, source: T.DataType) -> Column:
         return column
     if isinstance(source, T.StringType):
         # Through timestamp, because text-to-date ignores whatever follows the day.
-        return _cast_text(column, "timestamp").try_cast("date")
+        return _timestamp_text(column).try_cast("date")
     return column.try_cast("date")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attempt_grid.functions.attempts import OUTCOME_SEGMENTS, flags_segment
-from attempt_grid.operators.criteria import DateLike, as_day
+from attempt_grid.operators.criteria import DateLike, Limits, as_day
+from attempt_grid.sinks.tables import keep
 
 # What makes an event a finished attempt of an eligible player.
 FINISHED_EVENT = "m3.level_finished"
@@ -78,6 +79,13 @@ def after_cutoff(levels: DataFrame, cutoff: DateLike) -> DataFrame:
     )
 
 
+def on_days(rows: DataFrame, days: Limits) -> DataFrame:
+    """Rows of the given partition days; a day-partitioned input opens only those."""
+    for condition in days.conditions("partition_date", as_day):
+        rows = rows.filter(condition)
+    return rows
+
+
 def within_drift(levels: DataFrame, max_seconds: int = MAX_CLOCK_DRIFT_SECONDS) -> DataFrame:
     """Events whose client clock is at most ``max_seconds`` ahead of the server.
 
@@ -93,6 +101,8 @@ def within_drift(levels: DataFrame, max_seconds: int = MAX_CLOCK_DRIFT_SECONDS)
     )
 
 
+BROADCAST_BYTES = 200 << 20
+
 # Header, null bits and pointers of a hashed row, generously rounded.
 ROW_OVERHEAD_BYTES = 64
 
@@ -100,10 +110,13 @@ ROW_OVERHEAD_BYTES = 64
 def broadcast_if_small(dimension: DataFrame, max_bytes: int) -> DataFrame:
     """The dimension with a broadcast hint if its measured text fits ``max_bytes``.
 
-    Starts one aggregation job over the dimension. A larger dimension comes back
-    without a hint: Spark then shuffles both sides, and adaptive execution splits
-    the partitions of players with extremely many events.
+    Starts one aggregation job over the dimension, which is kept first where the session
+    has a shared folder, so that measuring and joining compute it once. A larger dimension
+    comes back without a hint: Spark then shuffles both sides, and adaptive execution
+    splits the partitions of players with extremely many events.
     """
+    if dimension.sparkSession.conf.get("spark.checkpoint.dir", None):
+        dimension = keep(dimension)
     widths = [F.octet_length(F.col(name).cast("string")) for name in dimension.columns]
     width = sum((F.coalesce(w, F.lit(0)) for w in widths), start=F.lit(ROW_OVERHEAD_BYTES))
     size = dimension.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
@@ -111,13 +124,13 @@ def broadcast_if_small(dimension: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def join_players(
-    events: DataFrame, players: DataFrame, broadcast_bytes: int | None = None
+    events: DataFrame, players: DataFrame, broadcast_bytes: int | None = BROADCAST_BYTES
 ) -> DataFrame:
     """Events of eligible players, with their traffic type.
 
-    By default Spark chooses the join from its size estimates and, at run time,
-    from the measured shuffle sizes. ``broadcast_bytes`` measures the player side
-    up front instead, which spares shuffling the events when it is small.
+    The player side is measured up front and broadcast up to ``broadcast_bytes``, which
+    spares shuffling the events. With None nothing is measured: Spark chooses the join
+    from its size estimates and, at run time, from the measured shuffle sizes.
     """
     side = players if broadcast_bytes is None else broadcast_if_small(players, broadcast_bytes)
     return events.join(side, "user_id", "inner")

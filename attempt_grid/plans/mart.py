@@ -15,7 +15,7 @@ from attempt_grid.functions.attempts import (
 )
 from attempt_grid.functions.casts import truth_value, whole_number
 from attempt_grid.operators import mart
-from attempt_grid.operators.criteria import DateLike
+from attempt_grid.operators.criteria import DateLike, Limits
 from attempt_grid.sinks.tables import overwrite_table
 
 # Output columns of the two builds.
@@ -72,6 +72,11 @@ def _parsed(events: DataFrame, payload_keys: tuple[str, ...], *carried: str | Co
     return fields.withColumn("balance_id", level_number(F.col("level_id"))).drop("level_id")
 
 
+def _of_listed(events: DataFrame, user_ids: mart.UserIds | None) -> DataFrame:
+    """A short list of players is a condition on the event scan as well."""
+    return events if user_ids is None or isinstance(user_ids, DataFrame) else mart.of_users(events, user_ids)
+
+
 def attempts_from_payload(
     levels: DataFrame,
     players: DataFrame,
@@ -79,11 +84,12 @@ def attempts_from_payload(
     bucket_width: float,
     cutoff: DateLike,
     user_ids: mart.UserIds | None = None,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int | None = mart.BROADCAST_BYTES,
+    days: Limits = Limits(),
 ) -> DataFrame:
-    """Attempts whose outcome segment is in the event payload."""
-    events = mart.finished_events(levels)
-    events = mart.after_cutoff(mart.without_chain(events), cutoff)
+    """Attempts whose outcome segment is in the event payload, of all days or the given ones."""
+    events = mart.finished_events(mart.on_days(levels, days))
+    events = _of_listed(mart.after_cutoff(mart.without_chain(events), cutoff), user_ids)
     attempts = _parsed(events, ("reason_seg", "attempt", "super_ball")).fillna(
         UNKNOWN_SEGMENT, subset="reason_seg"
     )
@@ -91,7 +97,7 @@ def attempts_from_payload(
         attempts, mart.eligible_players(players, user_ids), broadcast_bytes
     )
     derived = {
-        "first_attempt": is_first_attempt(F.col("attempt")),
+        "first_attempt": is_first_attempt(F.col("attempt"), attempts.schema["attempt"].dataType),
         "level_cohort": level_bucket(F.col("balance_id"), bucket_width),
         **segment_flags(F.col("reason_seg")),
     }
@@ -107,21 +113,23 @@ def attempts_from_outcomes(
     cutoff: DateLike,
     max_drift_seconds: int = mart.MAX_CLOCK_DRIFT_SECONDS,
     user_ids: mart.UserIds | None = None,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int | None = mart.BROADCAST_BYTES,
+    days: Limits = Limits(),
 ) -> DataFrame:
-    """Attempts whose outcome flags come from a table of their own."""
-    events = mart.within_drift(levels, max_drift_seconds)
+    """Attempts whose outcome flags come from a table of their own, of all days or the given ones."""
+    events = mart.within_drift(mart.on_days(levels, days), max_drift_seconds)
+    if "partition_date" in outcomes.columns:
+        outcomes = mart.on_days(outcomes, days)
     events = mart.chain_not_like(mart.finished_events(events))
-    events = mart.after_cutoff(events, cutoff)
-    attempts = _parsed(
-        events, ("super_ball",), "ab_group", F.col("attempt").try_cast("int").alias("attempt")
-    )
+    events = _of_listed(mart.after_cutoff(events, cutoff), user_ids)
+    number = whole_number(F.col("attempt"), events.schema["attempt"].dataType)
+    attempts = _parsed(events, ("super_ball",), "ab_group", number.alias("attempt"))
     attempts = mart.join_players(
         attempts, mart.eligible_players(players, user_ids), broadcast_bytes
     )
     attempts = mart.with_flags_segment(mart.join_outcomes(attempts, outcomes))
     derived = {
-        "first_attempt": is_first_attempt(F.col("attempt")),
+        "first_attempt": is_first_attempt(F.col("attempt"), attempts.schema["attempt"].dataType),
         "level_cohort": level_bucket(F.col("balance_id"), bucket_width),
     }
     return attempts.withColumns(derived).select(*OUTCOME_BUILD_COLUMNS)
@@ -143,7 +151,18 @@ def typed(attempts: DataFrame) -> DataFrame:
 
 
 def rebuild_table(
-    attempts: DataFrame, name: str, *, replace_schema: bool = False, cluster: bool = True
+    attempts: DataFrame,
+    name: str,
+    *,
+    replace_schema: bool = False,
+    cluster: bool = True,
+    only_present_days: bool = False,
 ) -> None:
-    """Write a build as its day-partitioned table, replacing the previous one."""
-    overwrite_table(typed(attempts), name, replace_schema=replace_schema, cluster=cluster)
+    """Write a build as its day-partitioned table, replacing the previous one or its days."""
+    overwrite_table(
+        typed(attempts),
+        name,
+        replace_schema=replace_schema,
+        cluster=cluster,
+        only_present_days=only_present_days,
+    )

@@ -7,16 +7,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attempt_grid.operators.statistics import segment_totals
 from attempt_grid.operators.status import ProjectTable, dataset_status
 from attempt_grid.plans.mart import rebuild_table
+from attempt_grid.sinks.tables import overwrite_table
+from attempt_grid.sources.attempts import read_attempts_table
 
 
 @dataclass(frozen=True, slots=True)
 class ProjectBuild:
     """A project's attempt table and how to build it.
 
-    ``build`` is only called when a rebuild is requested. ``replace_schema`` and
-    ``cluster`` are passed on to the write.
+    ``build`` is only called when a rebuild is requested. ``replace_schema``, ``cluster``
+    and ``only_present_days`` are passed on to the write; with the last one a build of a
+    few days leaves the rest of the table alone. ``segment_table`` is kept up to date with
+    the ``segment_totals`` of what was built.
     """
 
     project: str
@@ -25,6 +30,8 @@ class ProjectBuild:
     requested: bool = False
     replace_schema: bool = False
     cluster: bool = True
+    only_present_days: bool = False
+    segment_table: str | None = None
 
 
 def refresh(spark: SparkSession, builds: Iterable[ProjectBuild]) -> DataFrame:
@@ -32,12 +39,19 @@ def refresh(spark: SparkSession, builds: Iterable[ProjectBuild]) -> DataFrame:
     builds = list(builds)
     for item in builds:
         if item.requested:
-            rebuild_table(
-                item.build(),
-                item.table_name,
-                replace_schema=item.replace_schema,
-                cluster=item.cluster,
-            )
+            built = item.build()
+            options = {
+                "replace_schema": item.replace_schema,
+                "cluster": item.cluster,
+                "only_present_days": item.only_present_days,
+            }
+            rebuild_table(built, item.table_name, **options)
+            if item.segment_table:
+                attempts = read_attempts_table(spark, item.table_name)
+                if item.only_present_days:
+                    days = built.select("partition_date").distinct()
+                    attempts = attempts.join(days, "partition_date", "left_semi")
+                overwrite_table(segment_totals(attempts), item.segment_table, **options)
     return dataset_status(
         spark, [ProjectTable(b.project, b.table_name, b.requested) for b in builds]
     )

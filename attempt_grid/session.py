@@ -17,12 +17,25 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "static",
 }
 
+SHUFFLE_PARTITION_BYTES = 128 << 20
+
 
 def attempt_session(
-    app_name: str = "attempt-grid", settings: Mapping[str, str] | None = None
+    app_name: str = "attempt-grid",
+    settings: Mapping[str, str] | None = None,
+    *,
+    input_bytes: int | None = None,
 ) -> SparkSession:
-    """The active or a new session with these settings; yours take precedence."""
+    """The active or a new session with these settings; yours take precedence.
+
+    ``input_bytes`` is the size of the largest input that is shuffled. It sets the initial
+    number of shuffle partitions, one for every 128 MB and 200 at least.
+    """
+    sized = {}
+    if input_bytes is not None:
+        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        sized[initial] = str(max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES)))
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **(settings or {})}.items():
+    for key, value in {**SETTINGS, **sized, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

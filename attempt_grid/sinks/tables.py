@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 BUCKET_COLUMN = "level_cohort"
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def _arranged(df: DataFrame, partition_col: str, cluster: bool) -> DataFrame:
@@ -53,12 +53,26 @@ def overwrite_table(
     *,
     replace_schema: bool = False,
     cluster: bool = True,
+    only_present_days: bool = False,
 ) -> None:
     """Overwrite a catalog table partitioned by day.
 
     The schema options matter to table formats that check them: by default new
     columns are merged in, ``replace_schema`` puts the new schema in place.
+    ``only_present_days`` replaces just the days that occur in ``df`` and leaves the
+    files of other days alone; a table that does not exist yet is created.
     """
+    spark = df.sparkSession
+    if only_present_days and spark.catalog.tableExists(name):
+        rows = _arranged(df.select(*spark.table(name).columns), partition_col, cluster)
+        # insertInto takes the mode from the session only
+        before = spark.conf.get(OVERWRITE_MODE)
+        spark.conf.set(OVERWRITE_MODE, "dynamic")
+        try:
+            rows.write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set(OVERWRITE_MODE, before)
+        return
     writer = _arranged(df, partition_col, cluster).write.mode("overwrite")
     if replace_schema:
         writer = writer.option("mergeSchema", "false").option("overwriteSchema", "true")
@@ -68,16 +82,10 @@ def overwrite_table(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below the one the cluster shares between its machines.
-
-    The root is ``spark.checkpoint.dir``. Only a local session, which has no other
-    machine, may go without it.
-    """
+    """A new folder name below ``spark.checkpoint.dir``, which all machines share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
-        root = tempfile.gettempdir()
+        raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
     return f"{root.rstrip('/')}/attempt-grid-{uuid.uuid4().hex}"
 
 

@@ -25,16 +25,18 @@ def validate_table_identifier(name: str) -> str:
 
 
 def read_attempts_csv(
-    spark: SparkSession, path: str | PurePath, *, strict: bool = False
+    spark: SparkSession, path: str | PurePath, *, strict: bool = False, multi_line: bool = False
 ) -> DataFrame:
     """Contract rows from CSV files with a header line, matched by column name.
 
     Everything is read as text and coerced, so a reordered file stays correct and
     a bad value becomes NULL (see ``contract_rejects``) instead of failing a task.
     ``strict`` looks for bad values first and raises. Files whose headers differ
-    from each other are an error.
+    from each other are an error. A quote inside quotes is written twice; line breaks
+    inside quotes need ``multi_line``, with which a file is no longer read in parts.
     """
     reader = spark.read.option("header", True).option("enforceSchema", False)
+    reader = reader.option("escape", '"').option("multiLine", multi_line)
     try:
         raw = reader.csv(str(path))
     except AnalysisException as error:
@@ -81,6 +83,16 @@ class ProjectSource:
     location: str
 
 
+def source_registry(
+    sources: Mapping[str, tuple[str, str]], default: str | None = None
+) -> dict[str, ProjectSource]:
+    """Registry of (kind, location) by project; the default project is also the source of ``""``."""
+    registry = {project: ProjectSource(*source) for project, source in sources.items()}
+    if default is not None:
+        registry[""] = attempt_source(registry, default)
+    return registry
+
+
 def attempt_source(registry: Mapping[str, ProjectSource], project: str) -> ProjectSource:
     """The source registered for a project; unknown projects and kinds raise."""
     if project not in registry:
@@ -94,8 +106,8 @@ def attempt_source(registry: Mapping[str, ProjectSource], project: str) -> Proje
 
 
 def load_attempts(
-    spark: SparkSession, registry: Mapping[str, ProjectSource], project: str
+    spark: SparkSession, registry: Mapping[str, ProjectSource], project: str = ""
 ) -> DataFrame:
-    """Contract rows of one project."""
+    """Contract rows of one project, by default the registry's default project."""
     source = attempt_source(registry, project)
     return READERS[source.kind](spark, source.location)

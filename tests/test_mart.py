@@ -150,10 +150,10 @@ def test_level_bucket_width(spark):
         level_bucket(F.col("n"), 0)
 
 
-@pytest.mark.parametrize(("text", "flag"), [("1", 1), (" 1", 1), ("2", 0), ("abc", 0), (None, 0)])
+@pytest.mark.parametrize(("text", "flag"), [("1", 1), (" 1", 1), ("2", 0), ("abc", 0), (None, 0), ("1.0", 1), ("1e0", 1), ("1.9", 1), ("2.9", 0)])
 def test_first_attempt(spark, text, flag):
     frame = spark.createDataFrame([(text,)], "a string")
-    assert frame.select(is_first_attempt(F.col("a"))).first()[0] == flag
+    assert frame.select(is_first_attempt(F.col("a"), frame.schema["a"].dataType)).first()[0] == flag
 
 
 def test_payload_build(levels, players):

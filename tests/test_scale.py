@@ -60,7 +60,7 @@ def many_players(spark):
 
 def test_shuffled_player_join_splits_a_hot_player(spark, hot_events, many_players):
     with settings(spark, **NO_BROADCAST, **SMALL_SKEW):
-        joined = mart.join_players(hot_events, mart.eligible_players(many_players))
+        joined = mart.join_players(hot_events, mart.eligible_players(many_players), None)
         # The write that follows shuffles by day, so splitting costs no extra shuffle.
         result = joined.repartition(4, "id").agg(F.count("*"), F.sum("id"), F.max("payload").isNotNull())
         (row,) = result.collect()
@@ -108,6 +108,7 @@ def test_payloads_are_parsed_before_the_join(spark):
                 sample.players_from_customer(spark, SF),
                 bucket_width=100,
                 cutoff="2024-01-05",
+                broadcast_bytes=None,
             )
         )
     join, parse = text.index("SortMergeJoin"), text.index("json_tuple")

@@ -1,19 +1,23 @@
 import os
 from datetime import date
 
+import pytest
 from conftest import attempt, plan
 from pyspark.sql import functions as F
 
 from attempt_grid import (
     ATTEMPT_COLUMNS,
     AttemptCriteria,
-    DisplayRange,
+    Limits,
+    ProjectBuild,
     aggregate_statistics,
+    attempts_from_payload,
     filter_cells,
     keep,
     latest_partition,
     overwrite_table,
     read_attempts_table,
+    refresh,
     write_partitioned,
 )
 from attempt_grid.sinks.tables import shared_folder
@@ -90,7 +94,7 @@ def test_latest_partition_reads_no_data_columns(spark, attempts):
 def test_display_range_prunes_partitions_of_a_lazy_aggregate(spark, attempts):
     overwrite_table(attempts(*day_rows(1, 2, 3)), "pruned_table")
     statistics = aggregate_statistics(read_attempts_table(spark, "pruned_table"), AttemptCriteria())
-    text = plan(filter_cells(statistics, DisplayRange(level_min=3, start_date="2026-01-02")))
+    text = plan(filter_cells(statistics, AttemptCriteria(levels=Limits(3), days=Limits("2026-01-02"))))
     scan = next(line for line in text.splitlines() if "FileScan" in line)
     assert "partition_date" in scan.split("PartitionFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(level_cohort,3)" in scan
@@ -101,7 +105,7 @@ def test_kept_statistics_are_not_recomputed(spark, attempts, tmp_path):
     kept = keep(statistics, str(tmp_path / "kept"))
     assert kept.dtypes == statistics.dtypes
     assert sorted(kept.collect()) == sorted(statistics.collect())
-    assert "Aggregate" not in plan(filter_cells(kept, DisplayRange(level_min=1)))
+    assert "Aggregate" not in plan(filter_cells(kept, AttemptCriteria(levels=Limits(1))))
 
 
 def test_shared_folder_is_where_the_session_says(spark):
@@ -109,3 +113,41 @@ def test_shared_folder_is_where_the_session_says(spark):
     first, second = shared_folder(spark), shared_folder(spark)
     assert first.startswith(root + "/") and first != second
     assert keep(spark.range(3)).count() == 3
+
+
+def test_refresh_of_one_day_leaves_the_others(spark, attempts):
+    def files(table):
+        folder = spark.sql(f"DESCRIBE EXTENDED {table}").filter("col_name = 'Location'").first()[1].removeprefix("file:")
+        return {d: sorted(os.listdir(os.path.join(folder, d))) for d in os.listdir(folder) if "=" in d}
+
+    build = lambda *days: lambda: attempts(*day_rows(*days))
+    refresh(spark, [ProjectBuild("p", "daily_attempts", build(1, 2, 2, 3), True, segment_table="daily_segments")])
+    before = {t: files(t) for t in ("daily_attempts", "daily_segments")}
+    status = refresh(
+        spark,
+        [ProjectBuild("p", "daily_attempts", build(2, 4), True, only_present_days=True, segment_table="daily_segments")],
+    )
+    assert status.first()["latest_partition"] == "2026-01-04"
+    for table, old in before.items():
+        new = files(table)
+        assert set(new) == {f"partition_date=2026-01-0{d}" for d in (1, 2, 3, 4)}
+        assert {d for d in old if new[d] != old[d]} == {"partition_date=2026-01-02"}
+    assert read_attempts_table(spark, "daily_attempts").count() == 4
+    assert spark.table("daily_segments").agg(F.sum("attempts_total")).first()[0] == 4
+
+
+def test_build_of_one_day_reads_one_day(spark, tmp_path):
+    from grid_checks import sample_tables as sample
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no sample tables")
+    write_partitioned(sample.levels_from_events(spark, sf, chained=False), str(tmp_path / "levels"))
+    levels = spark.read.parquet(str(tmp_path / "levels"))
+    players = sample.players_from_customer(spark, sf)
+    rules = {"bucket_width": 100, "cutoff": "2024-01-05"}
+    one = attempts_from_payload(levels, players, days=Limits("2024-01-10", "2024-01-10"), **rules)
+    assert "PartitionFilters: [isnotnull(partition_date" in plan(one) and "= 2024-01-10" in plan(one)
+    whole = attempts_from_payload(levels, players, **rules).filter("partition_date = '2024-01-10'")
+    assert sorted(map(str, one.collect())) == sorted(map(str, whole.collect())) != []
+    assert "SortMergeJoin" not in plan(one) and plan(one).count("Exchange hashpartitioning(user_id") == 0

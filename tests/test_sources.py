@@ -6,6 +6,7 @@ from conftest import attempt, plan
 from attempt_grid import (
     ATTEMPT_COLUMNS,
     ProjectSource,
+    source_registry,
     contract_rejects,
     load_attempts,
     read_attempts_csv,
@@ -103,7 +104,7 @@ def test_routing(spark, attempts):
     }
     assert load_attempts(spark, registry, "one").count() == 1
     assert load_attempts(spark, registry, "two").count() == 2
-    assert project_options(spark, registry, "two").level_max == 5
+    assert project_options(spark, registry, "two").levels.last == 5
     cells = project_statistics(spark, registry, "two").collect()
     assert [c["level_group"] for c in cells] == [3, 5]
     with pytest.raises(ValueError, match="no source for project"):
@@ -112,3 +113,21 @@ def test_routing(spark, attempts):
         attempt_source(registry, "odd")
     with pytest.raises(ValueError, match="has no location"):
         attempt_source(registry, "blank")
+
+
+def test_default_project(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(ATTEMPT_COLUMNS) + "\n")
+    registry = source_registry({"one": ("csv", str(tmp_path / "a.csv"))}, default="one")
+    assert load_attempts(spark, registry).columns == list(ATTEMPT_COLUMNS)
+    with pytest.raises(ValueError):
+        source_registry({"one": ("csv", "x")}, default="two")
+    with pytest.raises(ValueError):
+        load_attempts(spark, source_registry({"one": ("csv", "x")}))
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    row = {**{c: "" for c in ATTEMPT_COLUMNS}, "user_id": '"u ""x"", 1"', "traffic_type": '"two\nlines"', "level_cohort": "7"}
+    path = tmp_path / "quoted.csv"
+    path.write_text(",".join(ATTEMPT_COLUMNS) + "\n" + ",".join(row[c] for c in ATTEMPT_COLUMNS) + "\n")
+    (found,) = read_attempts_csv(spark, path, multi_line=True).collect()
+    assert (found.user_id, found.traffic_type, found.level_cohort) == ('u "x", 1', "two\nlines", 7)
