@@ -10,7 +10,7 @@ from attempt_grid.operators.contract import (
 )
 from attempt_grid.operators.criteria import (
     AttemptCriteria,
-    DisplayRange,
+    Limits,
     criteria_predicate,
     filter_attempts,
     filter_cells,
@@ -33,7 +33,14 @@ from attempt_grid.operators.metrics import (
     select_metric,
     select_metric_values,
 )
-from attempt_grid.operators.options import distinct_values, filter_options, read_filter_options
+from attempt_grid.operators.options import (
+    FilterOptions,
+    distinct_values,
+    filter_options,
+    read_filter_options,
+    read_segment_options,
+    segment_options,
+)
 from attempt_grid.operators.statistics import (
     STATISTIC_COLUMNS,
     aggregate_statistics,
@@ -41,7 +48,7 @@ from attempt_grid.operators.statistics import (
     statistics_from_segments,
 )
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
-from attempt_grid.plans.grid_request import GridRequest, grid_cells, metric_cells
+from attempt_grid.plans.grid_request import GridRequest, grid_cells, grid_cells_from_segments, metric_cells
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, rebuild_table
 from attempt_grid.plans.refresh import ProjectBuild, refresh
 from attempt_grid.session import attempt_session
@@ -53,4 +60,5 @@ from attempt_grid.sources.attempts import (
     read_attempts_projected,
     read_attempts_sql,
     read_attempts_table,
+    source_registry,
 )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,8 @@ LOW_SAMPLE_LABEL = "мало данных"
 ENOUGH_LABEL = "достаточно"
 
 DUPLICATE_CELL = "a grid has at most one row per level_group and date, this input repeats a cell"
+NO_DAY = "a grid cell needs a day, this input has cells whose date is NULL"
+UNLISTED_DAY = "this input has cells on days that are not listed; filter_cells selects days"
 
 
 def duplicate_cells(values: DataFrame) -> DataFrame:
@@ -37,7 +39,18 @@ def require_unique_cells(values: DataFrame) -> DataFrame:
 
 def grid_days(values: DataFrame) -> list[date]:
     """Days of the grid, ascending. Starts one job and fetches one row per day."""
-    return [row["date"] for row in values.select("date").distinct().orderBy("date").collect()]
+    days = [row["date"] for row in values.select("date").distinct().collect()]
+    if None in days:
+        raise ValueError(NO_DAY)
+    return sorted(days)
+
+
+def _on_listed_days(values: DataFrame, days: list[date]) -> DataFrame:
+    """The values; the job that reads a cell without a day or on another day fails."""
+    day = F.col("date").cast("date")
+    listed = day.isin(days) if days else F.lit(False)
+    fail = lambda text: F.raise_error(text).cast("boolean")
+    return values.filter(F.when(day.isNull(), fail(NO_DAY)).when(~listed, fail(UNLISTED_DAY)).otherwise(F.lit(True)))
 
 
 def pivot_grid(
@@ -49,9 +62,10 @@ def pivot_grid(
 ) -> DataFrame:
     """Long cells as a wide grid: one row per level bucket, one column per ISO day.
 
-    Nothing is aggregated: a duplicate cell fails the job that computes it. The
-    days become columns, so they have to be known; without ``days`` one job looks
-    them up. Beyond a few hundred days prefer ``dense_grid``.
+    Nothing is aggregated: a duplicate cell fails the job that computes it, and so
+    does a cell without a day or on a day that is not in ``days``. The days become
+    columns, so they have to be known; without ``days`` one job looks them up.
+    Beyond a few hundred days prefer ``dense_grid``.
     """
     missing = sorted({*CELL_KEYS, value} - set(values.columns))
     if missing:
@@ -62,6 +76,7 @@ def pivot_grid(
         F.col(value).cast("double").alias("value"),
     )
     columns = sorted({as_day(d) for d in days}) if days is not None else grid_days(cells)
+    cells = _on_listed_days(cells, columns)
     only_value = F.when(F.count(F.lit(1)) == 1, F.first("value")).otherwise(
         F.raise_error(DUPLICATE_CELL).cast("double")
     )
@@ -97,19 +112,26 @@ def dense_grid(values: DataFrame, days: Iterable[DateLike] | None = None) -> Dat
     One grouping by level bucket, no join: a bucket's cells (at most one per day)
     are completed with the days it lacks. Without ``days`` the days come from the
     values themselves, which reads them a second time; run it on kept statistics.
+    The job fails on a cell that occurs twice, that has no day, or whose day is not
+    in ``days``.
     """
     rest = [name for name in values.columns if name not in CELL_KEYS]
     cell = F.struct("date", *rest)
     if days is None:
         found = values.select("date").distinct().agg(F.sort_array(F.collect_list("date")))
         every_day = found.scalar()
+        no_day = F.raise_error(NO_DAY).cast("boolean")
+        values = values.filter(F.when(F.col("date").isNull(), no_day).otherwise(F.lit(True)))
     else:
         wanted = sorted({as_day(d) for d in days})
         every_day = F.array(*[F.lit(d) for d in wanted]).cast("array<date>")
-        cell = F.when(F.col("date").isin(wanted), cell)
+        values = _on_listed_days(values, wanted)
+    repeated = F.size("cells") > F.size(F.array_distinct(F.transform("cells", lambda c: c["date"])))
+    unique = F.when(repeated, F.raise_error(DUPLICATE_CELL).cast("boolean")).otherwise(F.lit(True))
     levels = (
         values.groupBy("level_group")
         .agg(F.collect_list(cell).alias("cells"))
+        .filter(unique)
         .withColumn("every_day", every_day)
     )
     absent = F.array_except("every_day", F.transform("cells", lambda c: c["date"]))
@@ -147,8 +169,14 @@ def cell_details(
 
 
 def normalise_range(selected, bounds: tuple[float, float]) -> tuple[float, float]:
-    """A selected value range inside the bounds; unusable input gives the bounds."""
+    """A selected value range inside the bounds; unusable input gives the bounds.
+
+    A mapping with ``minimum`` and ``maximum`` is a range too; an end it lacks is the bound.
+    """
     low, high = ordered_range(*map(float, bounds))
+    if isinstance(selected, Mapping):
+        ends = (selected.get(name) for name in ("minimum", "maximum"))
+        selected = [bound if end is None else end for end, bound in zip(ends, (low, high))]
     ends = _selected_ends(selected)
     if ends is None:
         return low, high

@@ -19,22 +19,22 @@ _CHECKED_ATTRIBUTES = (
 )
 
 
-def attempts_per_day(attempts: DataFrame) -> DataFrame:
+def attempts_per_day(attempts: DataFrame, max_days: int = 36_600) -> DataFrame:
     """Attempts on every day from the first to the last; a gap shows as 0.
 
-    Only the per-day counts, one per calendar day, meet in a single row.
+    Attempts without a day are a row of their own, with a NULL day. A calendar of more
+    than ``max_days`` means a stray day: the job then fails and names first and last day.
     """
     counts = attempts.groupBy("partition_date").agg(F.count(F.lit(1)).alias("attempts"))
-    one_row = counts.filter(F.col("partition_date").isNotNull()).agg(
-        F.collect_list(F.struct("partition_date", "attempts")).alias("present"),
-        F.min("partition_date").alias("first"),
-        F.max("partition_date").alias("last"),
+    ends = counts.agg(F.min("partition_date").alias("first"), F.max("partition_date").alias("last"))
+    days = F.sequence("first", "last", F.expr("interval 1 day"))
+    span = F.concat_ws(" ", F.lit("stray day: attempts span"), "first", F.lit("to"), "last")
+    too_long = F.datediff("last", "first") >= F.lit(max_days)
+    calendar = ends.select(F.explode(F.when(too_long, F.raise_error(span).cast("array<date>")).otherwise(days)).alias("day"))
+    on_days = calendar.join(counts, F.col("day") == F.col("partition_date"), "left").select(
+        F.col("day").alias("partition_date"), F.coalesce("attempts", F.lit(0)).alias("attempts")
     )
-    calendar = F.sequence("first", "last", F.expr("interval 1 day"))
-    absent = F.array_except(calendar, F.transform("present", lambda d: d["partition_date"]))
-    nothing = F.lit(0).cast("long").alias("attempts")
-    gaps = F.transform(absent, lambda d: F.struct(d.alias("partition_date"), nothing))
-    return one_row.select(F.inline(F.concat("present", gaps)))
+    return on_days.unionAll(counts.filter(F.col("partition_date").isNull()))
 
 
 def attempts_per_bucket(attempts: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def players_with_many_traffic_types(players: DataFrame) -> DataFrame:
     """Eligible players whose attempts are repeated because of several traffic types."""
     return (
         players.groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("traffic_types"))
+        .agg(F.count_distinct("traffic_type").alias("traffic_types"))
         .filter(F.col("traffic_types") > 1)
     )
 

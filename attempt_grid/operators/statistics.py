@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attempt_grid.functions.ratios import percent
-from attempt_grid.operators.criteria import AttemptCriteria, filter_attempts
+from attempt_grid.operators.criteria import AttemptCriteria, attempt_group, filter_attempts
 
 # Statistic columns in output order.
 STATISTIC_COLUMNS = (
@@ -57,23 +57,22 @@ def aggregate_statistics(
 def segment_totals(attempts: DataFrame) -> DataFrame:
     """Attempts condensed to totals per cell and combination of filterable values.
 
-    The result has the columns that criteria and filter options refer to, with
-    ``attempt`` cut to 2 (all later attempts are one group), so both work on it
-    unchanged. Kept as a day-partitioned table, it answers every later request
-    from a fraction of the rows, and a new day only adds its own partition.
+    Totals have names of their own, so nothing that reads attempts takes them for
+    attempts: ``attempt_group`` replaces the number, sums end in ``_total``. Kept as a
+    day-partitioned table, the result answers every later request from a fraction of
+    the rows, and a new day only adds its own partition.
     """
-    group = F.when(F.col("attempt") >= 2, F.lit(2)).otherwise(F.col("attempt"))
     return attempts.groupBy(
         "level_cohort",
         "partition_date",
         "payer_type",
         "traffic_type",
         "platform_name",
-        group.alias("attempt"),
+        attempt_group().alias("attempt_group"),
         "super_ball",
     ).agg(
-        *[F.sum(name).alias(name) for name in SUMMED_COLUMNS],
-        F.count(F.lit(1)).alias("attempts"),
+        *[F.sum(name).alias(f"{name}_total") for name in SUMMED_COLUMNS],
+        F.count(F.lit(1)).alias("attempts_total"),
         F.sum("attempt").alias("attempt_sum"),
         F.count("attempt").alias("attempt_count"),
     )
@@ -86,17 +85,19 @@ def statistics_from_segments(
     ordered: bool = True,
 ) -> DataFrame:
     """The statistics of ``aggregate_statistics``, from condensed attempts."""
-    rows = filter_attempts(segments, criteria) if criteria else segments
+    rows = filter_attempts(segments, criteria, condensed=True) if criteria else segments
     average = F.try_divide(F.sum("attempt_sum").cast("double"), F.sum("attempt_count"))
-    return _cells(rows, F.sum("attempts"), average, ordered)
+    return _cells(rows, F.sum("attempts_total"), average, ordered, "_total")
 
 
-def _cells(rows: DataFrame, attempts: Column, average: Column, ordered: bool) -> DataFrame:
+def _cells(
+    rows: DataFrame, attempts: Column, average: Column, ordered: bool, suffix: str = ""
+) -> DataFrame:
     counts = rows.groupBy(
         F.col("level_cohort").cast("int").alias("level_group"),
         F.col("partition_date").cast("date").alias("date"),
     ).agg(
-        *[F.sum(name).cast("double").alias(f"{name}_absolute") for name in SUMMED_COLUMNS],
+        *[F.sum(name + suffix).cast("double").alias(f"{name}_absolute") for name in SUMMED_COLUMNS],
         attempts.cast("double").alias("attempts_absolute"),
         average.cast("double").alias("attempt_average"),
     )

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from attempt_grid.operators import grid
-from attempt_grid.operators.criteria import AttemptCriteria, DisplayRange, filter_cells
+from attempt_grid.operators.criteria import AttemptCriteria, filter_cells
 from attempt_grid.operators.metrics import select_metric
 from attempt_grid.operators.options import FilterOptions, read_filter_options
-from attempt_grid.operators.statistics import aggregate_statistics
+from attempt_grid.operators.statistics import aggregate_statistics, statistics_from_segments
 from attempt_grid.sources.attempts import ProjectSource, load_attempts
 
 
@@ -23,7 +23,7 @@ class GridRequest:
     method: str
     min_observations: int = 0
     criteria: AttemptCriteria = field(default_factory=AttemptCriteria)
-    shown: DisplayRange = field(default_factory=DisplayRange)
+    shown: AttemptCriteria = field(default_factory=AttemptCriteria)
 
 
 def project_options(
@@ -55,3 +55,9 @@ def grid_cells(attempts: DataFrame, request: GridRequest) -> DataFrame:
     """Attempts to masked cells in one lazy plan with one shuffle."""
     statistics = aggregate_statistics(attempts, request.criteria, ordered=False)
     return grid.mask_low_samples(metric_cells(statistics, request))
+
+
+def grid_cells_from_segments(segments: DataFrame, request: GridRequest) -> DataFrame:
+    """The same cells from ``segment_totals``, without going back to the attempts."""
+    statistics = statistics_from_segments(segments, request.criteria, ordered=False)
+    return grid.mask_low_samples(metric_cells(statistics, request))

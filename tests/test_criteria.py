@@ -8,7 +8,7 @@ from attempt_grid import AttemptCriteria, criteria_predicate, filter_attempts, n
 from attempt_grid.operators.criteria import (
     FIRST_ATTEMPT,
     REPEAT_ATTEMPTS,
-    DisplayRange,
+    Limits,
     as_day,
     date_range,
     filter_cells,
@@ -37,24 +37,23 @@ def mixed(attempts):
 
 
 CASES = [
-    (AttemptCriteria(level_min=2), lambda r: r["level_cohort"] >= 2),
-    (AttemptCriteria(level_max=2), lambda r: r["level_cohort"] <= 2),
-    (AttemptCriteria(level_min=2, level_max=2), lambda r: r["level_cohort"] == 2),
-    (AttemptCriteria(start_date="2026-01-02"), lambda r: r["partition_date"].day == 2),
-    (AttemptCriteria(end_date=datetime(2026, 1, 1, 23)), lambda r: r["partition_date"].day == 1),
-    (AttemptCriteria(payer_types=("payer's cohort",)), lambda r: r["payer_type"] == "payer's cohort"),
-    (AttemptCriteria(traffic_types=("organic", "NULL")), lambda r: r["traffic_type"] != "paid"),
-    (AttemptCriteria(platform_names=("ios",)), lambda r: r["platform_name"] == "ios"),
-    (AttemptCriteria(attempt_groups=(FIRST_ATTEMPT,)), lambda r: r["attempt"] == 1),
-    (AttemptCriteria(attempt_groups=(REPEAT_ATTEMPTS,)), lambda r: (r["attempt"] or 0) >= 2),
-    (AttemptCriteria(attempt_groups=(REPEAT_ATTEMPTS, FIRST_ATTEMPT)), lambda r: True),
-    (AttemptCriteria(super_ball_values=(True,)), lambda r: r["super_ball"] is True),
-    (AttemptCriteria(super_ball_values=(False,)), lambda r: r["super_ball"] is False),
-    (AttemptCriteria(super_ball_values=(False, True)), lambda r: True),
+    (AttemptCriteria(levels=Limits(2)), lambda r: r["level_cohort"] >= 2),
+    (AttemptCriteria(levels=Limits(last=2)), lambda r: r["level_cohort"] <= 2),
+    (AttemptCriteria(levels=Limits(2, 2)), lambda r: r["level_cohort"] == 2),
+    (AttemptCriteria(days=Limits("2026-01-02")), lambda r: r["partition_date"].day == 2),
+    (AttemptCriteria(days=Limits(last=datetime(2026, 1, 1, 23))), lambda r: r["partition_date"].day == 1),
+    (AttemptCriteria(values={"payer_type": ("payer's cohort",)}), lambda r: r["payer_type"] == "payer's cohort"),
+    (AttemptCriteria(values={"traffic_type": ("organic", "NULL")}), lambda r: r["traffic_type"] != "paid"),
+    (AttemptCriteria(values={"platform_name": ("ios",)}), lambda r: r["platform_name"] == "ios"),
+    (AttemptCriteria(values={"attempt_group": (FIRST_ATTEMPT,)}), lambda r: r["attempt"] == 1),
+    (AttemptCriteria(values={"attempt_group": (REPEAT_ATTEMPTS,)}), lambda r: (r["attempt"] or 0) >= 2),
+    (AttemptCriteria(values={"attempt_group": (REPEAT_ATTEMPTS, FIRST_ATTEMPT)}), lambda r: True),
+    (AttemptCriteria(values={"super_ball": (True,)}), lambda r: r["super_ball"] is True),
+    (AttemptCriteria(values={"super_ball": (False,)}), lambda r: r["super_ball"] is False),
+    (AttemptCriteria(values={"super_ball": (False, True)}), lambda r: True),
     (AttemptCriteria(), lambda r: True),
     (
-        AttemptCriteria(level_min=2, end_date="2026-01-01", payer_types=("payer",),
-                        attempt_groups=(FIRST_ATTEMPT,), super_ball_values=(True,)),
+        AttemptCriteria(levels=Limits(2), days=Limits(last="2026-01-01"), values={"payer_type": ("payer",), "attempt_group": (FIRST_ATTEMPT,), "super_ball": (True,)}),
         lambda r: r["level_cohort"] >= 2 and r["partition_date"].day == 1
         and r["payer_type"] == "payer" and r["attempt"] == 1 and r["super_ball"] is True,
     ),
@@ -77,11 +76,11 @@ def test_no_condition_is_no_filter(mixed):
 @pytest.mark.parametrize(
     "criteria",
     [
-        AttemptCriteria(level_min=5, level_max=4),
-        AttemptCriteria(attempt_groups=("3 attempts",)),
-        AttemptCriteria(attempt_groups=(FIRST_ATTEMPT, REPEAT_ATTEMPTS, "3 attempts")),
-        AttemptCriteria(super_ball_values=(1,)),
-        AttemptCriteria(super_ball_values=("true",)),
+        AttemptCriteria(levels=Limits(5, 4)),
+        AttemptCriteria(values={"attempt_group": ("3 attempts",)}),
+        AttemptCriteria(values={"attempt_group": (FIRST_ATTEMPT, REPEAT_ATTEMPTS, "3 attempts")}),
+        AttemptCriteria(values={"super_ball": (1,)}),
+        AttemptCriteria(values={"super_ball": ("true",)}),
     ],
 )
 def test_illegal_criteria_raise(criteria):
@@ -91,7 +90,7 @@ def test_illegal_criteria_raise(criteria):
 
 def test_display_range_is_checked_too(spark):
     with pytest.raises(ValueError, match="is empty"):
-        filter_cells(spark.range(1), DisplayRange(level_min=2, level_max=1))
+        filter_cells(spark.range(1), AttemptCriteria(levels=Limits(2, 1)))
 
 
 def test_normalise_selection():
@@ -116,8 +115,7 @@ def test_predicates_reach_the_scan(spark, attempts, tmp_path):
     text = plan(
         filter_attempts(
             stored,
-            AttemptCriteria(level_min=2, start_date="2026-01-01", payer_types=("a", "b"),
-                            attempt_groups=(REPEAT_ATTEMPTS,), super_ball_values=(True,)),
+            AttemptCriteria(levels=Limits(2), days=Limits("2026-01-01"), values={"payer_type": ("a", "b"), "attempt_group": (REPEAT_ATTEMPTS,), "super_ball": (True,)}),
         )
     )
     scan = next(line for line in text.splitlines() if "FileScan" in line)

@@ -27,8 +27,8 @@ def attempts(spark):
 
 def test_build_to_grid(attempts):
     options = ag.read_filter_options(attempts)
-    assert options.date_min > date(2024, 1, 1) and options.payer_types == ("nonpayer", "payer")
-    criteria = ag.AttemptCriteria(payer_types=("payer",), attempt_groups=("1 attempt",))
+    assert options.days.first > date(2024, 1, 1) and options.values["payer_type"] == ("nonpayer", "payer")
+    criteria = ag.AttemptCriteria(values={"payer_type": ("payer",), "attempt_group": ("1 attempt",)})
     statistics = ag.keep(ag.aggregate_statistics(attempts, criteria))
     request = ag.GridRequest("fail_rate", "relative", min_observations=2)
     values = ag.metric_cells(statistics, request)
@@ -47,8 +47,8 @@ def test_build_to_grid(attempts):
 
 
 def test_one_lazy_plan_gives_the_same_cells(attempts):
-    criteria = ag.AttemptCriteria(level_min=2, platform_names=("ios",))
-    shown = ag.DisplayRange(level_max=6, start_date="2024-01-10")
+    criteria = ag.AttemptCriteria(levels=ag.Limits(2), values={"platform_name": ("ios",)})
+    shown = ag.AttemptCriteria(levels=ag.Limits(last=6), days=ag.Limits("2024-01-10"))
     request = ag.GridRequest("win_rate", "relative", 3, criteria, shown)
     stepwise = ag.mask_low_samples(
         ag.metric_cells(ag.keep(ag.aggregate_statistics(attempts, criteria)), request)
@@ -62,6 +62,6 @@ def test_segments_grow_day_by_day(spark, attempts, tmp_path):
     for day in sorted(days)[:3]:
         part = attempts.filter(attempts["partition_date"] == day)
         ag.write_partitioned(ag.segment_totals(part), path, only_present_days=True)
-    first_three = ag.AttemptCriteria(end_date=sorted(days)[2])
+    first_three = ag.AttemptCriteria(days=ag.Limits(last=sorted(days)[2]))
     grown = ag.statistics_from_segments(spark.read.parquet(path))
     assert grown.collect() == ag.aggregate_statistics(attempts, first_three).collect()

@@ -2,6 +2,7 @@ import math
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from attempt_grid import (
     cell_details,
@@ -51,9 +52,29 @@ def test_pivot_sorts_both_axes_and_leaves_gaps(sparse):
 
 
 def test_pivot_takes_the_days_it_is_given(sparse):
-    wide = pivot_grid(sparse, ["2026-01-02", date(2026, 1, 1), "2026-01-09"])
-    assert wide.columns == ["level_group", "2026-01-01", "2026-01-02", "2026-01-09"]
-    assert [tuple(r) for r in wide.collect()][1] == (2, None, None, None)
+    wide = pivot_grid(sparse, ["2026-01-02", date(2026, 1, 1), "2026-01-03", "2026-01-09"])
+    assert wide.columns == ["level_group", "2026-01-01", "2026-01-02", "2026-01-03", "2026-01-09"]
+    assert [tuple(r) for r in wide.collect()][1] == (2, None, None, 30.0, None)
+
+
+@pytest.mark.parametrize("shape", [pivot_grid, dense_grid])
+def test_no_cell_is_lost(spark, sparse, shape):
+    with pytest.raises(Exception, match="not listed"):
+        shape(sparse, ["2026-01-02", "2026-01-01"]).collect()
+    with pytest.raises(Exception, match="not listed"):
+        shape(sparse, []).collect()
+    dayless = sparse.unionByName(sparse.limit(1).withColumn("date", F.lit(None).cast("date")))
+    for days in (None, ["2026-01-01", "2026-01-02", "2026-01-03"]):
+        with pytest.raises(Exception, match="NULL"):
+            shape(dayless, days).collect()
+        with pytest.raises(Exception, match="repeats a cell"):
+            shape(sparse.unionByName(sparse), days).collect()
+
+
+def test_ranges_from_mappings():
+    assert normalise_range({"minimum": 3, "maximum": 5}, (0, 10)) == (3.0, 5.0)
+    assert normalise_range({"maximum": 50}, (0, 10)) == (0.0, 10.0)
+    assert normalise_range({"minimum": "x"}, (0, 10)) == (0.0, 10.0)
 
 
 def test_pivot_of_another_column(sparse):
@@ -98,9 +119,9 @@ def test_dense_grid_fills_every_cell(sparse, days):
 
 
 def test_dense_grid_on_other_days_keeps_levels(sparse):
-    rows = dense_grid(sparse, ["2026-01-03", "2026-01-08"]).collect()
-    assert sorted((r["level_group"], r["date"].day, r["value"]) for r in rows if r["value"]) == [(2, 3, 30.0)]
-    assert len(rows) == 6
+    rows = dense_grid(sparse, [f"2026-01-0{d}" for d in (1, 2, 3, 8)]).collect()
+    assert {(r["level_group"], r["date"].day): r["value"] for r in rows}[2, 3] == 30.0
+    assert len(rows) == 12 and all(r["value"] is None for r in rows if r["date"].day == 8)
 
 
 def test_grid_days(sparse):

@@ -16,35 +16,35 @@ def test_record(attempts):
             attempt(platform_name="android", super_ball=True, attempt=0),
         )
     )
-    assert (found.level_min, found.level_max) == (0, 900)
-    assert (found.date_min, found.date_max) == (date(2026, 1, 1), date(2026, 2, 19))
-    assert found.payer_types == ("nonpayer", "payer")
-    assert found.traffic_types == ("NULL", "organic", "paid")
-    assert found.platform_names == ("android", "ios")
-    assert found.attempt_groups == ("1 attempt", "2+ attempts")
-    assert found.super_ball_values == (True, False)
+    assert (found.levels.first, found.levels.last) == (0, 900)
+    assert (found.days.first, found.days.last) == (date(2026, 1, 1), date(2026, 2, 19))
+    assert found.values["payer_type"] == ("nonpayer", "payer")
+    assert found.values["traffic_type"] == ("NULL", "organic", "paid")
+    assert found.values["platform_name"] == ("android", "ios")
+    assert found.values["attempt_group"] == ("1 attempt", "2+ attempts")
+    assert found.values["super_ball"] == (True, False)
 
 
 def test_one_sided_values(attempts):
     found = read_filter_options(attempts(attempt(attempt=5), attempt(attempt=None, super_ball=None)))
-    assert found.attempt_groups == ("2+ attempts",)
-    assert found.super_ball_values == (False,)
+    assert found.values["attempt_group"] == ("2+ attempts",)
+    assert found.values["super_ball"] == (False,)
 
 
 def test_empty_input(attempts):
     found = read_filter_options(attempts(attempt()).filter(F.lit(False)))
-    assert found.level_min is None and found.date_max is None
-    assert found.payer_types == found.attempt_groups == found.super_ball_values == ()
+    assert found.levels.first is None and found.days.last is None
+    assert found.values["payer_type"] == found.values["attempt_group"] == found.values["super_ball"] == ()
 
 
 def test_single_operators_agree_with_the_record(attempts):
     frame = attempts(attempt(super_ball=True), attempt(attempt=3, level_cohort=2))
     record = read_filter_options(frame)
-    assert bounds(frame).first()["level_min"] == record.level_min == 2
-    assert tuple(attempt_group_presence(frame).first()[0]) == record.attempt_groups
-    assert tuple(super_ball_presence(frame).first()[0]) == record.super_ball_values
+    assert bounds(frame).first()["level_min"] == record.levels.first == 2
+    assert tuple(attempt_group_presence(frame).first()[0]) == record.values["attempt_group"]
+    assert tuple(super_ball_presence(frame).first()[0]) == record.values["super_ball"]
     values = [r[0] for r in distinct_values(frame, "platform_name").collect()]
-    assert tuple(values) == record.platform_names
+    assert tuple(values) == record.values["platform_name"]
 
 
 def test_distinct_values_drop_null_and_keep_empty(attempts):

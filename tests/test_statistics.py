@@ -3,19 +3,27 @@ from datetime import date
 
 import pytest
 from conftest import attempt, plan
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from attempt_grid import (
     STATISTIC_COLUMNS,
     AttemptCriteria,
-    DisplayRange,
+    GridRequest,
+    Limits,
     aggregate_statistics,
     filter_cells,
     filter_options,
+    grid_cells,
+    grid_cells_from_segments,
+    read_filter_options,
+    read_segment_options,
+    segment_options,
     segment_totals,
     statistics_from_segments,
 )
 from attempt_grid.operators.criteria import FIRST_ATTEMPT, REPEAT_ATTEMPTS
+from attempt_grid.operators.health import missing_values
 
 OUTCOME_OF = {"far_win": "FW", "close_win": "CW", "close_fail": "CF", "far_fail": "FF"}
 
@@ -127,10 +135,12 @@ def test_matches_brute_force(attempts, seed):
 
 def test_display_range_equals_the_same_range_before_grouping(attempts):
     frame = attempts(*random_attempts(500)).cache()
-    shared = {"payer_types": ("payer",), "attempt_groups": (FIRST_ATTEMPT,)}
-    limits = {"level_min": 9, "level_max": 11, "start_date": "2026-01-02", "end_date": "2026-01-04"}
-    after = filter_cells(aggregate_statistics(frame, AttemptCriteria(**shared)), DisplayRange(**limits))
+    shared = {"values": {"payer_type": ("payer",), "attempt_group": (FIRST_ATTEMPT,)}}
+    limits = {"levels": Limits(9, 11), "days": Limits("2026-01-02", "2026-01-04")}
+    after = filter_cells(aggregate_statistics(frame, AttemptCriteria(**shared)), AttemptCriteria(**limits))
     before = aggregate_statistics(frame, AttemptCriteria(**shared, **limits))
+    with pytest.raises(ValueError):
+        filter_cells(before, AttemptCriteria(**shared))
     assert after.collect() == before.collect() != []
 
 
@@ -148,9 +158,9 @@ def test_empty_input(attempts):
     "criteria",
     [
         None,
-        AttemptCriteria(attempt_groups=(FIRST_ATTEMPT,), payer_types=("payer",)),
-        AttemptCriteria(attempt_groups=(REPEAT_ATTEMPTS,), level_min=9, end_date="2026-01-04"),
-        AttemptCriteria(super_ball_values=(True,)),
+        AttemptCriteria(values={"attempt_group": (FIRST_ATTEMPT,), "payer_type": ("payer",)}),
+        AttemptCriteria(levels=Limits(9), days=Limits(last="2026-01-04"), values={"attempt_group": (REPEAT_ATTEMPTS,)}),
+        AttemptCriteria(values={"super_ball": (True,)}),
     ],
 )
 def test_segments_give_the_same_statistics(attempts, criteria):
@@ -161,4 +171,15 @@ def test_segments_give_the_same_statistics(attempts, criteria):
     assert segments.count() < frame.count()
     direct = aggregate_statistics(frame, criteria).collect()
     assert statistics_from_segments(segments, criteria).collect() == direct
-    assert filter_options(segments).collect() == filter_options(frame).collect()
+    assert segment_options(segments).collect() == filter_options(frame).collect()
+    assert read_segment_options(segments) == read_filter_options(frame)
+    request = GridRequest("fail_rate", "relative", 3, criteria or AttemptCriteria())
+    cells = lambda f: sorted(map(str, f.collect()))
+    assert cells(grid_cells_from_segments(segments, request)) == cells(grid_cells(frame, request))
+
+
+def test_segments_are_not_taken_for_attempts(attempts):
+    segments = segment_totals(attempts(attempt()))
+    for reader in (aggregate_statistics, filter_options, missing_values):
+        with pytest.raises(AnalysisException):
+            reader(segments)

@@ -61,9 +61,12 @@ def test_days_without_attempts_show_as_zero(attempts):
     frame = attempts(
         attempt(), attempt(), attempt(partition_date=date(2026, 1, 4)), attempt(partition_date=None)
     )
-    rows = {r["partition_date"].day: r["attempts"] for r in health.attempts_per_day(frame).collect()}
-    assert rows == {1: 2, 2: 0, 3: 0, 4: 1}
+    rows = {r["partition_date"]: r["attempts"] for r in health.attempts_per_day(frame).collect()}
+    assert rows == {date(2026, 1, 1): 2, date(2026, 1, 2): 0, date(2026, 1, 3): 0, date(2026, 1, 4): 1, None: 1}
     assert health.attempts_per_day(frame.limit(0)).collect() == []
+    stray = frame.unionByName(attempts(attempt(partition_date=date(1, 1, 1))))
+    with pytest.raises(Exception, match="stray day: attempts span 0001-01-01 to 2026-01-04"):
+        health.attempts_per_day(stray).collect()
 
 
 def test_attempts_per_bucket(attempts):
@@ -83,7 +86,7 @@ def test_missing_values(attempts):
 
 
 def test_sources_of_repeated_attempts(spark):
-    players = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("u2", "a")], "user_id string, traffic_type string")
+    players = spark.createDataFrame([("u1", "a"), ("u1", "b"), ("u2", "a"), ("u2", "a")], "user_id string, traffic_type string")
     assert [tuple(r) for r in health.players_with_many_traffic_types(players).collect()] == [("u1", 2)]
     outcomes = spark.createDataFrame(
         [("u1", 1, 0, 0, 0), ("u1", 0, 1, 0, 0), ("u2", 1, 0, 0, 0)],
