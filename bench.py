@@ -14,12 +14,13 @@ from __future__ import annotations
 import json
 import os
 import statistics as stats
+import tempfile
 import time
 from pathlib import Path
 
 from attempt_grid import (
     AttemptCriteria,
-    DisplayRange,
+    Limits,
     GridRequest,
     aggregate_statistics,
     attempt_session,
@@ -89,6 +90,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -101,10 +103,8 @@ def main() -> None:
     segments = keep(segment_totals(attempts))
     kept = keep(aggregate_statistics(attempts, ordered=False))
     fail_rate = select_metric(kept, "fail_rate", "relative", min_observations=30)
-    shown = DisplayRange(level_min=3, level_max=120, start_date="1996-01-01", end_date="1998-06-30")
-    same_range = AttemptCriteria(
-        level_min=3, level_max=120, start_date="1996-01-01", end_date="1998-06-30"
-    )
+    shown = AttemptCriteria(levels=Limits(3, 120), days=Limits("1996-01-01", "1998-06-30"))
+    same_range = AttemptCriteria(levels=Limits(3, 120), days=Limits("1996-01-01", "1998-06-30"))
     request = GridRequest("fail_rate", "relative", min_observations=30)
     frames = {
         "stats_all": aggregate_statistics(attempts),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 ORACLE: dict[str, str] = {}
 
 # --- inputs ------------------------------------------------------------------
@@ -81,7 +79,8 @@ levels AS (
       WHEN 'click' THEN '["grp_' || (k % 7) || '","base"]'
       WHEN 'view' THEN '{{"obj_' || (k % 5) || '":1,"base":2}}'
       WHEN 'purchase' THEN '' WHEN 'error' THEN 'broken' END AS ab_group,
-    CASE WHEN k = 50 THEN 'abc' WHEN k <> 51 THEN CAST(1 + k % 3 AS VARCHAR) END AS attempt,
+    CASE WHEN k = 50 THEN 'abc' WHEN k = 52 THEN '1.0' WHEN k = 53 THEN '1e0' WHEN k = 54 THEN '2.9'
+      WHEN k <> 51 THEN CAST(1 + k % 3 AS VARCHAR) END AS attempt,
     CASE WHEN k = 13 THEN 'x' WHEN k <> 14 THEN 'st' || lpad(CAST(k * 10 AS VARCHAR), 5, '0')
       END AS level_id,
     CASE WHEN k NOT IN (13, 14) THEN k * 10 END AS balance_id,
@@ -111,9 +110,9 @@ outcomes AS (
     CASE WHEN event_type = 'click' THEN 1 END AS "FW",
     CASE WHEN event_type = 'purchase' THEN 1 END AS "CW",
     CASE WHEN event_type = 'view' THEN 1 END AS "CF",
-    CAST(NULL AS INTEGER) AS "FF"
+    CASE WHEN event_type = 'error' THEN 1 END AS "FF"
   FROM ev, LATERAL (SELECT 1 AS copy UNION ALL SELECT 2 WHERE value > 90) c
-  WHERE event_type <> 'error'
+  WHERE event_type <> 'error' OR k < 50
 )"""
 
 _MART_A = f"""{_LEVELS}, {_PLAYERS},
@@ -121,7 +120,7 @@ mart AS (
   SELECT client_time, balance_id, user_id, partition_date, traffic_type, payer_type,
     CASE WHEN reason = 'failed' THEN 1 ELSE 0 END AS failed,
     coalesce(reason_seg, 'unknown') AS reason_seg, attempt, super_ball, platform_name,
-    CASE WHEN attempt = '1' THEN 1 ELSE 0 END AS first_attempt,
+    CASE WHEN attempt IN ('1', '1.0', '1e0') THEN 1 ELSE 0 END AS first_attempt,
     CAST(floor(balance_id / 100.0) AS INTEGER) AS level_cohort,
     CASE WHEN reason_seg = 'far_win' THEN 1 ELSE 0 END AS "FW",
     CASE WHEN reason_seg = 'close_win' THEN 1 ELSE 0 END AS "CW",
@@ -140,8 +139,8 @@ _MART_B = f"""{_LEVELS}, {_PLAYERS}, {_OUTCOMES},
 flagged AS (
   SELECT l.client_time, l.balance_id, l.user_id, l.partition_date, e.traffic_type, l.payer_type,
     CASE WHEN reason = 'failed' THEN 1 ELSE 0 END AS failed, ab_group,
-    TRY_CAST(attempt AS INTEGER) AS attempt, platform_name, super_ball,
-    CASE WHEN attempt = '1' THEN 1 ELSE 0 END AS first_attempt,
+    CAST(trunc(TRY_CAST(attempt AS DOUBLE)) AS INTEGER) AS attempt, platform_name, super_ball,
+    CASE WHEN attempt IN ('1', '1.0', '1e0') THEN 1 ELSE 0 END AS first_attempt,
     coalesce(o."FW", 0) AS "FW", coalesce(o."CW", 0) AS "CW",
     coalesce(o."CF", 0) AS "CF", coalesce(o."FF", 0) AS "FF",
     CAST(floor(l.balance_id / 100.0) AS INTEGER) AS level_cohort
@@ -214,11 +213,11 @@ def _metric(name: str, method: str, count: str, sample: str, low: str, source="s
   {low} AS is_low_sample FROM {source}"""
 
 
-# Failure share in a thin segment of the event grid: some cells are missing.
-_THIN = f"""{_EVENT_ATTEMPTS}, {_stats("traffic_type = 'BUILDING' AND payer_type = 'payer'")},
-cells AS ({_metric("fail_rate", "relative", "failed_absolute", "attempts_absolute", "attempts_absolute < 2")})"""
+# Failure share in narrow level buckets: some cells are missing.
+_NARROW = f"""{_LINEITEM_ATTEMPTS.replace("l_partkey / 100.0", "l_partkey / 10.0")}, {_stats()},
+cells AS ({_metric("fail_rate", "relative", "failed_absolute", "attempts_absolute", "attempts_absolute < 3")})"""
 
-_DENSE = f"""{_THIN},
+_DENSE = f"""{_NARROW},
 dense AS (
   SELECT level_group, date, value, metric_name, calculation_method, value_count, sample_count,
     is_low_sample
@@ -227,15 +226,10 @@ dense AS (
   LEFT JOIN cells USING (level_group, date)
 )"""
 
-_DENSE_MONTH = _DENSE.replace(
-    "(SELECT DISTINCT date FROM cells)",
-    "(SELECT CAST(d AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) r(d))",
-)
-
 # --- sources, contract, sinks ------------------------------------------------
 
 ORACLE["scan_table"] = f"WITH {_EVENT_ATTEMPTS} SELECT {_ATTEMPT_COLUMNS} FROM attempts"
-ORACLE["scan_sql"] = f"{ORACLE['scan_table']} WHERE failed = 1"
+ORACLE["scan_sql"] = ORACLE["scan_table"]
 ORACLE["scan_projected"] = f"WITH {_LINEITEM_ATTEMPTS} SELECT {_ATTEMPT_COLUMNS} FROM attempts"
 ORACLE["contract_sorted"] = (
     f"{ORACLE['scan_table']} ORDER BY partition_date, level_cohort, user_id, balance_id"
@@ -339,6 +333,9 @@ SELECT user_id, client_time, balance_id, "FW", "CW", "CF", "FF",
   {_SEGMENT_OF_FLAGS} AS reason_seg FROM attempts"""
 ORACLE["mart_a"] = f"WITH {_MART_A} SELECT * FROM mart"
 ORACLE["mart_b"] = f"WITH {_MART_B} SELECT * FROM mart"
+ORACLE["refresh_one_day"] = f"""WITH {_MART_A}
+SELECT * REPLACE (CAST(trunc(TRY_CAST(attempt AS DOUBLE)) AS INTEGER) AS attempt,
+  super_ball = 'true' AS super_ball) FROM mart"""
 ORACLE["ab_group_names"] = f"""WITH {_EVENTS}
 SELECT 'base' AS group_name FROM ev WHERE event_type IN ('click', 'view')
 UNION SELECT 'grp_' || (k % 7) FROM ev WHERE event_type = 'click'
@@ -426,22 +423,17 @@ ORACLE["grid_duplicates"] = f"""WITH {_LINEITEM_ATTEMPTS}
 SELECT level_cohort AS level_group, partition_date AS date, count(*) AS cell_rows
 FROM attempts GROUP BY ALL HAVING count(*) > 1"""
 
-_DAYS = [date(2024, 1, 1) + timedelta(days=n) for n in range(30)]
-_DAY_COLUMNS = ", ".join(
-    f"max(CASE WHEN date = DATE '{d}' THEN value END) AS \"{d}\"" for d in _DAYS
-)
-ORACLE["grid_pivot"] = (
-    f"WITH {_THIN} SELECT level_group, {_DAY_COLUMNS} FROM cells GROUP BY level_group"
-)
+ORACLE["grid_pivot"] = f"""WITH {_NARROW}
+PIVOT (SELECT level_group, date, value FROM cells) ON date USING max(value) GROUP BY level_group"""
 ORACLE["grid_records"] = (
-    f"WITH {_THIN} SELECT level_group, date, value FROM cells WHERE value IS NOT NULL"
+    f"WITH {_NARROW} SELECT level_group, date, value FROM cells WHERE value IS NOT NULL"
 )
 ORACLE["grid_dense"] = f"WITH {_DENSE} SELECT * FROM dense"
 _VISIBLE = "CASE WHEN NOT coalesce(is_low_sample, FALSE) THEN value END AS visible_value"
-ORACLE["grid_masked"] = f"WITH {_DENSE_MONTH} SELECT *, {_VISIBLE} FROM dense"
-ORACLE["grid_bounds"] = f"""WITH {_THIN}
+ORACLE["grid_masked"] = f"WITH {_DENSE} SELECT *, {_VISIBLE} FROM dense"
+ORACLE["grid_bounds"] = f"""WITH {_NARROW}
 SELECT min(value) AS value_min, max(value) AS value_max FROM cells WHERE NOT is_low_sample"""
-ORACLE["grid_cell_details"] = f"""WITH {_DENSE_MONTH}
+ORACLE["grid_cell_details"] = f"""WITH {_DENSE}
 SELECT level_group, date, value_count, sample_count,
   CASE WHEN is_low_sample THEN 'мало данных' ELSE 'достаточно' END AS reliability, value
 FROM dense"""
@@ -465,6 +457,8 @@ ORACLE["grid_request"] = f"""WITH {_EVENT_ATTEMPTS}, {_stats()},
 cells AS ({_metric("fail_rate", "relative", "failed_absolute", "attempts_absolute", "attempts_absolute < 30")})
 SELECT *, {_VISIBLE} FROM cells"""
 
+ORACLE["grid_from_segments"] = ORACLE["grid_request"]
+
 # --- status and health -------------------------------------------------------
 
 ORACLE["latest_partition"] = (

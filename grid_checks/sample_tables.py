@@ -149,7 +149,8 @@ def levels_from_events(spark: SparkSession, sf_dir: str, *, chained: bool) -> Da
         .when(value > 100, F.lit(other))
         .otherwise(F.lit(usual))
     )
-    attempt = F.when(k == 50, "abc").when(k != 51, (1 + k % 3).cast("string"))
+    spelled = F.when(k == 50, "abc").when(k == 52, "1.0").when(k == 53, "1e0").when(k == 54, "2.9")
+    attempt = F.coalesce(spelled, F.when(k != 51, (1 + k % 3).cast("string")))
     level_id = F.when(k == 13, "x").when(
         k != 14, F.concat(F.lit("st"), F.lpad((k * 10).cast("string"), 5, "0"))
     )
@@ -212,12 +213,12 @@ def players_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome flags of all but error events; NULL where not set, some rows twice."""
+    """Outcome flags of all but some error events; NULL where not set, some rows twice."""
     kind, k = F.col("event_type"), F.col("k")
     copies = F.when(F.col("value") > 90, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return (
         events(spark, sf_dir)
-        .filter(kind != "error")
+        .filter((kind != "error") | (k < 50))
         .select(
             F.col("ts").alias("client_time"),
             F.when(~k.isin(13, 14), k * 10).alias("balance_id"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from attempt_grid.operators.criteria import (
     FIRST_ATTEMPT,
     REPEAT_ATTEMPTS,
     AttemptCriteria,
-    DisplayRange,
+    Limits,
     filter_attempts,
     filter_cells,
 )
@@ -26,8 +27,8 @@ from attempt_grid.operators.statistics import (
     statistics_from_segments,
 )
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
-from attempt_grid.plans.grid_request import GridRequest, grid_cells
-from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload
+from attempt_grid.plans.grid_request import GridRequest, grid_cells, grid_cells_from_segments
+from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, typed
 from attempt_grid.sinks.tables import keep, shared_folder, write_partitioned
 from attempt_grid.sources.attempts import (
     read_attempts_projected,
@@ -41,22 +42,11 @@ QUERIES: dict[str, Query] = {}
 
 CUTOFF = "2024-01-05"
 BUCKET_WIDTH = 100
-EVENT_DAYS = [date(2024, 1, 1) + timedelta(days=n) for n in range(30)]
-
-# A segment thin enough to leave cells of the event grid empty.
-THIN_SEGMENT = AttemptCriteria(traffic_types=("BUILDING",), payer_types=("payer",))
-SHOWN = DisplayRange(level_min=3, level_max=12, start_date="1996-01-01", end_date="1998-06-30")
-SEVERAL_CONDITIONS = AttemptCriteria(
-    level_min=2,
-    level_max=15,
-    start_date="1996-01-01",
-    end_date="1998-06-30",
-    payer_types=("payer",),
-    traffic_types=("1-URGENT", "2-HIGH"),
-    platform_names=("O", "F"),
-    attempt_groups=(REPEAT_ATTEMPTS,),
-    super_ball_values=(True,),
-)
+# Buckets narrow enough to leave some cells of the lineitem grid empty.
+NARROW_WIDTH = 10
+REFRESHED_DAY = date(2024, 1, 10)
+SHOWN = AttemptCriteria(levels=Limits(3, 12), days=Limits("1996-01-01", "1998-06-30"))
+SEVERAL_CONDITIONS = AttemptCriteria(levels=Limits(2, 15), days=Limits("1996-01-01", "1998-06-30"), values={"payer_type": ("payer",), "traffic_type": ("1-URGENT", "2-HIGH"), "platform_name": ("O", "F"), "attempt_group": (REPEAT_ATTEMPTS,), "super_ball": (True,)})
 
 
 def _query(build: Query) -> Query:
@@ -68,6 +58,17 @@ def _register(name: str, build: Query) -> None:
     QUERIES[name] = build
 
 
+def _folder(spark) -> str:
+    """A new folder where the session says; below a temporary one where it says nothing."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return shared_folder(spark)
+    return f"{tempfile.mkdtemp(prefix='grid-checks-')}/kept"
+
+
+def _kept(frame: DataFrame) -> DataFrame:
+    return keep(frame, _folder(frame.sparkSession))
+
+
 # --- sources, contract, sinks ------------------------------------------------
 
 
@@ -80,7 +81,7 @@ def scan_table(spark, sf_dir):
 @_query
 def scan_sql(spark, sf_dir):
     sample.attempts_from_events(spark, sf_dir).createOrReplaceTempView("event_attempts")
-    return read_attempts_sql(spark, "SELECT *, 1 AS surplus FROM event_attempts WHERE failed = 1")
+    return read_attempts_sql(spark, "SELECT *, 1 AS surplus FROM event_attempts")
 
 
 @_query
@@ -108,7 +109,7 @@ def contract_sorted(spark, sf_dir):
 
 @_query
 def sink_roundtrip(spark, sf_dir):
-    folder = shared_folder(spark)
+    folder = _folder(spark)
     write_partitioned(sample.attempts_from_events(spark, sf_dir), folder)
     return spark.read.parquet(folder).select(*contract.ATTEMPT_COLUMNS)
 
@@ -241,6 +242,20 @@ def mart_b(spark, sf_dir):
     )
 
 
+@_query
+def refresh_one_day(spark, sf_dir):
+    """The whole table after one day, of which rows were missing, was built again."""
+    levels, players = _levels(spark, sf_dir), sample.players_from_customer(spark, sf_dir)
+    rules = {"bucket_width": BUCKET_WIDTH, "cutoff": CUTOFF}
+    folder, day = _folder(spark), F.col("partition_date") == F.lit(REFRESHED_DAY)
+    stale = typed(attempts_from_payload(levels, players, **rules)).filter(~day | (F.col("failed") == 1))
+    write_partitioned(stale, folder)
+    days = Limits(REFRESHED_DAY, REFRESHED_DAY)
+    fresh = typed(attempts_from_payload(levels, players, days=days, **rules))
+    write_partitioned(fresh, folder, only_present_days=True)
+    return spark.read.schema(fresh.schema).parquet(folder)
+
+
 @_query
 def ab_group_names(spark, sf_dir):
     return mart.ab_group_names(_levels(spark, sf_dir))
@@ -262,16 +277,16 @@ def _filtered(criteria: AttemptCriteria) -> Query:
     )
 
 
-_register("filter_level_range", _filtered(AttemptCriteria(level_min=2, level_max=5)))
+_register("filter_level_range", _filtered(AttemptCriteria(levels=Limits(2, 5))))
 _register(
     "filter_date_range",
-    _filtered(AttemptCriteria(start_date="2024-01-10", end_date=date(2024, 1, 20))),
+    _filtered(AttemptCriteria(days=Limits("2024-01-10", date(2024, 1, 20)))),
 )
-_register("filter_payer", _filtered(AttemptCriteria(payer_types=("payer",))))
-_register("filter_traffic", _filtered(AttemptCriteria(traffic_types=("BUILDING", "MACHINERY"))))
-_register("filter_platform", _filtered(AttemptCriteria(platform_names=("ios",))))
-_register("filter_attempt_group", _filtered(AttemptCriteria(attempt_groups=(FIRST_ATTEMPT,))))
-_register("filter_super_ball", _filtered(AttemptCriteria(super_ball_values=(False,))))
+_register("filter_payer", _filtered(AttemptCriteria(values={"payer_type": ("payer",)})))
+_register("filter_traffic", _filtered(AttemptCriteria(values={"traffic_type": ("BUILDING", "MACHINERY")})))
+_register("filter_platform", _filtered(AttemptCriteria(values={"platform_name": ("ios",)})))
+_register("filter_attempt_group", _filtered(AttemptCriteria(values={"attempt_group": (FIRST_ATTEMPT,)})))
+_register("filter_super_ball", _filtered(AttemptCriteria(values={"super_ball": (False,)})))
 
 
 @_query
@@ -287,7 +302,7 @@ def filter_quote_literal(spark, sf_dir):
             F.col("payer_type")
         ),
     )
-    return filter_attempts(attempts, AttemptCriteria(payer_types=("payer", "payer's cohort")))
+    return filter_attempts(attempts, AttemptCriteria(values={"payer_type": ("payer", "payer's cohort")}))
 
 
 @_query
@@ -392,7 +407,7 @@ def stats_from_segments(spark, sf_dir):
 @_query
 def options_from_segments(spark, sf_dir):
     segments = segment_totals(sample.attempts_from_lineitem(spark, sf_dir))
-    return _flat_options(options.filter_options(segments))
+    return _flat_options(options.segment_options(segments))
 
 
 @_query
@@ -417,18 +432,12 @@ def display_filter(spark, sf_dir):
 
 @_query
 def display_filter_equiv(spark, sf_dir):
-    same_range = AttemptCriteria(
-        level_min=SHOWN.level_min,
-        level_max=SHOWN.level_max,
-        start_date=SHOWN.start_date,
-        end_date=SHOWN.end_date,
-    )
-    return _statistics(spark, sf_dir, same_range)
+    return _statistics(spark, sf_dir, SHOWN)
 
 
 @_query
 def stats_reuse(spark, sf_dir):
-    statistics = keep(_statistics(spark, sf_dir))
+    statistics = _kept(_statistics(spark, sf_dir))
     fail_rate = select_metric(statistics, "fail_rate", "relative", min_observations=30)
     wins = select_metric(filter_cells(statistics, SHOWN), "wins", "absolute")
     return fail_rate.unionByName(wins)
@@ -437,11 +446,12 @@ def stats_reuse(spark, sf_dir):
 # --- grid --------------------------------------------------------------------
 
 
-def _thin_values(spark, sf_dir):
-    statistics = aggregate_statistics(
-        sample.attempts_from_events(spark, sf_dir), THIN_SEGMENT, ordered=False
-    )
-    return select_metric(statistics, "fail_rate", "relative", min_observations=2)
+def _narrow_values(spark, sf_dir):
+    """Failure shares in narrow level buckets, kept: the grids below read them more than once."""
+    attempts = sample.attempts_from_lineitem(spark, sf_dir)
+    narrow = attempts.withColumn("level_cohort", level_bucket(F.col("balance_id"), NARROW_WIDTH))
+    statistics = aggregate_statistics(narrow, ordered=False)
+    return _kept(select_metric(statistics, "fail_rate", "relative", min_observations=3))
 
 
 @_query
@@ -453,38 +463,43 @@ def grid_duplicates(spark, sf_dir):
 
 @_query
 def grid_pivot(spark, sf_dir):
-    return grid.pivot_grid(_thin_values(spark, sf_dir), EVENT_DAYS)
+    return grid.pivot_grid(_narrow_values(spark, sf_dir))
 
 
 @_query
 def grid_records(spark, sf_dir):
-    return grid.grid_records(grid.pivot_grid(_thin_values(spark, sf_dir), EVENT_DAYS))
+    return grid.grid_records(grid.pivot_grid(_narrow_values(spark, sf_dir)))
 
 
 @_query
 def grid_dense(spark, sf_dir):
-    return grid.dense_grid(_thin_values(spark, sf_dir))
+    return grid.dense_grid(_narrow_values(spark, sf_dir))
+
+
+def _dense_on_days(spark, sf_dir):
+    values = _narrow_values(spark, sf_dir)
+    return grid.dense_grid(values, grid.grid_days(values))
 
 
 @_query
 def grid_masked(spark, sf_dir):
-    return grid.mask_low_samples(grid.dense_grid(_thin_values(spark, sf_dir), EVENT_DAYS))
+    return grid.mask_low_samples(_dense_on_days(spark, sf_dir))
 
 
 @_query
 def grid_bounds(spark, sf_dir):
-    return grid.value_bounds(grid.mask_low_samples(_thin_values(spark, sf_dir)))
+    return grid.value_bounds(grid.mask_low_samples(_narrow_values(spark, sf_dir)))
 
 
 @_query
 def grid_cell_details(spark, sf_dir):
-    cells = grid.dense_grid(_thin_values(spark, sf_dir), EVENT_DAYS)
+    cells = _dense_on_days(spark, sf_dir)
     return grid.cell_details(cells).select(*CELL_KEYS, "detail.*")
 
 
 @_query
 def grid_clamped(spark, sf_dir):
-    statistics = keep(_statistics(spark, sf_dir))
+    statistics = _kept(_statistics(spark, sf_dir))
     values = select_metric(statistics, "win_rate", "relative", min_observations=30)
     clamped = grid.clamp_values(grid.mask_low_samples(values), (75.0, 60.0))
     return clamped.select(*CELL_KEYS, "value", "visible_value", "color_value", "color_position")
@@ -497,19 +512,23 @@ def grid_request(spark, sf_dir):
     return grid_cells(sample.attempts_from_events(spark, sf_dir), request)
 
 
-# --- status and health -------------------------------------------------------
+@_query
+def grid_from_segments(spark, sf_dir):
+    request = GridRequest("fail_rate", "relative", min_observations=30)
+    segments = _kept(segment_totals(sample.attempts_from_events(spark, sf_dir)))
+    return grid_cells_from_segments(segments, request)
 
 
-@_query
-def latest_partition_day(spark, sf_dir):
-    return latest_partition(sample.attempts_from_events(spark, sf_dir))
+# --- status and health -------------------------------------------------------
 
 
-QUERIES["latest_partition"] = QUERIES.pop("latest_partition_day")
+_register(
+    "latest_partition",
+    lambda spark, sf_dir: latest_partition(sample.attempts_from_events(spark, sf_dir)),
+)
 
 
-@_query
-def dataset_status_rows(spark, sf_dir):
+def _status(spark, sf_dir):
     sample.attempts_from_events(spark, sf_dir).createOrReplaceTempView("event_attempts")
     sample.attempts_from_lineitem(spark, sf_dir).createOrReplaceTempView("lineitem_attempts")
     return dataset_status(
@@ -522,7 +541,7 @@ def dataset_status_rows(spark, sf_dir):
     )
 
 
-QUERIES["dataset_status"] = QUERIES.pop("dataset_status_rows")
+_register("dataset_status", _status)
 
 
 @_query
