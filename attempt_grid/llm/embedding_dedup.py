@@ -35,7 +35,9 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int):
         self.centroids = kmeans(sample, lists)
-        residuals = sample - self.centroids[nearest_rows(sample, self.centroids)]
+        c = self.centroids
+        self.apart = np.stack([np.sqrt(np.maximum(((c - x) ** 2).sum(axis=1), 1e-30)) for x in c])
+        residuals = sample - c[nearest_rows(sample, c)]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.books = [kmeans(residuals[:, p], codes) for p in self.parts]
 
@@ -51,7 +53,7 @@ class Quantiser:
         """Which other lists may hold a point within radius: (vector, list) booleans."""
         c = self.centroids
         squares = (units**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * units @ c.T
-        apart = np.sqrt(np.maximum(((c[own][:, None, :] - c) ** 2).sum(axis=2), 1e-30))
+        apart = self.apart[own]
         bound = (squares - squares[np.arange(len(own)), own][:, None]) / (2 * apart)
         near = bound <= radius + ROUNDING
         near[np.arange(len(own)), own] = False
@@ -110,7 +112,8 @@ def _compare(quantiser: Quantiser, least: float, radius: float):
             norms = np.sqrt((vectors**2).sum(axis=1))
             units = vectors / norms[:, None]
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (tile[1:] != tile[:-1])])
-            counts, links = {}, []
+            counts: dict[int, int] = {}
+            links: list[tuple] = []
             for a, b in zip(starts, np.r_[starts[1:], len(cell)]):
                 if key != (cell[a], tile[a]):
                     key, targets = (cell[a], tile[a]), None
@@ -134,12 +137,13 @@ def _compare(quantiser: Quantiser, least: float, radius: float):
                 q, t = np.nonzero(near)
                 exact = np.einsum("ij,ij->i", vectors[asking[q]], t_vec[t]) / (norms[asking[q]] * t_norm[t])
                 linked = exact >= least
-                q, t = q[linked], t[linked]
-                for who, other in ((rep[asking[q]], t_n[t]), (t_rep[t], n[asking[q]])):
-                    for x, k in zip(*(v.tolist() for v in (who, other))):
-                        counts[x] = counts.get(x, 0) + k
+                if not linked.any():
+                    continue
                 dense = np.zeros((len(asking), len(t_rep)), bool)
-                dense[q, t] = True
+                dense[q[linked], t[linked]] = True
+                for who, others in ((rep[asking], dense @ t_n), (t_rep, n[asking] @ dense)):
+                    for i in np.flatnonzero(others).tolist():
+                        counts[int(who[i])] = counts.get(int(who[i]), 0) + int(others[i])
                 links += [(int(rep[asking[i]]), int(t_rep[j]), 0) for i, j in _forest(dense)]
             out = links + [(x, None, k) for x, k in counts.items()]
             if out:

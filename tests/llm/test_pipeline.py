@@ -46,6 +46,15 @@ def test_stages(spark, tmp_path):
     assert sum(p.length for p in pieces if p.start == 0) <= sum(p.length for p in pieces)
 
 
+def test_one_of_each_group_stays(spark, broken, texts):
+    kept = corpus_pipeline.near_duplicates(spark, broken, SF).collect()
+    ids = [r.doc_id for r in kept if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and ids.count(0) == 1
+    assert sum(r.doc_id is None for r in kept) == 2
+    blank = {i for i in range(12) if not (texts[i] or "").split()}
+    assert len(blank & set(ids)) == 1
+
+
 def test_stages_on_odd_documents(spark, broken, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, broken, SF).count() >= 1
