@@ -238,17 +238,24 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 4) -> DataFr
     )
 
 
-def _cut(window: int, with_text: bool):
+def _kept(text: bytes, runs: list | None, window: int) -> tuple[int, bytes]:
+    """(number of words, the kept words joined by one space)."""
+    words = text.split()
+    if not runs:
+        return len(words), b" ".join(words)
+    keep = np.ones(len(words), bool)
+    for r in runs:
+        keep[r["first"] : r["last"] + window] = False
+    return len(words), b" ".join([w for w, k in zip(words, keep.tolist()) if k])
+
+
+def _digest(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in in_chunks(batches, "text"):
             out = []
-            for text, runs in zip(text_bytes(chunk.column("text")), chunk.column("runs").to_pylist()):
-                words = text.split()
-                keep = np.ones(len(words), bool)
-                for r in runs or ():
-                    keep[r["first"] : r["last"] + window] = False
-                kept = b" ".join([w for w, k in zip(words, keep.tolist()) if k]) if runs else b" ".join(words)
-                out.append((len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept))
+            for text, runs in zip(text_bytes(chunk.column("text")), chunk.column("_runs").to_pylist()):
+                n, kept = _kept(text, runs, window)
+                out.append((n, n - len(kept.split()), hashlib.sha256(kept).hexdigest(), kept))
             n, removed, sha, kept = zip(*out)
             columns = [chunk.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)]
             if with_text:
@@ -258,6 +265,25 @@ def _cut(window: int, with_text: bool):
     return run
 
 
+def _shortened(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in in_chunks(batches, "text"):
+            place, texts = chunk.schema.get_field_index("text"), chunk.column("text").to_pylist()
+            for i, runs in enumerate(chunk.column("_runs").to_pylist()):
+                if runs and texts[i] is not None:
+                    texts[i] = _kept(texts[i].encode(), runs, window)[1].decode()
+            chunk = chunk.set_column(place, "text", pa.array(texts, pa.string()))
+            yield chunk.select([c for c in chunk.schema.names if c != "_runs"])
+
+    return run
+
+
+def _with_runs(docs: DataFrame, found_in: DataFrame, window: int, gram: int) -> DataFrame:
+    runs = written(repeated_windows(found_in, window, gram))
+    runs = runs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    return docs.join(runs, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+
+
 def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text.
 
@@ -267,8 +293,15 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4, w
     and neither judge nor are judged; rows that repeat a doc_id should be made distinct before
     (they are cut as one document: by every window found under their id).
     """
-    runs = written(repeated_windows(docs, window, gram))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(runs, "doc_id", "left").mapInArrow(_cut(window, with_text), schema)
+    return _with_runs(texts, docs, window, gram).mapInArrow(_digest(window, with_text), schema)
+
+
+def without_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4) -> DataFrame:
+    """The documents, all other columns as they are, with passages that occurred earlier cut out.
+
+    A text that loses words becomes its kept words joined by one space; the others stay as they
+    are. The texts are shuffled once.
+    """
+    return _with_runs(docs, docs, window, gram).mapInArrow(_shortened(window), docs.schema)
