@@ -134,10 +134,10 @@ def _to_buckets(window: int, gram: int, frequent: np.ndarray, buckets: int):
                 for piece, a, b in zip(pieces.tolist(), first.tolist(), last.tolist()):
                     packed = joined[ends[a - 1] if a else 0 : ends[b + window - 1] - 1]
                     # equal strings hold equal windows, whose minimisers are equal too
-                    if packed in earliest:
+                    mine = (piece, doc_id, a)
+                    # a row that repeats a doc_id is the same place, not a later one
+                    if earliest.setdefault(packed, mine) != mine:
                         again.append((doc_id, a, b))
-                    else:
-                        earliest[packed] = (piece, doc_id, a)
             parts: dict[int, list] = {}
             for packed, (piece, doc_id, a) in earliest.items():
                 parts.setdefault(piece % buckets, []).append((piece, doc_id, a, packed))
@@ -165,9 +165,12 @@ def _later_windows(group: list, window: int) -> Iterator[tuple[int, int]]:
         for i in range(len(words) - window + 1):
             windows.append((b" ".join(words[i : i + window]), doc_id, start + i))
     windows.sort()
-    for (x, _, _), (y, doc_id, start) in zip(windows, windows[1:]):
-        if x == y:
-            yield doc_id, start
+    first = None
+    for window_at in windows:
+        if first is None or window_at[0] != first[0]:
+            first = window_at
+        elif window_at != first:
+            yield window_at[1:]
 
 
 def _stretches(found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
@@ -187,8 +190,8 @@ def _stretches(found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
 def _judge(window: int):
     """Judges buckets one after the other: (doc_id, first, last) of windows seen earlier."""
 
-    def judged(rows: list) -> list[tuple[int, int, int]]:
-        rows.sort(key=lambda r: r[0])
+    def judged(earliest: dict) -> list[tuple[int, int, int]]:
+        rows = sorted(((piece, doc_id, a, packed) for packed, (doc_id, a, piece) in earliest.items()), key=lambda r: r[0])
         found, i = [], 0
         while i < len(rows):
             j = i + 1
@@ -206,17 +209,24 @@ def _judge(window: int):
             yield pa.record_batch([pa.array(part[:, i]) for i in range(3)], ["doc_id", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
+        bucket: int | None = None
+        earliest: dict[bytes, tuple] = {}  # different strings only: copies do not pile up
         for batch in batches:
             for key, kmers, again in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if key != bucket:
-                    yield from batches_of(judged(rows))
-                    bucket, rows = key, []
+                    yield from batches_of(judged(earliest))
+                    bucket, earliest = key, {}
                 if again is not None:
                     yield from batches_of(_unpack(again))
-                if kmers is not None:
-                    rows.extend(_unpack(kmers))
-        yield from batches_of(judged(rows))
+                later = []
+                for piece, doc_id, a, packed in _unpack(kmers) if kmers is not None else ():
+                    mine = (doc_id, a, piece)
+                    other = earliest.setdefault(packed, mine)
+                    if other != mine:
+                        earliest[packed], (doc_id, a, _) = min(other, mine), max(other, mine)
+                        later.append((doc_id, a, a + packed.count(b" ") + 1 - window))
+                yield from batches_of(later)
+        yield from batches_of(judged(earliest))
 
     return run
 
@@ -290,8 +300,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4, w
     Words are runs of anything but ASCII white space, unchanged. A word is removed if a window
     over it holds the same words as one with a smaller doc_id, or an earlier start in the same
     document. Null, empty and short texts lose nothing. Rows without a doc_id are returned whole
-    and neither judge nor are judged; rows that repeat a doc_id should be made distinct before
-    (they are cut as one document: by every window found under their id).
+    and neither judge nor are judged; rows that repeat a doc_id with the same text
+    count as one document, and each gets its result (with different texts, the windows found
+    under an id cut all of its rows: make ids distinct before).
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
