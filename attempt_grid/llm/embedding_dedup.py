@@ -153,7 +153,7 @@ def _compare(quantiser: Quantiser, least: float, radius: float):
 
 
 def embedding_components(
-    table: DataFrame, least_cosine: float = 0.93, sample_rows: int = 20_000, subspaces: int = 16, codes: int = 256, list_rows: int = 500,
+    table: DataFrame, least_cosine: float = 0.93, sample_rows: int = 20_000, subspaces: int = 16, codes: int = 256, lists: int | None = None,
     tile_rows: int = 2048,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
@@ -161,7 +161,8 @@ def embedding_components(
     Vectors are compared if their labels are equal and not null and their lengths are equal.
     Null, zero and non-finite vectors link with nothing and are components of their own, as are
     vectors without a label. The quantiser is fitted on at most sample_rows vectors (those with
-    the smallest hashes); every vector is filed. A vec_id should be unique; rows that repeat one
+    the smallest hashes); every vector is filed. The number of lists grows with the square root of
+    that of vectors (256 at most), as each vector may have to probe a share of them. A vec_id should be unique; rows that repeat one
     with the same vector count as copies.
     """
     spark = table.sparkSession
@@ -179,7 +180,7 @@ def embedding_components(
         sample = sample_matrix(same, "embedding", sample_rows, F.xxhash64("embedding"))
         sample = sample / np.sqrt((sample**2).sum(axis=1))[:, None]
         radius = math.sqrt(max(0.0, 2 - 2 * least_cosine))
-        quantiser = Quantiser(sample, min(256, n_classes // list_rows + 1), subspaces, codes)
+        quantiser = Quantiser(sample, lists or min(256, math.isqrt(n_classes) // 8 + 1), subspaces, codes)
         filed = same.mapInArrow(
             _filed(quantiser, radius),
             "coarse int, home boolean, label long, rep long, n long, embedding array<double>, code binary, error double",

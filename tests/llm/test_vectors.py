@@ -40,7 +40,7 @@ def brute_force(rows, least=0.93):
         label = new
 
 
-@pytest.mark.parametrize("settings", [{}, {"list_rows": 12, "tile_rows": 4, "codes": 4}, {"sample_rows": 5, "list_rows": 30}])
+@pytest.mark.parametrize("settings", [{}, {"lists": 20, "tile_rows": 4, "codes": 4}, {"sample_rows": 5, "lists": 8}])
 def test_near_copies(spark, settings):
     rows = clustered()
     frame = spark.createDataFrame([*rows, *ODD], SCHEMA).repartition(4)
