@@ -79,7 +79,7 @@ def table_builds(spark, sf_dir: str) -> dict:
     }
 
 
-def main() -> None:
+def main(folder: str) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
@@ -90,7 +90,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
+            "spark.checkpoint.dir": folder,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -138,4 +138,5 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    main()
+    with tempfile.TemporaryDirectory(prefix="bench-") as shared:
+        main(shared)
