@@ -14,7 +14,6 @@ plus, a card in groups of four, an address with "at" and "dot").
 from __future__ import annotations
 
 import hashlib
-
 import random
 import re
 from collections.abc import Iterator
@@ -69,7 +68,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     found = [("email", a, b) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # without leading zeros, of which there may be more than int() reads
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:

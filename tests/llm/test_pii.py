@@ -35,6 +35,7 @@ def test_base_spans_are_the_patterns():
         assert base_spans(text) == brute_force(text)
     for text in ["1.2.3.4.5.6.7.8.9", "4111 1111 1111 1111", "a@b.c@d.e.f", "@@a@b.c", "0001.2.3.4", "+1 (017) 555-7713", "+123456789-"]:
         assert base_spans(text) == brute_force(text)
+    assert base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
     assert base_spans("9" * 200_000) == [] and base_spans("a" * 200_000 + "@b.cd")[0][1] == 0
 
 
