@@ -22,12 +22,15 @@ LEAF = 48
 
 
 def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Euclidean, in double precision, from the differences themselves."""
-    out = np.empty((len(queries), len(points)))
-    for i, q in enumerate(queries):
-        d = points - q
-        out[i] = np.sqrt(np.einsum("ij,ij->i", d, d))
-    return out
+    """Euclidean, in double precision, from the differences themselves, summed in the order of components."""
+    out = np.zeros((len(queries), len(points)))
+    if 2 * len(queries) < queries.shape[1]:
+        for i, q in enumerate(queries):
+            out[i] = np.cumsum((points - q) ** 2, axis=1)[:, -1]
+    else:
+        for q, p in zip(queries.T, points.T):
+            out += (q[:, None] - p) ** 2
+    return np.sqrt(out)
 
 
 class VantageTree:
