@@ -113,7 +113,7 @@ def scan_licenses(docs: DataFrame, words_per_template: int = 5, least_share: flo
 
     n_base counts all places of the fixed phrases, first_word and last_word are the smallest and
     the largest start (null without any). labels adds those of verified templates. score is 1 for
-    a fixed phrase, else the best verified share of indexed IDF, 0 without a label. Null and empty
+    a fixed phrase, else the best verified share of indexed IDF to nine digits, 0 without a label. Null and empty
     texts have no words and no labels; repeated rows are each answered.
     """
     spark = docs.sparkSession
@@ -162,5 +162,5 @@ def scan_licenses(docs: DataFrame, words_per_template: int = 5, least_share: flo
         F.get("places", F.size("places") - 1).cast("long").alias("last_word"),
         listed(base_labels).alias("base_labels"),
         listed(F.concat(base_labels, added)).alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.round(best, 9)).alias("score"),
     )

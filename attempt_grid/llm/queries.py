@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import embedding_components
 from .license_scan import scan_licenses
 from .neighbours import nearest
+from .oracle import ORACLE  # noqa: F401
 from .packing import pack
 from .pii import find_personal_data, train_field
 from .sentencepiece_codec import encode
@@ -79,31 +80,3 @@ QUERIES = {
         op10_vantage_point_neighbours,
     )
 }
-# The other queries use trained models, tokenizers or hashes that DuckDB lacks; tests hold them
-# against brute force.
-ORACLE: dict[str, str] = {
-    "op1_substring_dedup": r"""
-        WITH split AS (
-            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
-        ),
-        windows AS (
-            SELECT doc_id, start, array_to_string(list_slice(words, start, start + 19), ' ') AS content
-            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM split WHERE len(words) >= 20)
-        ),
-        later AS (
-            SELECT doc_id, start FROM windows
-            QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, start) > 1
-        ),
-        covered AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM later),
-        gone AS (SELECT doc_id, list(place) AS places FROM covered GROUP BY doc_id),
-        judged AS (
-            SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
-                   CASE WHEN places IS NULL THEN words
-                        ELSE list_select(words, list_sort(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)))) END AS kept
-            FROM split LEFT JOIN gone USING (doc_id)
-        )
-        SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
-               sha256(array_to_string(kept, ' ')) AS kept_sha256
-        FROM judged
-    """,
-}

@@ -6,6 +6,9 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from attempt_grid.llm.queries import ORACLE, QUERIES
 from attempt_grid.llm.substring_dedup import remove_repeated_passages
+from tests.llm.test_license_scan import NOTICES
+from tests.llm.test_vectors import ODD, clustered
+from tests.llm.test_vectors import SCHEMA as VECTORS
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no sample tables")
@@ -16,16 +19,34 @@ def test_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
-def test_sql(spark, name):
+def check_sql(spark, name, folder):
     import duckdb
 
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for path in Path(folder).glob("*.parquet"):
+        files = f"{path}/*.parquet" if path.is_dir() else path
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{files}'")
     cursor = connection.execute(ORACLE[name])
     names = [d[0] for d in cursor.description]
-    frame = QUERIES[name](spark, SF)
-    assert frame.columns == names and sorted(map(tuple, frame.collect())) == sorted(cursor.fetchall())
+    frame = QUERIES[name](spark, str(folder))
+    found, expected = list(map(tuple, frame.collect())), cursor.fetchall()
+    assert frame.columns == names and sorted(found, key=repr) == sorted(expected, key=repr)
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    assert check_sql(spark, name, SF)
+
+
+def test_sql_on_odd_tables(spark, broken, rows, tmp_path):
+    more = [(2000 + i, text, None, None, 0) for i, (text, _, _) in NOTICES.items()]
+    broken.unionAll(spark.createDataFrame([*rows, *more], broken.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = spark.createDataFrame([*clustered(), *ODD], VECTORS)
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert any(r[6] for r in check_sql(spark, "op4_license_scan", tmp_path))
+    check_sql(spark, "op5_embedding_near_dedup", tmp_path)
+    check_sql(spark, "op10_vantage_point_neighbours", tmp_path)
 
 
 def test_stages(spark, tmp_path):
