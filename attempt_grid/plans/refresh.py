@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from attempt_grid.operators.statistics import segment_totals
 from attempt_grid.operators.status import ProjectTable, dataset_status
@@ -39,7 +40,11 @@ def refresh(spark: SparkSession, builds: Iterable[ProjectBuild]) -> DataFrame:
     builds = list(builds)
     for item in builds:
         if item.requested:
-            built = item.build()
+            # the write itself tells which days it wrote, so raw events are read once
+            written = Observation()
+            built = item.build().observe(
+                written, F.collect_set("partition_date").alias("days"), F.count_if(F.col("partition_date").isNull()).alias("no_day")
+            )
             options = {
                 "replace_schema": item.replace_schema,
                 "cluster": item.cluster,
@@ -49,8 +54,9 @@ def refresh(spark: SparkSession, builds: Iterable[ProjectBuild]) -> DataFrame:
             if item.segment_table:
                 attempts = read_attempts_table(spark, item.table_name)
                 if item.only_present_days:
-                    days = built.select("partition_date").distinct()
-                    attempts = attempts.join(days, "partition_date", "left_semi")
+                    found = written.get
+                    new = F.col("partition_date").isin(found["days"])
+                    attempts = attempts.filter(new | F.col("partition_date").isNull() if found["no_day"] else new)
                 overwrite_table(segment_totals(attempts), item.segment_table, **options)
     return dataset_status(
         spark, [ProjectTable(b.project, b.table_name, b.requested) for b in builds]

@@ -136,6 +136,30 @@ def test_refresh_of_one_day_leaves_the_others(spark, attempts):
     assert spark.table("daily_segments").agg(F.sum("attempts_total")).first()[0] == 4
 
 
+def test_refresh_reads_its_input_once_and_keeps_attempts_without_a_day(spark, attempts):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return lambda: attempts(*rows).mapInArrow(run, attempts(*rows).schema)
+
+    def daily(rows):
+        options = {"only_present_days": True, "segment_table": "once_segments"}
+        refresh(spark, [ProjectBuild("p", "once_attempts", counted(rows), True, **options)])
+        return {str(r[0]): r[1] for r in spark.table("once_segments").groupBy("partition_date").agg(F.sum("attempts_total")).collect()}
+
+    dayless = dict(day_rows(1)[0], partition_date=None)
+    assert daily([*day_rows(1, 1, 2), dayless]) == {"2026-01-01": 2, "2026-01-02": 1, "None": 1}
+    assert read.value == 4
+    assert daily([*day_rows(2, 2), dayless, dayless]) == {"2026-01-01": 2, "2026-01-02": 2, "None": 2}
+    assert daily(day_rows(3)) == {"2026-01-01": 2, "2026-01-02": 2, "2026-01-03": 1, "None": 2}
+    assert read.value == 9
+
+
 def test_build_of_one_day_reads_one_day(spark, tmp_path):
     from grid_checks import sample_tables as sample
 
