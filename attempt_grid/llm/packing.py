@@ -33,6 +33,7 @@ from .common import in_chunks, process_store, text_bytes, written
 END_ID = 1
 MAX_QUEUES = 256
 CACHED_WORDS = 400_000
+CACHED_BYTES = 64 << 20
 TAIL = b".,;:!?$%&#*|"
 UNIT = 1 << 64
 
@@ -51,6 +52,7 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         self.words: dict[bytes, bytes] = {}
+        self.cached = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [
@@ -79,9 +81,11 @@ class WordEncoder:
         split = [None if b"<|" in t else t.lower().split() for t in texts]
         new = set().union(*(s for s in split if s)) - self.words.keys()
         if new:
-            if len(self.words) + len(new) > CACHED_WORDS:
+            self.cached += sum(map(len, new))
+            if len(self.words) + len(new) > CACHED_WORDS or self.cached > CACHED_BYTES:
                 self.words.clear()
                 new = set().union(*(s for s in split if s))
+                self.cached = sum(map(len, new))
             self._learn(new)
         get = self.words.__getitem__
         return [self._ids([t.decode()])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]

@@ -31,6 +31,7 @@ from .common import in_chunks, process_store
 
 MARK = "▁"
 CACHED_WORDS = 500_000
+CACHED_CHARACTERS = 32 << 20
 
 
 class Codec:
@@ -61,6 +62,7 @@ class Codec:
         self.least_score = min(self.scores[i] for i in self.normal.values())
         self.known: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.cached = 0
 
     def _merged(self, text: str) -> list[str]:
         """BPE of a short text by repeated best merge; the leftmost on ties."""
@@ -160,9 +162,11 @@ class Codec:
         """Ids as little-endian 32-bit bytes."""
         split = [self.marked(t) for t in texts]
         new = set().union(*split) - self.words.keys()
-        if len(self.words) + len(new) > CACHED_WORDS:
+        self.cached += sum(map(len, new))
+        if len(self.words) + len(new) > CACHED_WORDS or self.cached > CACHED_CHARACTERS:
             self.words.clear()
             new = set().union(*split)
+            self.cached = sum(map(len, new))
         self.learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]

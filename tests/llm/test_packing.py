@@ -70,3 +70,12 @@ def test_odd_tables(docs, no_docs, clashing, broken):
     assert sum(p.length for p in pack(broken, PATH).collect() if p.doc_id == 0) == 3 * len(expected(broken.first().text))
     hashed = pack(docs, PATH, 64, max_queues=2).collect()
     assert {p.queue for p in hashed} <= {"0", "1"}
+
+
+def test_cache_is_bounded_by_size(monkeypatch):
+    monkeypatch.setattr("attempt_grid.llm.packing.CACHED_BYTES", 400)
+    encoder = WordEncoder(PATH)
+    for i in range(6):
+        texts = [f"word{i} {'long' * 60}{i}, again", f"Word{i} end."]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == [expected(t)[:-1] for t in texts]
+        assert sum(map(len, encoder.words)) < 1000

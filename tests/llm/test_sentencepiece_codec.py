@@ -37,3 +37,12 @@ def test_odd_tables(no_docs, clashing, broken, texts):
     assert encode(clashing, PATH).count() == len(texts)
     found = {r.doc_id: r.n_tokens for r in encode(broken, PATH, with_ids=False).collect()}
     assert found[None] in (0, 61, 91) and encode(broken, PATH).count() == broken.count()
+
+
+def test_cache_is_bounded_by_size(monkeypatch):
+    monkeypatch.setattr("attempt_grid.llm.sentencepiece_codec.CACHED_CHARACTERS", 400)
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=PATH), Codec(PATH)
+    for i in range(6):
+        texts = [f"word{i} {'long' * 60}{i} again", f"Word{i} end"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [model.encode(t) for t in texts]
+        assert sum(map(len, codec.words)) < 1000
