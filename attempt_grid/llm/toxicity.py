@@ -9,6 +9,9 @@ into one score per document.
 
 The model is fitted on at most ``max_rows`` labelled rows of each class, those with the smallest
 hashes of doc_id; significances and the logistic model use out-of-fold token scores of those rows.
+Log-odds ratios and the clean texts' extreme values do not depend on how many rows of each class
+are taken. The logistic model does, so it weighs the rows of a class by the labels they stand for,
+and a score means the same whether a class was cut or not.
 """
 
 from __future__ import annotations
@@ -158,31 +161,36 @@ def _fit_gumbel(best: np.ndarray, size: np.ndarray) -> tuple[float, float]:
     return top[1], top[2]
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+def _fit_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """rows: how many rows each one stands for."""
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        hessian = (x * (rows * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (rows * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, text, toxic, fold) of at most max_rows training rows of each class.
-
-    Rows whose crc32(doc_id) mod 5 is 0 are held out. The chosen ids are bounded by 2 x max_rows,
-    so they can be broadcast; the documents are scanned once and not shuffled.
-    """
-    known = (
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, order), one row for each id. Those whose crc32(doc_id) mod 5 is 0 are held out."""
+    return (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
         .filter("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
         .withColumn("order", F.xxhash64("doc_id"))
     )
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, toxic, fold) of at most max_rows training labels of each class.
+
+    The chosen ids are bounded by 2 x max_rows, so they can be broadcast; the documents are
+    scanned once and not shuffled.
+    """
     chosen = [known.filter(F.col("toxic") == t).orderBy("order", "doc_id").limit(max_rows) for t in (0, 1)]
     chosen = chosen[0].unionAll(chosen[1]).select("doc_id", "toxic", F.pmod("order", F.lit(FOLDS)).cast("int").alias("fold"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -194,7 +202,10 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learns the model. Without labelled rows of both classes it scores every text alike, low."""
     spark = docs.sparkSession
-    sample = written(labelled_sample(docs, labels, max_rows))
+    # only labels with a document, so that the counts are those the sample is drawn from
+    known = written(training_labels(labels).join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi"))
+    stands_for = {r["toxic"]: max(1.0, r["count"] / max_rows) for r in known.groupBy("toxic").count().collect()}
+    sample = written(labelled_sample(docs, known, max_rows))
     per_fold = [
         F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{k}_{t}")
         for k in range(FOLDS)
@@ -236,7 +247,7 @@ def fit_toxicity(
     clean = (first[:, 0] == 0) & (first[:, 2] > 0)
     gumbel = _fit_gumbel(first[clean, 2], first[clean, 1])
     second = evidence(gumbel)
-    weights = _fit_logistic(second[:, 3:], second[:, 0])
+    weights = _fit_logistic(second[:, 3:], second[:, 0], np.array([stands_for[t] for t in second[:, 0]]))
     out_of_fold.unpersist()
     return ToxicityModel(learned(list(range(FOLDS))), gumbel, weights)
 

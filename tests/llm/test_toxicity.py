@@ -81,3 +81,22 @@ def test_odd_tables(docs, no_docs, clashing, broken, texts, labelled):
     assert all(0 <= r.score < 0.5 for r in score_toxicity(broken, model).collect())
     untaught = fit_toxicity(no_docs, labelled[1])
     assert {r.predicted for r in score_toxicity(docs, untaught).collect()} == {0}
+
+
+def test_a_cut_class_keeps_its_weight(spark):
+    """Three in ten texts with a doubtful word are toxic: below 0.5, however many clean rows are taken."""
+    draw, rows = random.Random(9), []
+    plain = [a + b for a in "ba co di fo gu ha li mo".split() for b in "ran tel vis pok den".split()]
+    for i in range(3000):
+        words = [draw.choice(plain) for _ in range(40)]
+        doubtful = i % 5 == 0
+        if doubtful:
+            words[7] = words[20] = "doubtful"
+        rows.append((i, " ".join(words), int(doubtful and draw.random() < 0.3)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+    toxic = sum(r[2] for r in rows)
+    for max_rows in (6000, 140, 100):
+        found = score_toxicity(docs, fit_toxicity(docs, labels, max_rows)).collect()
+        assert sum(r.predicted for r in found) <= 30
+        assert 0.7 * toxic < sum(r.score for r in found) < 1.4 * toxic
