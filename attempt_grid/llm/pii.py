@@ -1,14 +1,14 @@
 """Personal data: four fixed patterns, extended by a semi-Markov conditional random field.
 
-The patterns alone find the base spans. The random field looks at stretches of text around digits
-and at-signs: every run of up to ``MAX_TOKENS`` tokens is a candidate segment, scored by features
+The patterns alone find the base spans. The random field looks at stretches of text around digits,
+at-signs and spelled-out ones ("at" before a name and a dot): every run of up to ``MAX_TOKENS`` tokens is a candidate segment, scored by features
 of the whole span (shape, digit groups, checks, cue before it). Dynamic programming over segments
 picks boundaries and kinds jointly; a span is added only where its posterior probability is at
 least ``LEAST_POSTERIOR`` and no base span overlaps it.
 
 The field is trained on a bounded number of stretches (``max_stretches``) in which the patterns
 mark the spans, and on the same stretches with the spans respelled (a phone number without its
-plus, a card in groups of four, an address with "at" and "dot").
+plus, a card in groups of four, an address with "at" and "dot", with digits and without).
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import in_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 TRIGGER = re.compile(r"[0-9@]")
+# the same, or the word "at", also in brackets, before a name and a dot
+SPELLED = re.compile(r"[0-9@]|(?<![^\W_])at(?=\s{0,2}[\])]?\s{0,2}(?!(?:the|an?)\s)[A-Za-z0-9-]{1,63}(?:\s{0,2}[\[(]?\s{0,2}\bdot\b|\.[A-Za-z]))(?![^\W_])")
 EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match starts where a run of digits does
@@ -34,6 +36,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
+# what an address goes on with, to its left and to its right
+MORE_LEFT = re.compile(r"(?:\.|\bdot[\])]?\s{1,2})\Z")
+MORE_RIGHT = re.compile(r"(?:\s{1,2}[\[(]?\s{0,2}dot\b[\])]?\s{1,2}|\.)[A-Za-z]")
+
 MAX_TOKENS = 16
 LEAST_POSTERIOR = 0.9
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W_]|[^\w\s]|_")
@@ -83,12 +89,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def stretches(text: str) -> Iterator[tuple[int, int]]:
+def stretches(text: str, trigger: re.Pattern = SPELLED) -> Iterator[tuple[int, int]]:
     """Places worth a look: triggers less than 48 characters apart, with 40 more on either side.
 
     Stretches are cut after about 2,000 characters, so the work stays linear."""
     first = last = None
-    for m in TRIGGER.finditer(text):
+    for m in trigger.finditer(text):
         at = m.start()
         if first is not None and (at - last > 48 or at - first > 2000):
             yield max(0, first - 40), min(len(text), last + 41)
@@ -113,8 +119,10 @@ def _span_features(text: str, a: int, b: int, before: str) -> list[str]:
     if len(groups) == 4 and not letters and span.count(".") == 3 and "," not in span:
         out.append(f"quad{all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
     if letters:
-        plain = re.sub(r"\s*[\[(]?\s*\bat\b\s*[\])]?\s*", "@", span.replace(" dot ", "."), count=1)
-        out.append(f"address{bool(re.fullmatch(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}', plain))}")
+        plain = re.sub(r"\s*[\[(]?\s*\bdot\b\s*[\])]?\s*", ".", span)
+        plain = re.sub(r"\s*[\[(]?\s*\bat\b\s*[\])]?\s*", "@", plain, count=1)
+        whole = not MORE_LEFT.search(text, max(0, a - 7), a) and not MORE_RIGHT.match(text, b)
+        out.append(f"address{whole and bool(re.fullmatch(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}', plain))}")
     out.append(f"first{span[0] if not span[0].isalnum() else 'd' if span[0].isdigit() else 'a'}")
     out.append(f"last{span[-1] if not span[-1].isalnum() else 'd' if span[-1].isdigit() else 'a'}")
     if before.lower() in CUES:
@@ -227,6 +235,13 @@ def _respelled(kind: str, span: str, draw: random.Random) -> str:
     return span
 
 
+def _spelled_out(span: str) -> list[str]:
+    """An address in words: no digit, no at-sign."""
+    name, _, host = DIGIT.sub("", re.sub(r"(?<![A-Za-z])[0-9]+(?![A-Za-z])", "x", span)).partition("@")
+    forms = (" at ", " dot "), (" at ", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" [at] ", "."), (" (at) ", ".")
+    return [name + at + host.replace(".", dot) for at, dot in forms]
+
+
 def _example(text: str, spans: list):
     tokens, segments = candidates(text, 0, len(text))
     places = {(tokens[i][0], tokens[j - 1][1]): k for k, (i, j, _) in enumerate(segments)}
@@ -246,7 +261,8 @@ def train_field(docs: DataFrame, max_stretches: int = 400) -> SemiMarkovField:
                 if text and TRIGGER.search(text):
                     spans = base_spans(text)
                     kinds = set()
-                    for a, b in stretches(text):
+                    # spelled-out addresses are not marked: as examples of plain text they would mislead
+                    for a, b in stretches(text, TRIGGER):
                         inside = sorted({k for k, x, y in spans if a <= x and y <= b})
                         name = inside[0] if inside else "none"
                         if name not in kinds and b - a <= 300:
@@ -262,6 +278,8 @@ def train_field(docs: DataFrame, max_stretches: int = 400) -> SemiMarkovField:
     slots = found.groupBy("kind", F.pmod("order", F.lit(each)).alias("slot")).agg(F.min_by("stretch", F.struct("order", "stretch")).alias("stretch"))
     rows = sorted((r["kind"], r["slot"], r["stretch"]) for r in slots.collect())
     draw, examples = random.Random(7), []
+    # where addresses are few, each is shown in more forms
+    forms = min(6, max(1, 72 // max(1, sum(kind == "email" for kind, _, _ in rows))))
     for _, _, text in rows:
         spans = [s for s in base_spans(text) if s[0] != "card" or not any(o[0] != "card" and o[1] < s[2] and s[1] < o[2] for o in base_spans(text))]
         examples.append(_example(text, spans))
@@ -270,6 +288,10 @@ def train_field(docs: DataFrame, max_stretches: int = 400) -> SemiMarkovField:
             new = _respelled(kind, text[a:b], draw)
             other = text[:a] + new + text[b:]
             examples.append(_example(other, [(kind, a, a + len(new))]))
+            for k in range(forms if kind == "email" else 0):
+                spelled = _spelled_out(text[a:b])
+                new = spelled[(len(examples) + k) % len(spelled)]
+                examples.append(_example(text[:a] + new + text[b:], [(kind, a, a + len(new))]))
     field = SemiMarkovField()
     field.train(examples)
     return field
@@ -278,7 +300,7 @@ def train_field(docs: DataFrame, max_stretches: int = 400) -> SemiMarkovField:
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
-    if not base and not TRIGGER.search(text):
+    if not base and not SPELLED.search(text):
         return [], []
     taken = sorted((a, b) for _, a, b in base)
     added = []

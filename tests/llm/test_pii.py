@@ -73,3 +73,15 @@ def test_masking_and_odd_tables(spark, docs, no_docs, clashing, broken, texts):
     assert find_personal_data(no_docs, train_field(no_docs)).collect() == []
     assert find_personal_data(clashing, field).count() == len(texts)
     assert find_personal_data(broken, field).count() == broken.count()
+
+
+def test_addresses_in_words_far_from_digits(spark):
+    field = train_field(corpus(spark))
+    address = ["jo at mail dot example dot com", "jo at mail.example.com", "jo [at] mail [dot] example [dot] com", "jo.smith (at) example (dot) org"]
+    for text in address:
+        whole = f"{'plain words ' * 9}please write to {text} {'about it ' * 9}"
+        assert [(k, whole[a:b]) for k, a, b in all_spans(whole, field)[1]] == [("email", text)]
+    for text in ["we met at noon. Then we left", "look at the dot on the wall", "she arrived at home dot dot dot", "at", "at dot"]:
+        assert all_spans(text, field) == ([], [])
+    docs = spark.createDataFrame([(1, f"write to {address[0]} soon")], "doc_id long, text string")
+    assert mask_personal_data(docs, field).first().text == "write to <EMAIL> soon"
