@@ -19,13 +19,13 @@ import bisect
 import heapq
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_chunks, process_store, text_bytes, written
@@ -126,12 +126,33 @@ class Mixture:
         return counts
 
 
-def tokenised(docs: DataFrame, tokenizer: str, max_queues: int = MAX_QUEUES) -> DataFrame:
+def _source(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
+def folded(docs: DataFrame, max_queues: int = MAX_QUEUES, named: Collection[str] = ()) -> Column | None:
+    """The queue of each source where there are more than max_queues of them, else None.
+
+    Sources in named and the heaviest others keep a queue of their own; the rest share a quarter of
+    the queues, at least two, whose names are numbers that no source with its own queue has.
+    """
+    source = _source(docs)
+    if docs.agg(F.countDistinct(source)).first()[0] <= max_queues:
+        return None
+    shared = min(max_queues, max(2, max_queues // 4))
+    sizes = docs.groupBy(source.alias("queue")).agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).alias("n"))
+    others = sizes.filter(~F.col("queue").isin(list(named))) if named else sizes
+    heavy = others.orderBy(F.desc("n"), "queue").limit(max(0, max_queues - shared - len(named))).collect()
+    own = {*named, *(r["queue"] for r in heavy)}
+    numbers = [n for n in map(str, range(shared + len(own))) if n not in own][:shared]
+    number = F.element_at(F.array(*map(F.lit, numbers)), (F.pmod(F.xxhash64(source), F.lit(shared)) + 1).cast("int"))
+    return F.when(source.isin(list(own)), source).otherwise(number) if own else number
+
+
+def tokenised(docs: DataFrame, tokenizer: str, queue: Column | None = None) -> DataFrame:
     """(doc_id, queue, block, place, n_tokens, ids): place counts the queue's tokens in its block."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    texts = docs.select(F.col("doc_id").cast("long"), source.alias("queue"), F.col("text").cast("string"))
-    if texts.agg(F.countDistinct("queue")).first()[0] > max_queues:
-        texts = texts.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
+    queue = _source(docs) if queue is None else queue
+    texts = docs.select(F.col("doc_id").cast("long"), queue.alias("queue"), F.col("text").cast("string"))
 
     make, store = WordEncoder, process_store
 
@@ -211,15 +232,22 @@ def pack(
     A document's tokens are its ids and a final END_ID; a null or empty text is that id alone.
     Every token lies in one piece, and only the last sequence may be shorter than length.
     weights gives sources their target share (sources left out: 1); without it each source has
-    the share of its size. More than max_queues sources are hashed into that many queues (their
-    numbers are then the names for weights). A null source is the queue "". Rows that repeat are
-    packed each; no documents give no pieces.
+    the share of its size. Of more than max_queues sources those in weights and the heaviest have
+    a queue each; the light ones are hashed into the others (see folded), whose share is that of
+    their sources together. A null source is the queue "". Rows that repeat are packed each; no
+    documents give no pieces.
     """
-    table = written(tokenised(docs, tokenizer, max_queues))
+    queue = folded(docs, max_queues, weights or ())
+    table = written(tokenised(docs, tokenizer, queue))
     sums = written(table.groupBy("queue", "block").agg(F.sum("n_tokens").alias("tokens")))
     totals = sorted((r["queue"], r["n"]) for r in sums.groupBy("queue").agg(F.sum("tokens").alias("n")).collect())
     queues, sizes = [q for q, _ in totals], [int(n) for _, n in totals]
-    shares = sizes if weights is None else [max(1, round(1_000_000 * weights.get(q, 1))) for q in queues]
+    shares = sizes
+    if weights is not None:
+        held = {}  # sources of each queue
+        if queue is not None:
+            held = dict(docs.groupBy(queue.alias("queue")).agg(F.countDistinct(_source(docs))).collect())
+        shares = [max(1, round(1_000_000 * weights.get(q, held.get(q, 1)))) for q in queues]
     so_far = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(sums.select("queue", "block", F.coalesce(F.sum("tokens").over(so_far), F.lit(0)).alias("base")))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"

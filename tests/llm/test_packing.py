@@ -79,3 +79,29 @@ def test_cache_is_bounded_by_size(monkeypatch):
         texts = [f"word{i} {'long' * 60}{i}, again", f"Word{i} end."]
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == [expected(t)[:-1] for t in texts]
         assert sum(map(len, encoder.words)) < 1000
+
+
+def test_weighted_and_heavy_sources_are_not_folded(spark):
+    """300 light sources, a heavy one and two with weights, one of them named as a shared queue."""
+    rows = [(i, "some plain words of text " * 4, f"site{i}") for i in range(300)]
+    rows += [(1000 + i, "many more words " * 20, "hot") for i in range(60)]
+    rows += [(2000 + i, "chosen words " * 40, name) for i, name in enumerate(["0", "chosen"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source = {i: s for i, _, s in rows}
+    for weights in (None, {"0": 30.0, "chosen": 60.0}):
+        pieces = pack(docs, PATH, 512, weights).collect()
+        own = {"hot", *(weights or {})}
+        assert all((p.queue == source[p.doc_id]) for p in pieces if {p.queue, source[p.doc_id]} & own)
+        assert len({p.queue for p in pieces}) <= 256 and {p.doc_id for p in pieces} == set(source)
+        assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    first = defaultdict(int)
+    for p in pieces:
+        if p.sequence_id == 0:
+            first[p.queue] += p.length
+    assert abs(first["chosen"] - 2 * first["0"]) <= 3
+    held = defaultdict(set)
+    for p in pieces:
+        held[p.queue].add(source[p.doc_id])
+    assert max(map(len, held.values())) > 1
+    # a shared queue has the weights of its sources together
+    assert all(abs(first[q] - len(held[q]) * first["chosen"] / 60) <= 1.1 for q in held if q not in own - {"hot"})
