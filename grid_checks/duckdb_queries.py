@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from grid_checks.sample_tables import MONTHS
+
 ORACLE: dict[str, str] = {}
 
 # --- inputs ------------------------------------------------------------------
@@ -423,8 +425,12 @@ ORACLE["grid_duplicates"] = f"""WITH {_LINEITEM_ATTEMPTS}
 SELECT level_cohort AS level_group, partition_date AS date, count(*) AS cell_rows
 FROM attempts GROUP BY ALL HAVING count(*) > 1"""
 
+_DAY_COLUMNS = ", ".join(f"max(value) FILTER (date = DATE '{day}') AS \"{day}\"" for day in MONTHS)
+_LISTED = ", ".join(f"DATE '{day}'" for day in MONTHS)
 ORACLE["grid_pivot"] = f"""WITH {_NARROW}
-PIVOT (SELECT level_group, date, value FROM cells) ON date USING max(value) GROUP BY level_group"""
+SELECT level_group, {_DAY_COLUMNS} FROM cells
+WHERE CASE WHEN date IN ({_LISTED}) THEN TRUE ELSE error('a cell on a day that is not listed') END
+GROUP BY level_group"""
 ORACLE["grid_records"] = (
     f"WITH {_NARROW} SELECT level_group, date, value FROM cells WHERE value IS NOT NULL"
 )

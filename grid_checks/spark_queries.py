@@ -59,8 +59,8 @@ def _register(name: str, build: Query) -> None:
 
 
 def _folder(spark) -> str:
-    """A new folder where the session says; below a temporary one where it says nothing."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """A new folder where the session says; a temporary one only where driver and executors are one machine."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local["):
         return shared_folder(spark)
     return f"{tempfile.mkdtemp(prefix='grid-checks-')}/kept"
 
@@ -463,7 +463,7 @@ def grid_duplicates(spark, sf_dir):
 
 @_query
 def grid_pivot(spark, sf_dir):
-    return grid.pivot_grid(_narrow_values(spark, sf_dir))
+    return grid.pivot_grid(_narrow_values(spark, sf_dir), sample.MONTHS)
 
 
 @_query

@@ -1,5 +1,4 @@
 import sys
-from datetime import date, datetime
 from pathlib import Path
 
 import pytest
@@ -28,30 +27,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def attempt(**changes):
-    """One legal attempt row as a dict."""
-    row = {
-        "client_time": datetime(2026, 1, 1, 12),
-        "user_id": "u1",
-        "balance_id": 1001,
-        "traffic_type": "organic",
-        "payer_type": "payer",
-        "failed": 0,
-        "attempt": 1,
-        "platform_name": "ios",
-        "first_attempt": 1,
-        "FW": 0,
-        "CW": 0,
-        "CF": 0,
-        "FF": 0,
-        "reason_seg": "unknown",
-        "partition_date": date(2026, 1, 1),
-        "level_cohort": 10,
-        "super_ball": False,
-    }
-    return {**row, **changes}
-
-
 @pytest.fixture
 def attempts(spark):
     """Builds a contract frame from attempt() rows."""
@@ -62,8 +37,3 @@ def attempts(spark):
         )
 
     return build
-
-
-def plan(df) -> str:
-    """The physical plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,7 @@ import re
 from datetime import date, datetime
 
 import pytest
-from conftest import attempt, plan
+from grid_rows import attempt, plan
 from pyspark.sql import functions as F
 
 from attempt_grid import (

@@ -2,7 +2,7 @@ import itertools
 from datetime import date, datetime
 
 import pytest
-from conftest import attempt, plan
+from grid_rows import attempt, plan
 
 from attempt_grid import AttemptCriteria, criteria_predicate, filter_attempts, normalise_selection
 from attempt_grid.operators.criteria import (

@@ -1,7 +1,7 @@
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import plan
+from grid_rows import plan
 from pyspark.sql import functions as F
 
 from attempt_grid import (

@@ -1,5 +1,5 @@
 import pytest
-from conftest import attempt
+from grid_rows import attempt
 
 from attempt_grid import (
     METRICS,

@@ -1,6 +1,6 @@
 from datetime import date
 
-from conftest import attempt, plan
+from grid_rows import attempt, plan
 from pyspark.sql import functions as F
 
 from attempt_grid import distinct_values, filter_options, read_filter_options

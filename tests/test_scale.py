@@ -5,7 +5,7 @@ from datetime import date
 from pathlib import Path
 
 import pytest
-from conftest import plan
+from grid_rows import plan
 from pyspark.sql import functions as F
 
 from attempt_grid import GridRequest, aggregate_statistics, filter_options, grid_cells
@@ -118,7 +118,7 @@ def test_payloads_are_parsed_before_the_join(spark):
 
 
 def test_grid_request_is_one_shuffle(spark, attempts):
-    from conftest import attempt
+    from grid_rows import attempt
 
     text = plan(grid_cells(attempts(attempt()), GridRequest("fail_rate", "relative", 5)))
     assert text.count("Exchange") == 1

@@ -2,7 +2,7 @@ import os
 from datetime import date
 
 import pytest
-from conftest import attempt, plan
+from grid_rows import attempt, plan
 from pyspark.sql import functions as F
 
 from attempt_grid import (

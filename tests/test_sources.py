@@ -1,7 +1,7 @@
 from datetime import date, datetime
 
 import pytest
-from conftest import attempt, plan
+from grid_rows import attempt, plan
 
 from attempt_grid import (
     ATTEMPT_COLUMNS,

@@ -2,7 +2,7 @@ import random
 from datetime import date
 
 import pytest
-from conftest import attempt, plan
+from grid_rows import attempt, plan
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

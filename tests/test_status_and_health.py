@@ -1,6 +1,6 @@
 from datetime import date
 
-from conftest import attempt
+from grid_rows import attempt
 
 import pytest
 
