@@ -11,7 +11,7 @@ from attempt_grid.functions.attempts import indicator
 from attempt_grid.operators.contract import ATTEMPT_COLUMNS
 
 # Every day a line item's attempt can be dated to: the first of each month of seven years.
-MONTHS = tuple(date(year, month, 1) for year in range(1992, 1999) for month in range(1, 13))
+MONTHS = tuple(date(year, month, 1) for year in range(1995, 2002) for month in range(1, 13))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
