@@ -17,6 +17,7 @@ from .sharding import shard_documents
 from .simhash import simhash_components
 from .substring_dedup import remove_repeated_passages
 from .toxicity import fit_toxicity, score_toxicity
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +83,6 @@ QUERIES = {
         op8_toxicity,
         op9_simhash_near_dedup,
         op10_vantage_point_neighbours,
+        op13_embedding_whitening,
     )
 }

@@ -1,0 +1,119 @@
+import random
+
+import numpy as np
+import pytest
+
+from attempt_grid.llm.whitening import whiten
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def vectors(n, size, seed=3, spread=None):
+    draw = np.random.default_rng(seed)
+    scales = np.linspace(2, 0.5, size) if spread is None else spread
+    return [(i, [float(np.float32(c)) for c in draw.standard_normal(size) * scales], 1) for i in range(n)]
+
+
+def expected(rows, components=16):
+    """Dense brute force: {vec_id: (deviation, |whitened|)}, explained, n."""
+    kept = [(i, [int(np.floor(64 * np.float64(c))) + 1_000_000 for c in v]) for i, v, *_ in rows]
+    fit = np.array(sorted({tuple(x) for _, x in kept}), object)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = ((fit * n - sums).astype(float)) / n
+    e, u = np.linalg.eigh(centred.T @ centred / n)
+    e, u = e[::-1][:components], u[:, ::-1][:, :components]
+    trace = (centred**2).sum() / n
+    out = {}
+    for i, x in kept:
+        away = np.array(x, object) * n - sums
+        out.setdefault(i, []).append((int((away * away).sum()), np.abs(away.astype(float) / n @ u / np.sqrt(e))))
+    return out, e / trace, n
+
+
+def compare(found, rows, components=16):
+    wanted, explained, n = expected(rows, components)
+    by = {}
+    for r in found:
+        by.setdefault(r.vec_id, []).append(r)
+    assert by.keys() == wanted.keys()
+    k = min(components, len(rows[0][1]))
+    for i, own in by.items():
+        assert len(own) == k * len(wanted[i])
+        for r in own:
+            deviation, whitened = wanted[i][0]
+            assert (r.n, r.deviation) == (n, deviation)
+            assert abs(r.whitened) == pytest.approx(whitened[r.component - 1], rel=1e-6, abs=1e-7)
+            assert r.explained == pytest.approx(explained[r.component - 1], rel=1e-9)
+            assert 0 <= r.identity_error <= 1e-9
+
+
+@pytest.mark.parametrize("size", [3, 20, 70])
+def test_against_dense_eigenvectors(spark, size):
+    rows = vectors(300, size)
+    random.Random(1).shuffle(rows)
+    rows += rows[:40]  # repeated rows are returned again and count once
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    compare(whiten(frame).collect(), rows)
+
+
+def test_a_flat_spectrum_widens_the_block(spark):
+    rows = vectors(4000, 100, spread=np.r_[np.full(2, 3.0), np.full(98, 1.0)])
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    compare(whiten(frame, components=4).collect(), rows, 4)
+
+
+def test_one_sign_for_all_rows(spark):
+    rows = vectors(200, 8)
+    found = whiten(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    table = np.zeros((200, 8))
+    for r in found:
+        table[r.vec_id, r.component - 1] = r.whitened
+    assert np.allclose(table.T @ table / 200, np.eye(8), atol=1e-9)  # the 200 are all different
+
+
+def test_odd_rows(spark):
+    rows = vectors(50, 4)
+    odd = [
+        (900, None, 1), (901, [None, 1.0, 1.0, 1.0], 1), (902, [float("nan"), 1.0, 1.0, 1.0], 1),
+        (903, [float("inf"), 1.0, 1.0, 1.0], 1), (904, [], 1), (905, [1e30, 1.0, 1.0, 1.0], 1),
+    ]
+    zero, nameless = (906, [0.0] * 4, None), (None, [0.5] * 4, 1)
+    frame = spark.createDataFrame([*rows, *odd, zero, nameless], SCHEMA).repartition(3)
+    compare(whiten(frame).collect(), [*rows, zero, nameless])
+
+
+def test_lengths_are_tables_of_their_own(spark):
+    short, long = vectors(40, 3), [(100 + i, v, 1) for i, v, _ in vectors(60, 6, seed=5)]
+    found = whiten(spark.createDataFrame([*short, *long], SCHEMA)).collect()
+    compare([r for r in found if r.vec_id < 100], short)
+    compare([r for r in found if r.vec_id >= 100], long)
+
+
+def test_directions_without_variance_are_no_components(spark):
+    whole = [[float(round(64 * c)) for c in v] for _, v, _ in vectors(80, 2)]  # so the two columns stay parallel
+    rows = [(i, [a, 2 * a, 1.0, b], 1) for i, (a, b) in enumerate(whole)]
+    found = whiten(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.component for r in found} == {1, 2}
+    assert sum({r.component: r.explained for r in found}.values()) == pytest.approx(1)
+    same = spark.createDataFrame([(i, [1.0, 2.0], 1) for i in range(5)], SCHEMA)
+    assert whiten(same).count() == 0
+
+
+def test_large_entries_stay_exact(spark):
+    rows = [(i, [v[0] * 2.0**40, v[1]], g) for i, v, g in vectors(30, 2)]
+    schema = SCHEMA.replace("float", "double")
+    found = whiten(spark.createDataFrame(rows, schema)).collect()
+    wanted, explained, n = expected(rows)
+    assert {r.vec_id for r in found} == set(wanted)
+    for r in found:
+        assert r.deviation == (d if (d := wanted[r.vec_id][0][0]) < 1 << 63 else None)
+        assert r.n == n and r.identity_error <= 1e-4
+
+
+def test_empty_table_and_clashing_names(spark):
+    assert whiten(spark.createDataFrame([], SCHEMA)).count() == 0
+    rows = vectors(30, 3)
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows, SCHEMA).select("*", *(F.lit("no").alias(c) for c in ("x", "v", "size", "n", "component", "r")))
+    compare(whiten(frame).collect(), rows)
