@@ -148,10 +148,51 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
 FROM split LEFT JOIN base USING (doc) LEFT JOIN labelled USING (doc) LEFT JOIN scored USING (doc)
 """
 
+LEXICAL_SEARCH = rf"""
+WITH split AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+counted AS (SELECT doc, doc_id, words, len(words)::BIGINT AS n FROM split WHERE len(words) > 0),
+everything AS (SELECT count(*)::BIGINT AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_words FROM counted),
+items AS (
+    SELECT row_number() OVER () AS item, item_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+),
+asked AS (SELECT item, item_id, term, count(*)::BIGINT AS repeats FROM (SELECT item, item_id, unnest(words) AS term FROM items) GROUP BY ALL),
+held AS (
+    SELECT doc, term, count(*)::BIGINT AS tf
+    FROM (SELECT doc, unnest(words) AS term FROM counted) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weighed AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), everything
+),
+shares AS (
+    SELECT doc, doc_id, term,
+           (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_words)) AS share
+    FROM held JOIN counted USING (doc), everything
+),
+scored AS (
+    SELECT item, item_id, doc, doc_id, sum(repeats * w * share)::BIGINT AS score
+    FROM asked JOIN weighed USING (term) JOIN shares USING (term)
+    GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM scored WHERE score > 0
+)
+WHERE rank <= 20
+"""
+
 
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_license_scan": license_scan(),
     "op5_embedding_near_dedup": EMBEDDING_NEAR_DEDUP,
     "op10_vantage_point_neighbours": NEIGHBOURS,
+    "op11_lexical_search": LEXICAL_SEARCH,
 }

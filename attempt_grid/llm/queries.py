@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_components
+from .lexical_search import search
 from .license_scan import scan_licenses
 from .neighbours import nearest
 from .oracle import ORACLE  # noqa: F401
@@ -66,6 +67,10 @@ def op10_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +88,7 @@ QUERIES = {
         op8_toxicity,
         op9_simhash_near_dedup,
         op10_vantage_point_neighbours,
+        op11_lexical_search,
         op13_embedding_whitening,
     )
 }
