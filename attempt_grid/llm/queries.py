@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import embedding_components
 from .lexical_search import search
 from .license_scan import scan_licenses
+from .lm_scoring import score_texts
 from .neighbours import nearest
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack
@@ -71,6 +72,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +94,7 @@ QUERIES = {
         op9_simhash_near_dedup,
         op10_vantage_point_neighbours,
         op11_lexical_search,
+        op12_lm_scoring,
         op13_embedding_whitening,
     )
 }
