@@ -52,6 +52,7 @@ from attempt_grid.plans.grid_request import GridRequest, grid_cells, grid_cells_
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, rebuild_table
 from attempt_grid.plans.refresh import ProjectBuild, refresh
 from attempt_grid.session import attempt_session
+from attempt_grid.sinks.day_refresh import finish_refreshes, refresh_days, refresh_log
 from attempt_grid.sinks.tables import keep, overwrite_table, write_partitioned
 from attempt_grid.sources.attempts import (
     ProjectSource,

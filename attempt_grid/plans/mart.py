@@ -16,6 +16,7 @@ from attempt_grid.functions.attempts import (
 from attempt_grid.functions.casts import truth_value, whole_number
 from attempt_grid.operators import mart
 from attempt_grid.operators.criteria import DateLike, Limits
+from attempt_grid.sinks.day_refresh import Days, refresh_days
 from attempt_grid.sinks.tables import overwrite_table
 
 # Output columns of the two builds.
@@ -157,12 +158,15 @@ def rebuild_table(
     replace_schema: bool = False,
     cluster: bool = True,
     only_present_days: bool = False,
-) -> None:
-    """Write a build as its day-partitioned table, replacing the previous one or its days."""
-    overwrite_table(
-        typed(attempts),
-        name,
-        replace_schema=replace_schema,
-        cluster=cluster,
-        only_present_days=only_present_days,
-    )
+    days: Days | None = None,
+) -> Days | None:
+    """Write a build as its day-partitioned table and return the days it replaced, None for all.
+
+    ``days`` are the requested days of the build: they are replaced, also by nothing, and the rest
+    of the table stays. ``only_present_days`` takes those that occur in the build.
+    """
+    rows, options = typed(attempts), {"replace_schema": replace_schema, "cluster": cluster}
+    if days is not None or only_present_days:
+        return refresh_days(rows, name, days, **options)
+    overwrite_table(rows, name, **options)
+    return None

@@ -10,7 +10,7 @@ BUCKET_COLUMN = "level_cohort"
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
-def _arranged(df: DataFrame, partition_col: str, cluster: bool) -> DataFrame:
+def arranged(df: DataFrame, partition_col: str, cluster: bool) -> DataFrame:
     """Rows arranged for a day-partitioned write.
 
     REBALANCE groups a day's rows, lets adaptive execution split a day that
@@ -38,7 +38,7 @@ def write_partitioned(
     table and joined by broadcast.
     """
     (
-        _arranged(df, partition_col, cluster)
+        arranged(df, partition_col, cluster)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if only_present_days else "static")
         .partitionBy(partition_col)
@@ -53,27 +53,13 @@ def overwrite_table(
     *,
     replace_schema: bool = False,
     cluster: bool = True,
-    only_present_days: bool = False,
 ) -> None:
-    """Overwrite a catalog table partitioned by day.
+    """Overwrite a catalog table partitioned by day; ``refresh_days`` replaces some days only.
 
     The schema options matter to table formats that check them: by default new
     columns are merged in, ``replace_schema`` puts the new schema in place.
-    ``only_present_days`` replaces just the days that occur in ``df`` and leaves the
-    files of other days alone; a table that does not exist yet is created.
     """
-    spark = df.sparkSession
-    if only_present_days and spark.catalog.tableExists(name):
-        rows = _arranged(df.select(*spark.table(name).columns), partition_col, cluster)
-        # insertInto takes the mode from the session only
-        before = spark.conf.get(OVERWRITE_MODE)
-        spark.conf.set(OVERWRITE_MODE, "dynamic")
-        try:
-            rows.write.mode("overwrite").insertInto(name)
-        finally:
-            spark.conf.set(OVERWRITE_MODE, before)
-        return
-    writer = _arranged(df, partition_col, cluster).write.mode("overwrite")
+    writer = arranged(df, partition_col, cluster).write.mode("overwrite")
     if replace_schema:
         writer = writer.option("mergeSchema", "false").option("overwriteSchema", "true")
     else:
