@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attempt_grid.functions.attempts import OUTCOME_SEGMENTS, UNKNOWN_SEGMENT
@@ -19,22 +19,73 @@ _CHECKED_ATTRIBUTES = (
 )
 
 
-def attempts_per_day(attempts: DataFrame, max_days: int = 36_600) -> DataFrame:
-    """Attempts on every day from the first to the last; a gap shows as 0.
+# Days of one piece of the day axis. The calendar of dates has a few thousand such pieces.
+_DAYS_PER_PIECE = 1024
 
-    Attempts without a day are a row of their own, with a NULL day. A calendar of more
-    than ``max_days`` means a stray day: the job then fails and names first and last day.
+
+def attempts_per_day(attempts: DataFrame) -> DataFrame:
+    """Attempts of every day that has some, and how many days without any lie right before it.
+
+    The first day has NULL days before it. Attempts without a day are a row of their own, with a
+    NULL day. A stray day is one more row, however far off.
+    """
+    counts = attempts.groupBy(F.col("partition_date").cast("date").alias("partition_date")).agg(
+        F.count(F.lit(1)).alias("attempts")
+    )
+    missing = F.datediff("partition_date", "day_before") - 1
+    return _with_day_before(counts).select("partition_date", "attempts", missing.alias("missing_before"))
+
+
+def _with_day_before(counts: DataFrame) -> DataFrame:
+    """Adds ``day_before``, the last day before the row's own that is present.
+
+    The day axis is cut into pieces of fixed length. Inside a piece a window finds the day before;
+    a piece's first day takes the last one of the pieces before, found on one row for each piece.
+    """
+    piece = F.floor(F.unix_date("partition_date") / F.lit(_DAYS_PER_PIECE))
+    days = counts.withColumn("piece", piece)
+    inside = F.lag("partition_date").over(Window.partitionBy("piece").orderBy("partition_date"))
+    ends = days.filter(F.col("piece").isNotNull()).groupBy("piece").agg(F.max("partition_date").alias("last"))
+    carried = ends.select(
+        F.col("piece").alias("of_piece"), F.lag("last").over(Window.orderBy("piece")).alias("carried")
+    )
+    joined = days.withColumn("inside", inside).join(F.broadcast(carried), F.col("piece") == F.col("of_piece"), "left")
+    return joined.select(*counts.columns, F.coalesce("inside", "carried").alias("day_before"))
+
+
+def day_gaps(attempts: DataFrame) -> DataFrame:
+    """Runs of days without attempts between days with some: first and last of them and their number."""
+    days = attempts_per_day(attempts).filter(F.col("missing_before") > 0)
+    return days.select(
+        F.date_sub("partition_date", F.col("missing_before")).alias("first_missing"),
+        F.date_sub("partition_date", F.lit(1)).alias("last_missing"),
+        F.col("missing_before").alias("days"),
+    )
+
+
+def day_runs(attempts: DataFrame) -> DataFrame:
+    """Runs of consecutive days with attempts: first and last day, number of days and attempts.
+
+    The numbers of a run follow from sums over the days so far, again piece by piece.
     """
-    counts = attempts.groupBy("partition_date").agg(F.count(F.lit(1)).alias("attempts"))
-    ends = counts.agg(F.min("partition_date").alias("first"), F.max("partition_date").alias("last"))
-    days = F.sequence("first", "last", F.expr("interval 1 day"))
-    span = F.concat_ws(" ", F.lit("stray day: attempts span"), "first", F.lit("to"), "last")
-    too_long = F.datediff("last", "first") >= F.lit(max_days)
-    calendar = ends.select(F.explode(F.when(too_long, F.raise_error(span).cast("array<date>")).otherwise(days)).alias("day"))
-    on_days = calendar.join(counts, F.col("day") == F.col("partition_date"), "left").select(
-        F.col("day").alias("partition_date"), F.coalesce("attempts", F.lit(0)).alias("attempts")
+    days = attempts_per_day(attempts).filter(F.col("partition_date").isNotNull())
+    starts = (F.coalesce("missing_before", F.lit(1)) > 0).cast("int")
+    days = days.withColumns({"starts": starts, "piece": F.floor(F.unix_date("partition_date") / F.lit(_DAYS_PER_PIECE))})
+    so_far = F.sum("starts").over(Window.partitionBy("piece").orderBy("partition_date"))
+    before = days.groupBy("piece").agg(F.sum("starts").alias("in_piece"))
+    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = before.select(F.col("piece").alias("of_piece"), F.coalesce(F.sum("in_piece").over(earlier), F.lit(0)).alias("carried"))
+    numbered = days.withColumn("so_far", so_far).join(F.broadcast(carried), F.col("piece") == F.col("of_piece"))
+    return (
+        numbered.groupBy((F.col("carried") + F.col("so_far")).alias("run"))
+        .agg(
+            F.min("partition_date").alias("first_day"),
+            F.max("partition_date").alias("last_day"),
+            F.count(F.lit(1)).alias("days"),
+            F.sum("attempts").alias("attempts"),
+        )
+        .drop("run")
     )
-    return on_days.unionAll(counts.filter(F.col("partition_date").isNull()))
 
 
 def attempts_per_bucket(attempts: DataFrame) -> DataFrame:

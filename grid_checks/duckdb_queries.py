@@ -338,6 +338,10 @@ ORACLE["mart_b"] = f"WITH {_MART_B} SELECT * FROM mart"
 ORACLE["refresh_one_day"] = f"""WITH {_MART_A}
 SELECT * REPLACE (CAST(trunc(TRY_CAST(attempt AS DOUBLE)) AS INTEGER) AS attempt,
   super_ball = 'true' AS super_ball) FROM mart"""
+ORACLE["refresh_withdrawn_days"] = f"""WITH {_MART_A}
+SELECT * REPLACE (CAST(trunc(TRY_CAST(attempt AS DOUBLE)) AS INTEGER) AS attempt,
+  CASE WHEN partition_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-16' THEN super_ball = 'true' END AS super_ball)
+FROM mart WHERE partition_date <> DATE '2024-01-12'"""
 ORACLE["ab_group_names"] = f"""WITH {_EVENTS}
 SELECT 'base' AS group_name FROM ev WHERE event_type IN ('click', 'view')
 UNION SELECT 'grp_' || (k % 7) FROM ev WHERE event_type = 'click'
@@ -480,12 +484,26 @@ SELECT 'lineitem', 'lineitem_attempts', FALSE,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 UNION ALL
 SELECT 'missing', 'no_such_attempts', FALSE, 'недоступно: AnalysisException'"""
-ORACLE["mart_health_days"] = f"""WITH {_LINEITEM_ATTEMPTS},
-counts AS (SELECT partition_date, count(*) AS attempts FROM attempts GROUP BY 1)
-SELECT CAST(d AS DATE) AS partition_date, coalesce(attempts, 0) AS attempts
-FROM (SELECT unnest(generate_series(min(partition_date), max(partition_date), INTERVAL 1 DAY)) AS d
-  FROM counts)
-LEFT JOIN counts ON CAST(d AS DATE) = partition_date"""
+_DAY_COUNTS = """counts AS (
+  SELECT partition_date, count(*) AS attempts, CASE WHEN partition_date IS NOT NULL THEN
+    partition_date - lag(partition_date) OVER (PARTITION BY partition_date IS NULL ORDER BY partition_date) - 1 END AS missing_before
+  FROM attempts GROUP BY partition_date)"""
+ORACLE["mart_health_days"] = f"""WITH {_LINEITEM_ATTEMPTS}, {_DAY_COUNTS}
+SELECT partition_date, attempts, CAST(missing_before AS INTEGER) AS missing_before FROM counts"""
+_STRAY_DAYS = f"""{_EVENT_ATTEMPTS.replace("attempts AS (", "dated AS (", 1)},
+attempts AS (SELECT * REPLACE (CASE WHEN day(partition_date) = 5 THEN DATE '1900-01-01'
+    WHEN day(partition_date) = 20 THEN DATE '2200-12-31'
+    WHEN day(partition_date) NOT IN (6, 7) THEN partition_date END AS partition_date) FROM dated), {_DAY_COUNTS}"""
+ORACLE["mart_health_gaps"] = f"""WITH {_STRAY_DAYS}
+SELECT CAST(partition_date - CAST(missing_before AS INTEGER) AS DATE) AS first_missing,
+  CAST(partition_date - 1 AS DATE) AS last_missing, CAST(missing_before AS INTEGER) AS days
+FROM counts WHERE missing_before > 0"""
+ORACLE["mart_health_runs"] = f"""WITH {_STRAY_DAYS}
+SELECT min(partition_date) AS first_day, max(partition_date) AS last_day, count(*) AS days,
+  CAST(sum(attempts) AS BIGINT) AS attempts
+FROM (SELECT *, partition_date - DATE '1900-01-01' - row_number() OVER (ORDER BY partition_date) AS run
+  FROM counts WHERE partition_date IS NOT NULL)
+GROUP BY run"""
 ORACLE["mart_health_cohorts"] = (
     f"WITH {_MART_A} SELECT level_cohort, count(*) AS attempts FROM mart GROUP BY 1"
 )

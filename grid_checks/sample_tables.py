@@ -69,6 +69,17 @@ def attempts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attempts_with_stray_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts from events, where days 6 and 7 have lost their date and two others lie far off."""
+    day = F.dayofmonth("partition_date")
+    moved = (
+        F.when(day == 5, F.lit(date(1900, 1, 1)))
+        .when(day == 20, F.lit(date(2200, 12, 31)))
+        .when(~day.isin(6, 7), F.col("partition_date"))
+    )
+    return attempts_from_events(spark, sf_dir).withColumn("partition_date", moved)
+
+
 # Which event type plays which outcome; sign-ups have none.
 _EVENT_FLAGS = {"FW": "click", "CW": "purchase", "CF": "view", "FF": "error"}
 _EVENT_SEGMENTS = {

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,8 @@ from attempt_grid.operators.statistics import (
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
 from attempt_grid.plans.grid_request import GridRequest, grid_cells, grid_cells_from_segments
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, typed
-from attempt_grid.sinks.tables import keep, shared_folder, write_partitioned
+from attempt_grid.sinks.day_refresh import refresh_days
+from attempt_grid.sinks.tables import keep, overwrite_table, shared_folder, write_partitioned
 from attempt_grid.sources.attempts import (
     read_attempts_projected,
     read_attempts_sql,
@@ -45,6 +48,8 @@ BUCKET_WIDTH = 100
 # Buckets narrow enough to leave some cells of the lineitem grid empty.
 NARROW_WIDTH = 10
 REFRESHED_DAY = date(2024, 1, 10)
+REFRESHED_DAYS = date(2024, 1, 8), date(2024, 1, 16)
+WITHDRAWN_DAY = date(2024, 1, 12)
 SHOWN = AttemptCriteria(levels=Limits(3, 12), days=Limits("1996-01-01", "1998-06-30"))
 SEVERAL_CONDITIONS = AttemptCriteria(levels=Limits(2, 15), days=Limits("1996-01-01", "1998-06-30"), values={"payer_type": ("payer",), "traffic_type": ("1-URGENT", "2-HIGH"), "platform_name": ("O", "F"), "attempt_group": (REPEAT_ATTEMPTS,), "super_ball": (True,)})
 
@@ -65,6 +70,17 @@ def _folder(spark) -> str:
     return f"{tempfile.mkdtemp(prefix='grid-checks-')}/kept"
 
 
+@contextmanager
+def _database(spark):
+    """The name of a database in a new shared folder, dropped with its tables afterwards."""
+    name = f"grid_checks_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{_folder(spark)}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def _kept(frame: DataFrame) -> DataFrame:
     return keep(frame, _folder(frame.sparkSession))
 
@@ -256,6 +272,18 @@ def refresh_one_day(spark, sf_dir):
     return spark.read.schema(fresh.schema).parquet(folder)
 
 
+@_query
+def refresh_withdrawn_days(spark, sf_dir):
+    """A stored table without super_ball after a refresh of some days, one of which has no rows any more."""
+    levels, players = _levels(spark, sf_dir), sample.players_from_customer(spark, sf_dir)
+    built = keep(typed(attempts_from_payload(levels, players, bucket_width=BUCKET_WIDTH, cutoff=CUTOFF)), _folder(spark))
+    with _database(spark) as name:
+        overwrite_table(built.drop("super_ball"), f"{name}.attempts")
+        fresh = built.filter(F.col("partition_date").between(*REFRESHED_DAYS) & (F.col("partition_date") != WITHDRAWN_DAY))
+        refresh_days(fresh, f"{name}.attempts", Limits(*REFRESHED_DAYS))
+        return _kept(spark.table(f"{name}.attempts"))
+
+
 @_query
 def ab_group_names(spark, sf_dir):
     return mart.ab_group_names(_levels(spark, sf_dir))
@@ -550,6 +578,16 @@ def mart_health_days(spark, sf_dir):
     return health.attempts_per_day(sample.attempts_from_lineitem(spark, sf_dir))
 
 
+@_query
+def mart_health_gaps(spark, sf_dir):
+    return health.day_gaps(sample.attempts_with_stray_days(spark, sf_dir))
+
+
+@_query
+def mart_health_runs(spark, sf_dir):
+    return health.day_runs(sample.attempts_with_stray_days(spark, sf_dir))
+
+
 @_query
 def mart_health_cohorts(spark, sf_dir):
     return health.attempts_per_bucket(mart_a(spark, sf_dir))

@@ -1,8 +1,8 @@
-from datetime import date
-
-from grid_rows import attempt
+import random
+from datetime import date, timedelta
 
 import pytest
+from grid_rows import attempt, plan
 
 from attempt_grid import ProjectTable, dataset_status, latest_partition, overwrite_table
 from attempt_grid.operators import health
@@ -57,16 +57,43 @@ def test_unpartitioned_table_is_scanned(spark, attempts):
         latest_partition_of_table(spark, "nowhere_table")
 
 
-def test_days_without_attempts_show_as_zero(attempts):
-    frame = attempts(
-        attempt(), attempt(), attempt(partition_date=date(2026, 1, 4)), attempt(partition_date=None)
-    )
-    rows = {r["partition_date"]: r["attempts"] for r in health.attempts_per_day(frame).collect()}
-    assert rows == {date(2026, 1, 1): 2, date(2026, 1, 2): 0, date(2026, 1, 3): 0, date(2026, 1, 4): 1, None: 1}
-    assert health.attempts_per_day(frame.limit(0)).collect() == []
-    stray = frame.unionByName(attempts(attempt(partition_date=date(1, 1, 1))))
-    with pytest.raises(Exception, match="stray day: attempts span 0001-01-01 to 2026-01-04"):
-        health.attempts_per_day(stray).collect()
+def on(*days):
+    return [attempt(partition_date=d) for d in days]
+
+
+def test_counts_per_day_tell_of_gaps(attempts):
+    frame = attempts(*on(date(2026, 1, 1), date(2026, 1, 1), date(2026, 1, 4), date(2026, 1, 5), None))
+    rows = {r[0]: tuple(r)[1:] for r in health.attempts_per_day(frame).collect()}
+    assert rows == {date(2026, 1, 1): (2, None), date(2026, 1, 4): (1, 2), date(2026, 1, 5): (1, 0), None: (1, None)}
+    assert [tuple(r) for r in health.day_gaps(frame).collect()] == [(date(2026, 1, 2), date(2026, 1, 3), 2)]
+    assert sorted(tuple(r) for r in health.day_runs(frame).collect()) == [
+        (date(2026, 1, 1), date(2026, 1, 1), 1, 2),
+        (date(2026, 1, 4), date(2026, 1, 5), 2, 2),
+    ]
+    for check in (health.attempts_per_day, health.day_gaps, health.day_runs):
+        assert check(frame.limit(0)).collect() == []
+
+
+def test_stray_days_are_gaps_like_others(attempts):
+    days = [date(1, 1, 1), date(2026, 1, 1), date(2026, 1, 2), date(9999, 12, 31)]
+    frame = attempts(*on(*days))
+    assert {r[0]: r[1] for r in health.attempts_per_day(frame).collect()} == dict.fromkeys(days, 1)
+    gaps = sorted(r["days"] for r in health.day_gaps(frame).collect())
+    assert gaps == sorted([(days[1] - days[0]).days - 1, (days[3] - days[2]).days - 1])
+    assert sorted(r["days"] for r in health.day_runs(frame).collect()) == [1, 1, 2]
+
+
+def test_runs_and_gaps_across_pieces_of_the_day_axis(spark):
+    draw = random.Random(3)
+    present = sorted({date(2000, 1, 1) + timedelta(days=draw.randrange(6000)) for _ in range(4500)})
+    frame = spark.createDataFrame([(d,) for d in present], "partition_date date").repartition(3)
+    gaps = [(a + timedelta(1), b - timedelta(1), (b - a).days - 1) for a, b in zip(present, present[1:]) if (b - a).days > 1]
+    assert sorted(tuple(r) for r in health.day_gaps(frame).collect()) == gaps
+    starts = [present[0], *(g[1] + timedelta(1) for g in gaps)]
+    ends = [*(g[0] - timedelta(1) for g in gaps), present[-1]]
+    runs = [(a, b, (b - a).days + 1, (b - a).days + 1) for a, b in zip(starts, ends)]
+    assert sorted(tuple(r) for r in health.day_runs(frame).collect()) == runs
+    assert "SinglePartition" not in plan(health.attempts_per_day(frame)).split("BroadcastExchange")[0]
 
 
 def test_attempts_per_bucket(attempts):
