@@ -3,10 +3,14 @@
 from attempt_grid.operators.contract import (
     ATTEMPT_COLUMNS,
     ATTEMPT_SCHEMA,
+    ContractCounts,
     ContractError,
     canonical_sort,
     contract_rejects,
+    read_accepted,
+    read_rejected,
     to_contract,
+    write_checked,
 )
 from attempt_grid.operators.criteria import (
     AttemptCriteria,
@@ -41,6 +45,7 @@ from attempt_grid.operators.options import (
     read_segment_options,
     segment_options,
 )
+from attempt_grid.operators.segment_runs import compact_runs, merged_segments, read_runs, segment_deltas, write_run
 from attempt_grid.operators.statistics import (
     STATISTIC_COLUMNS,
     aggregate_statistics,
@@ -52,6 +57,7 @@ from attempt_grid.plans.grid_request import GridRequest, grid_cells, grid_cells_
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, rebuild_table
 from attempt_grid.plans.refresh import ProjectBuild, refresh
 from attempt_grid.session import attempt_session
+from attempt_grid.sinks.colocated import COLOCATED_SETTINGS, write_colocated
 from attempt_grid.sinks.day_refresh import finish_refreshes, refresh_days, refresh_log
 from attempt_grid.sinks.tables import keep, overwrite_table, write_partitioned
 from attempt_grid.sources.attempts import (

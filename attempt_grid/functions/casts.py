@@ -20,22 +20,22 @@ WHITESPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace
 # Plain decimal notation only: Spark's own cast would also take '1d' and '0x1p3'.
 DECIMAL_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
-# A year with month, day and time as far as given, or a time of day: what Spark can cast.
-TIMESTAMP_TEXT = r"^[+-]?[0-9]{4,6}(-(0?[1-9]|1[0-2])(-(0?[1-9]|[12][0-9]|3[01])([ T].*)?)?)?$|^T?[0-9]{1,2}:"
-
 # The words for true and false.
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 
 
+def _padded(text: Column) -> Column:
+    return F.left(text, F.lit(1)).isin(*WHITESPACE) | F.right(text, F.lit(1)).isin(*WHITESPACE)
+
+
 def strip_text(column: Column) -> Column:
     """Text without leading and trailing whitespace.
 
     Trimming a set of characters is slow, so it is kept to text that needs it.
     """
     text = column.cast("string")
-    padded = F.left(text, F.lit(1)).isin(*WHITESPACE) | F.right(text, F.lit(1)).isin(*WHITESPACE)
-    return F.when(padded, F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
+    return F.when(_padded(text), F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def non_empty_text(column: Column) -> Column:
@@ -64,9 +64,9 @@ def truth_value(column: Column, source: T.DataType) -> Column:
 
 
 def _timestamp_text(column: Column) -> Column:
-    """Timestamp of text. As with numbers, text of another form never reaches the cast."""
-    text = strip_text(column)
-    return F.when(text.rlike(TIMESTAMP_TEXT), text.try_cast("timestamp"))
+    """Timestamp of text. Good text takes one cast; only padded text that failed is stripped and cast again."""
+    stripped = F.when(_padded(column), F.btrim(column, F.lit(WHITESPACE)).try_cast("timestamp"))
+    return F.coalesce(column.try_cast("timestamp"), stripped)
 
 
 def instant(column: Column, source: T.DataType) -> Column:

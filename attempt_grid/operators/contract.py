@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,6 +109,74 @@ def contract_rejects(df: DataFrame) -> DataFrame:
     return df.select(*ATTEMPT_COLUMNS, F.explode(reported).alias("reject_reasons"))
 
 
+ACCEPTED, REJECTED = "accepted", "rejected"
+
+
+@dataclass(frozen=True, slots=True)
+class ContractCounts:
+    """How many rows were accepted and rejected, and how many broke each rule (one row may break several)."""
+
+    accepted: int
+    rejected: int
+    reasons: Mapping[str, int]
+
+
+def write_checked(df: DataFrame, path: str, *, strict: bool = False) -> ContractCounts:
+    """Write accepted rows typed and rejected rows as they came in, side by side, in one pass.
+
+    The input is read once; the counts are taken on the way. ``read_accepted`` and
+    ``read_rejected`` each open their own part of the files. ``strict`` raises at the end if
+    anything was rejected; what was written stays for inspection.
+    """
+    require_columns(df)
+    complaints = {f.name: f"{f.name} {_COMPLAINTS[type(f.dataType)]}" for f in ATTEMPT_SCHEMA}
+    typed = df.select(
+        *[_coerced(df, field, True).alias(field.name) for field in ATTEMPT_SCHEMA],
+        F.struct(*ATTEMPT_COLUMNS).alias("raw"),
+    )
+    broken = reduce(operator.or_, [F.col(name).isNull() for name in ATTEMPT_COLUMNS])
+    reasons = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(text)) for n, text in complaints.items()]))
+    counts = Observation()
+    rows = typed.observe(
+        counts,
+        F.count_if(~broken).alias(ACCEPTED),
+        F.count_if(broken).alias(REJECTED),
+        *[F.count_if(F.col(name).isNull()).alias(f"of_{name}") for name in ATTEMPT_COLUMNS],
+    )
+    (
+        rows.select(
+            *ATTEMPT_COLUMNS,
+            F.when(broken, F.col("raw")).alias("raw"),
+            F.when(broken, reasons).alias("reject_reasons"),
+            F.when(broken, F.lit(REJECTED)).otherwise(F.lit(ACCEPTED)).alias("verdict"),
+        )
+        .write.mode("overwrite")
+        .partitionBy("verdict")
+        .parquet(path)
+    )
+    found = counts.get
+    result = ContractCounts(
+        found[ACCEPTED], found[REJECTED], {text: n for name, text in complaints.items() if (n := found[f"of_{name}"])}
+    )
+    if strict and result.rejected:
+        raise ContractError(f"{result.rejected} rows rejected: " + ", ".join(f"{t} ({n})" for t, n in result.reasons.items()))
+    return result
+
+
+def _checked(spark: SparkSession, path: str, verdict: str) -> DataFrame:
+    return spark.read.parquet(path).filter(F.col("verdict") == verdict)
+
+
+def read_accepted(spark: SparkSession, path: str) -> DataFrame:
+    """The contract rows that ``write_checked`` accepted; bare columns, so filters reach the files."""
+    return _checked(spark, path, ACCEPTED).select(*ATTEMPT_COLUMNS)
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``write_checked`` rejected, as they came in, with all their reasons."""
+    return _checked(spark, path, REJECTED).select("raw.*", "reject_reasons")
+
+
 def canonical_sort(attempts: DataFrame) -> DataFrame:
     """Attempt rows in their canonical order: a global range sort, for exports only.
 

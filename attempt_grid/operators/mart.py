@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Collection, Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attempt_grid.functions.attempts import OUTCOME_SEGMENTS, flags_segment
@@ -153,6 +155,47 @@ def join_outcomes(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
     return attempts.join(outcomes.select(*keys, *flags), keys, "left").fillna(0, subset=flags)
 
 
+HOT_SHARE = 0.001
+SALTS = 256
+
+
+def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
+    """Keys that more than a share of all rows have; there are fewer than 1 / share of them.
+
+    Starts one job for the number of rows. Tasks count before the shuffle, so a hot key
+    reaches it as one row a task. Rows with a NULL key match nothing and are not counted.
+    """
+    if not 0 < share < 1:
+        raise ValueError("a share lies between 0 and 1")
+    least = rows.count() * share
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
+    return counts.filter(F.col("key_rows") > least)
+
+
+def join_outcomes_spread(
+    attempts: DataFrame, outcomes: DataFrame, *, share: float = HOT_SHARE, salts: int = SALTS
+) -> DataFrame:
+    """``join_outcomes`` for keys that a good part of the attempts have in common.
+
+    The hot keys are measured first. Their attempts are dealt over ``salts`` pieces, each of which
+    gets a copy of the key's outcome rows; rows with a NULL key, which match nothing, are dealt
+    out as well. All other keys are joined plainly, in the same join. The hot keys are fewer than
+    1 / share, so they are broadcast.
+    """
+    keys, flags = outcome_keys(outcomes), list(OUTCOME_SEGMENTS)
+    found = hot_keys(attempts, keys, share)
+    if attempts.sparkSession.conf.get("spark.checkpoint.dir", None):
+        found = keep(found)
+    hot = F.broadcast(found.select(*keys, F.lit(True).alias("_hot")))
+    piece = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    lost = reduce(operator.or_, [F.col(k).isNull() for k in keys])
+    dealt = attempts.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | lost, piece).otherwise(0))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = outcomes.select(*keys, *flags).join(hot, keys, "left").withColumn("_salt", F.explode(every))
+    joined = dealt.drop("_hot").join(copied.drop("_hot"), [*keys, "_salt"], "left")
+    return joined.drop("_salt").fillna(0, subset=flags)
+
+
 def with_flags_segment(attempts: DataFrame) -> DataFrame:
     """Adds ``reason_seg`` from the outcome flags."""
     return attempts.withColumn("reason_seg", flags_segment())
@@ -198,3 +241,14 @@ def player_trajectory(
         .select("user_id", "client_time", position, "reason_seg")
         .orderBy("user_id", "client_time")
     )
+
+
+def trajectory_steps(attempts: DataFrame, user_ids: UserIds, position: str = "level_cohort") -> DataFrame:
+    """Chosen players' positions and outcomes with the number of each step and the position before.
+
+    Steps are numbered by client time; at the same time by position and outcome. The rows come in
+    no order of players. On a table that ``write_colocated`` wrote nothing is shuffled.
+    """
+    steps = Window.partitionBy("user_id").orderBy("client_time", position, "reason_seg")
+    rows = of_users(attempts, user_ids).select("user_id", "client_time", position, "reason_seg")
+    return rows.withColumns({"step": F.row_number().over(steps), "position_before": F.lag(position).over(steps)})

@@ -15,7 +15,7 @@ from attempt_grid import (
 from attempt_grid.functions.attempts import is_first_attempt, level_bucket, level_number
 from attempt_grid.operators import mart
 from attempt_grid.plans.mart import OUTCOME_BUILD_COLUMNS, PAYLOAD_BUILD_COLUMNS, typed
-from attempt_grid.sinks.tables import _arranged
+from attempt_grid.sinks.tables import arranged
 
 LEVELS = (
     "user_id string, client_time timestamp, event_time timestamp, partition_date date,"
@@ -336,9 +336,9 @@ def test_outcome_build_prunes_its_event_scan(spark, stored_levels, players):
 
 def test_broadcast_build_over_days_does_not_shuffle_events(stored_levels, players):
     built = typed(from_payload(stored_levels, players, broadcast_bytes=10**6))
-    text = plan(_arranged(built, "partition_date", cluster=False))
+    text = plan(arranged(built, "partition_date", cluster=False))
     events = text[: text.index("BroadcastExchange")]
     assert "Exchange" not in events
     # Clustering by day is the one shuffle it can have.
-    clustered = plan(_arranged(built, "partition_date", cluster=True))
+    clustered = plan(arranged(built, "partition_date", cluster=True))
     assert clustered[: clustered.index("BroadcastExchange")].count("Exchange") == 1
