@@ -21,10 +21,13 @@ from attempt_grid.operators.criteria import (
     normalise_selection,
 )
 from attempt_grid.operators.grid import (
+    block_columns,
+    block_records,
     cell_details,
     clamp_values,
     dense_grid,
     duplicate_cells,
+    grid_blocks,
     grid_records,
     mask_low_samples,
     pivot_grid,
@@ -41,6 +44,7 @@ from attempt_grid.operators.options import (
     FilterOptions,
     distinct_values,
     filter_options,
+    offered_values,
     read_filter_options,
     read_segment_options,
     segment_options,
@@ -59,7 +63,7 @@ from attempt_grid.plans.refresh import ProjectBuild, refresh
 from attempt_grid.session import attempt_session
 from attempt_grid.sinks.colocated import COLOCATED_SETTINGS, write_colocated
 from attempt_grid.sinks.day_refresh import finish_refreshes, refresh_days, refresh_log
-from attempt_grid.sinks.tables import keep, overwrite_table, write_partitioned
+from attempt_grid.sinks.tables import keep, overwrite_table, write_lookup, write_partitioned
 from attempt_grid.sources.attempts import (
     ProjectSource,
     load_attempts,

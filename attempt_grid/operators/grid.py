@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +106,57 @@ def grid_records(wide: DataFrame, *, ordered: bool = True) -> DataFrame:
     return records.orderBy(*CELL_KEYS) if ordered else records
 
 
+BLOCK_DAYS = 366
+
+
+def grid_blocks(values: DataFrame, value: str = "value", block_days: int = BLOCK_DAYS) -> DataFrame:
+    """A wide grid in blocks of days: level_group, first_day, and the values of ``block_days`` days as an array.
+
+    Blocks start at multiples of ``block_days`` from 1970-01-01. The plan has the same size for any
+    number of days, and no day has to be known before. A cell that occurs twice or has no day
+    fails the job. Levels without a value in a block have no row for it.
+    """
+    if block_days < 1:
+        raise ValueError("a block has one day at least")
+    cells = values.select(
+        F.col("level_group").cast("int").alias("level_group"),
+        F.unix_date(F.col("date").cast("date")).alias("day"),
+        F.col(value).cast("double").alias("value"),
+    )
+    day = F.when(F.col("day").isNull(), F.raise_error(NO_DAY).cast("int")).otherwise(F.col("day"))
+    only_value = F.when(F.count(F.lit(1)) == 1, F.first("value")).otherwise(F.raise_error(DUPLICATE_CELL).cast("double"))
+    block = F.floor(F.col("day") / F.lit(block_days)).cast("int")
+    unique = cells.withColumn("day", day).groupBy("level_group", "day").agg(only_value.alias("value"))
+    found = F.map_from_entries(F.collect_list(F.struct((F.col("day") - block * block_days).alias("offset"), "value")))
+    blocks = unique.groupBy("level_group", block.alias("block")).agg(found.alias("found"))
+    offsets = F.sequence(F.lit(0), F.lit(block_days - 1))
+    return blocks.select(
+        "level_group",
+        F.date_from_unix_date(F.col("block") * block_days).alias("first_day"),
+        F.transform(offsets, lambda i: F.element_at("found", i)).alias("values"),
+    )
+
+
+def block_records(blocks: DataFrame) -> DataFrame:
+    """The blocks of ``grid_blocks`` as long records without their empty cells."""
+    cells = blocks.select("level_group", "first_day", F.posexplode("values").alias("offset", "value"))
+    return cells.filter(F.col("value").isNotNull()).select(
+        "level_group", F.date_add("first_day", F.col("offset")).alias("date"), "value"
+    )
+
+
+def block_columns(blocks: DataFrame, first: DateLike, last: DateLike, *, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """Some days of the blocks as columns, as in ``pivot_grid``: what a screen shows of a long grid."""
+    first, last = as_day(first), as_day(last)
+    if last < first:
+        raise ValueError(f"days from {first} to {last} are none")
+    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+    offset = lambda day: F.datediff(F.lit(day), "first_day")
+    near = (F.col("first_day") > F.date_sub(F.lit(first), block_days)) & (F.col("first_day") <= F.lit(last))
+    here = [F.max(F.when(offset(d).between(0, block_days - 1), F.get("values", offset(d)))).alias(d.isoformat()) for d in days]
+    return blocks.filter(near).groupBy("level_group").agg(*here).orderBy("level_group")
+
+
 def dense_grid(values: DataFrame, days: Iterable[DateLike] | None = None) -> DataFrame:
     """Every level bucket on every day; cells that did not exist carry NULLs.
 

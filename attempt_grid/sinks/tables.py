@@ -46,6 +46,31 @@ def write_partitioned(
     )
 
 
+def write_lookup(
+    df: DataFrame,
+    path: str,
+    key: str = "user_id",
+    partition_col: str = "partition_date",
+    *,
+    keys_per_file: int = 100_000,
+    row_group_bytes: int = 16 << 20,
+) -> None:
+    """Overwrite day-partitioned files in which single values of ``key`` are found fast.
+
+    A day's rows are sorted by key, in small row groups with a Bloom filter on it. A condition on
+    a few keys then opens the row groups that may hold them: within a file by its order, and no
+    row group of the files that lack them. ``keys_per_file`` is how many different keys a row
+    group is expected to hold at most; more make the filter less sharp, not wrong.
+    """
+    filters = {
+        f"parquet.bloom.filter.enabled#{key}": "true",
+        f"parquet.bloom.filter.expected.ndv#{key}": str(keys_per_file),
+        "parquet.block.size": str(row_group_bytes),
+    }
+    rows = df.hint("rebalance", partition_col).sortWithinPartitions(partition_col, key)
+    rows.write.mode("overwrite").options(**filters).partitionBy(partition_col).parquet(path)
+
+
 def overwrite_table(
     df: DataFrame,
     name: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from attempt_grid.operators.contract import ATTEMPT_COLUMNS
 from grid_checks.sample_tables import MONTHS
 
 ORACLE: dict[str, str] = {}
@@ -321,6 +322,18 @@ SELECT l_orderkey, l_linenumber, CAST(l_partkey - 50 AS INTEGER) AS balance_id,
   CAST(floor((l_partkey - 50) / 75.0) AS INTEGER) AS level_cohort FROM lineitem"""
 ORACLE["mart_outcome_flags"] = f"""WITH {_LINEITEM_ATTEMPTS}
 SELECT user_id, client_time, reason_seg, "FW", "CW", "CF", "FF" FROM attempts"""
+ORACLE["contract_split_rejects"] = ORACLE["contract_rejects"]
+ORACLE["contract_accepted"] = f"""SELECT * FROM ({ORACLE["contract_project"]}) AS typed
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest([{", ".join(f'typed."{c}" IS NULL' for c in ATTEMPT_COLUMNS)}]) AS lost) WHERE lost)"""
+ORACLE["mart_outcome_join_spread"] = f"""WITH {_EVENTS}, {_OUTCOMES},
+keyed AS (
+  SELECT ts AS client_time, CASE WHEN k NOT IN (13, 14) THEN k * 10 END AS balance_id,
+    CAST(user_id AS VARCHAR) AS user_id, CAST(ts AS DATE) AS partition_date, event_type FROM ev
+),
+by_level AS (SELECT balance_id, max("FW") AS "FW", max("CW") AS "CW", max("CF") AS "CF", max("FF") AS "FF" FROM outcomes GROUP BY 1)
+SELECT client_time, balance_id, user_id, partition_date, event_type,
+  coalesce("FW", 0) AS "FW", coalesce("CW", 0) AS "CW", coalesce("CF", 0) AS "CF", coalesce("FF", 0) AS "FF"
+FROM keyed LEFT JOIN by_level USING (balance_id)"""
 ORACLE["mart_outcome_join"] = f"""WITH {_EVENTS}, {_OUTCOMES},
 keyed AS (
   SELECT ts AS client_time, CASE WHEN k NOT IN (13, 14) THEN k * 10 END AS balance_id,
@@ -335,6 +348,7 @@ SELECT user_id, client_time, balance_id, "FW", "CW", "CF", "FF",
   {_SEGMENT_OF_FLAGS} AS reason_seg FROM attempts"""
 ORACLE["mart_a"] = f"WITH {_MART_A} SELECT * FROM mart"
 ORACLE["mart_b"] = f"WITH {_MART_B} SELECT * FROM mart"
+ORACLE["mart_b_colocated"] = ORACLE["mart_b"]
 ORACLE["refresh_one_day"] = f"""WITH {_MART_A}
 SELECT * REPLACE (CAST(trunc(TRY_CAST(attempt AS DOUBLE)) AS INTEGER) AS attempt,
   super_ball = 'true' AS super_ball) FROM mart"""
@@ -350,6 +364,14 @@ ORACLE["player_trajectory"] = f"""WITH {_MART_A}
 SELECT user_id, client_time, level_cohort, reason_seg FROM mart
 WHERE user_id IN (SELECT user_id FROM players WHERE traffic_type = 'crosspromo')"""
 
+ORACLE["trajectory_steps"] = f"""WITH {_MART_A}
+SELECT user_id, client_time, level_cohort, reason_seg, CAST(row_number() OVER steps AS INTEGER) AS step,
+  lag(level_cohort) OVER steps AS position_before
+FROM mart WHERE user_id IN (SELECT user_id FROM players WHERE traffic_type = 'crosspromo')
+WINDOW steps AS (PARTITION BY user_id ORDER BY client_time, level_cohort NULLS FIRST, reason_seg)"""
+ORACLE["player_lookup"] = f"""WITH {_MART_A}
+SELECT user_id, client_time, balance_id, reason_seg FROM mart WHERE user_id IN ('7', '42', '99')"""
+
 # --- filters and options -----------------------------------------------------
 
 _CONDITIONS = {
@@ -393,6 +415,14 @@ ORACLE["options_super_ball"] = f"WITH {_EVENT_ATTEMPTS} SELECT {_BALLS} FROM att
 ORACLE["options_one_pass"] = f"""WITH {_LINEITEM_ATTEMPTS}
 SELECT {_BOUNDS}, {_values("payer_type")}, {_values("traffic_type")}, {_values("platform_name")},
   {_GROUPS}, {_BALLS} FROM attempts"""
+_OFFERED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) <= 6 AS is_complete,
+  CASE WHEN count(*) <= 6 THEN string_agg(value, ',' ORDER BY n DESC, value) END AS values,
+  CASE WHEN count(*) <= 6 THEN string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC, value) END AS counts
+FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM attempts WHERE {c} IS NOT NULL GROUP BY 1)"""
+    for c in ("payer_type", "traffic_type", "balance_id")
+)
+ORACLE["options_offered"] = f"WITH {_LINEITEM_ATTEMPTS} {_OFFERED}"
 
 # --- statistics and metrics --------------------------------------------------
 
@@ -438,6 +468,7 @@ GROUP BY level_group"""
 ORACLE["grid_records"] = (
     f"WITH {_NARROW} SELECT level_group, date, value FROM cells WHERE value IS NOT NULL"
 )
+ORACLE["grid_block_records"] = ORACLE["grid_records"]
 ORACLE["grid_dense"] = f"WITH {_DENSE} SELECT * FROM dense"
 _VISIBLE = "CASE WHEN NOT coalesce(is_low_sample, FALSE) THEN value END AS visible_value"
 ORACLE["grid_masked"] = f"WITH {_DENSE} SELECT *, {_VISIBLE} FROM dense"
@@ -468,6 +499,7 @@ cells AS ({_metric("fail_rate", "relative", "failed_absolute", "attempts_absolut
 SELECT *, {_VISIBLE} FROM cells"""
 
 ORACLE["grid_from_segments"] = ORACLE["grid_request"]
+ORACLE["grid_from_runs"] = f"SELECT * FROM ({ORACLE['grid_request']}) WHERE level_group <> 4"
 
 # --- status and health -------------------------------------------------------
 

@@ -22,6 +22,7 @@ from attempt_grid.operators.criteria import (
     filter_cells,
 )
 from attempt_grid.operators.metrics import select_metric, select_metric_values
+from attempt_grid.operators.segment_runs import merged_segments, read_runs, segment_deltas, write_run
 from attempt_grid.operators.statistics import (
     CELL_KEYS,
     aggregate_statistics,
@@ -31,8 +32,9 @@ from attempt_grid.operators.statistics import (
 from attempt_grid.operators.status import ProjectTable, dataset_status, latest_partition
 from attempt_grid.plans.grid_request import GridRequest, grid_cells, grid_cells_from_segments
 from attempt_grid.plans.mart import attempts_from_outcomes, attempts_from_payload, typed
+from attempt_grid.sinks.colocated import write_colocated
 from attempt_grid.sinks.day_refresh import refresh_days
-from attempt_grid.sinks.tables import keep, overwrite_table, shared_folder, write_partitioned
+from attempt_grid.sinks.tables import keep, overwrite_table, shared_folder, write_lookup, write_partitioned
 from attempt_grid.sources.attempts import (
     read_attempts_projected,
     read_attempts_sql,
@@ -50,6 +52,7 @@ NARROW_WIDTH = 10
 REFRESHED_DAY = date(2024, 1, 10)
 REFRESHED_DAYS = date(2024, 1, 8), date(2024, 1, 16)
 WITHDRAWN_DAY = date(2024, 1, 12)
+LOOKED_UP = ("7", "42", "99")
 SHOWN = AttemptCriteria(levels=Limits(3, 12), days=Limits("1996-01-01", "1998-06-30"))
 SEVERAL_CONDITIONS = AttemptCriteria(levels=Limits(2, 15), days=Limits("1996-01-01", "1998-06-30"), values={"payer_type": ("payer",), "traffic_type": ("1-URGENT", "2-HIGH"), "platform_name": ("O", "F"), "attempt_group": (REPEAT_ATTEMPTS,), "super_ball": (True,)})
 
@@ -118,6 +121,21 @@ def contract_rejects(spark, sf_dir):
     return rejects.withColumn("reject_reasons", F.array_join("reject_reasons", "; "))
 
 
+@_query
+def contract_accepted(spark, sf_dir):
+    folder = _folder(spark)
+    contract.write_checked(sample.text_attempts(spark, sf_dir), folder)
+    return contract.read_accepted(spark, folder)
+
+
+@_query
+def contract_split_rejects(spark, sf_dir):
+    folder = _folder(spark)
+    contract.write_checked(sample.text_attempts(spark, sf_dir), folder)
+    rejects = contract.read_rejected(spark, folder)
+    return rejects.withColumn("reject_reasons", F.array_join("reject_reasons", "; "))
+
+
 @_query
 def contract_sorted(spark, sf_dir):
     return contract.canonical_sort(sample.attempts_from_events(spark, sf_dir))
@@ -216,17 +234,28 @@ def mart_outcome_flags(spark, sf_dir):
     return attempts.withColumns(segment_flags(F.col("reason_seg")))
 
 
-@_query
-def mart_outcome_join(spark, sf_dir):
+def _keyed_events(spark, sf_dir) -> DataFrame:
     k = F.col("k")
-    attempts = sample.events(spark, sf_dir).select(
+    return sample.events(spark, sf_dir).select(
         F.col("ts").alias("client_time"),
         F.when(~k.isin(13, 14), k * 10).alias("balance_id"),
         F.col("user_id").cast("string").alias("user_id"),
         F.to_date("ts").alias("partition_date"),
         "event_type",
     )
-    return mart.join_outcomes(attempts, sample.outcomes_from_events(spark, sf_dir))
+
+
+@_query
+def mart_outcome_join(spark, sf_dir):
+    return mart.join_outcomes(_keyed_events(spark, sf_dir), sample.outcomes_from_events(spark, sf_dir))
+
+
+@_query
+def mart_outcome_join_spread(spark, sf_dir):
+    """Outcomes of a player's levels, whatever the time: keys that many attempts have in common."""
+    outcomes = sample.outcomes_from_events(spark, sf_dir)
+    by_level = outcomes.groupBy("balance_id").agg(*[F.max(c).alias(c) for c in ("FW", "CW", "CF", "FF")])
+    return mart.join_outcomes_spread(_keyed_events(spark, sf_dir), by_level, share=0.005)
 
 
 @_query
@@ -258,6 +287,21 @@ def mart_b(spark, sf_dir):
     )
 
 
+@_query
+def mart_b_colocated(spark, sf_dir):
+    """The build with joined outcomes from tables in buckets by player."""
+    tables = {
+        "levels": _levels(spark, sf_dir, chained=True),
+        "players": sample.players_from_customer(spark, sf_dir),
+        "outcomes": sample.outcomes_from_events(spark, sf_dir),
+    }
+    with _database(spark) as name:
+        for table, rows in tables.items():
+            write_colocated(rows, f"{name}.{table}", 8)
+        stored = [spark.table(f"{name}.{table}") for table in tables]
+        return _kept(attempts_from_outcomes(*stored, bucket_width=BUCKET_WIDTH, cutoff=CUTOFF, broadcast_bytes=None))
+
+
 @_query
 def refresh_one_day(spark, sf_dir):
     """The whole table after one day, of which rows were missing, was built again."""
@@ -296,6 +340,21 @@ def player_trajectory(spark, sf_dir):
     return mart.player_trajectory(mart_a(spark, sf_dir), chosen)
 
 
+@_query
+def trajectory_steps(spark, sf_dir):
+    players = sample.players_from_customer(spark, sf_dir)
+    chosen = players.filter(F.col("traffic_type") == "crosspromo")
+    return mart.trajectory_steps(mart_a(spark, sf_dir), chosen)
+
+
+@_query
+def player_lookup(spark, sf_dir):
+    """The trajectory of single players from files with filters on the player."""
+    folder = _folder(spark)
+    write_lookup(mart_a(spark, sf_dir), folder)
+    return mart.player_trajectory(spark.read.parquet(folder), LOOKED_UP, "balance_id")
+
+
 # --- filters and options -----------------------------------------------------
 
 
@@ -355,6 +414,15 @@ def options_super_ball(spark, sf_dir):
     return values.select(_joined("super_ball_values"))
 
 
+@_query
+def options_offered(spark, sf_dir):
+    offered = options.offered_values(sample.attempts_from_lineitem(spark, sf_dir), ["payer_type", "traffic_type", "balance_id"], most=6)
+    few = F.col("is_complete")
+    return offered.select(
+        "column", "is_complete", *(F.when(few, F.array_join(F.col(c).cast("array<string>"), ",")).alias(c) for c in ("values", "counts"))
+    )
+
+
 def _joined(column: str):
     return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
@@ -499,6 +567,11 @@ def grid_records(spark, sf_dir):
     return grid.grid_records(grid.pivot_grid(_narrow_values(spark, sf_dir)))
 
 
+@_query
+def grid_block_records(spark, sf_dir):
+    return grid.block_records(grid.grid_blocks(_narrow_values(spark, sf_dir)))
+
+
 @_query
 def grid_dense(spark, sf_dir):
     return grid.dense_grid(_narrow_values(spark, sf_dir))
@@ -547,6 +620,20 @@ def grid_from_segments(spark, sf_dir):
     return grid_cells_from_segments(segments, request)
 
 
+@_query
+def grid_from_runs(spark, sf_dir):
+    """The same from runs of signed deltas: late rows, a repeated run, and level bucket 4 withdrawn."""
+    attempts = sample.attempts_from_events(spark, sf_dir)
+    late, odd = F.col("balance_id") % 3 == 0, F.col("attempt") == 2
+    folder = _folder(spark)
+    write_run(segment_deltas(attempts.filter(~late)), folder, "run-1")
+    write_run(segment_deltas(attempts.filter(late & odd)), folder, "run-2")
+    write_run(segment_deltas(attempts.filter(late)), folder, "run-2")
+    write_run(segment_deltas(withdrawn=attempts.filter("level_cohort = 4")), folder, "run-3")
+    request = GridRequest("fail_rate", "relative", min_observations=30)
+    return grid_cells_from_segments(merged_segments(read_runs(spark, folder)), request)
+
+
 # --- status and health -------------------------------------------------------
 
 
