@@ -73,3 +73,4 @@ from attempt_grid.sources.attempts import (
     read_attempts_table,
     source_registry,
 )
+from attempt_grid.sources.csv_records import read_attempts_csv_parts, read_csv_records
