@@ -8,20 +8,29 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def is_local(master: str) -> bool:
+    """True where driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (tests, a local trial) a temporary folder is used.
+    Where the setting is missing, a local master, whose executors are the driver itself, gets a
+    temporary folder; on a cluster that would lose rows, so it is an error there.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         base = tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -63,6 +72,51 @@ def in_chunks(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4
             yield batch.slice(first)
 
 
+# A filter of keys has this many bits, 8 MB, whatever it is filled with.
+FILTER_BITS = 1 << 26
+HASH_COLUMN = "__key_hash"
+
+
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys (first column): two bits for each."""
+    hashed = F.xxhash64(keys.columns[0])
+    mask = F.lit(FILTER_BITS - 1)
+    places = F.array(hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 26).bitwiseAND(mask))
+    bits = keys.filter(F.col(keys.columns[0]).isNotNull()).select(F.explode(places).alias("bit"))
+    octet = F.bit_or(F.expr("shiftleft(1, CAST(bit & 7 AS INT))"))
+    found = bits.groupBy(F.shiftright("bit", 3).alias("place")).agg(octet.alias("octet")).toArrow()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table[found.column("place").to_numpy()] = found.column("octet").to_numpy().astype(np.uint8)
+    return table
+
+
+def split_by_keys(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, the rest, which have none) by a filter of fixed size.
+
+    What only concerns the rows of some keys then shuffles these and few others, not all rows. The
+    more keys, the more others; all rows may end up in the first part, none with a key in the
+    second. A null key is never among the keys. Each part reads the rows once.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(_key_bits(keys))
+    hashed = rows.withColumn(HASH_COLUMN, F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast(keys.schema[0].dataType))))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = bits.value
+            for batch in batches:
+                column = batch.column(HASH_COLUMN)
+                h = column.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+                may = column.is_valid().to_numpy(zero_copy_only=False)
+                for place in (h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(26)) & np.uint64(FILTER_BITS - 1)):
+                    may = may & ((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                some = batch.filter(pa.array(may == wanted))
+                yield some.select([n for n in some.schema.names if n != HASH_COLUMN])
+
+        return hashed.mapInArrow(run, rows.schema)
+
+    return part(True), part(False)
+
+
 def tiled(rows: DataFrame, item: str, most: int) -> DataFrame:
     """Splits crowded cells for a comparison of their members: adds tile, target and query.
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, partitions, text_bytes, written
+from .common import in_chunks, partitions, split_by_keys, text_bytes, written
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BUCKET_BYTES = 24 << 20
@@ -289,9 +289,13 @@ def _shortened(window: int):
 
 
 def _with_runs(docs: DataFrame, found_in: DataFrame, window: int, gram: int) -> DataFrame:
+    """The documents with their runs; those without any are not shuffled."""
     runs = written(repeated_windows(found_in, window, gram))
+    cut, whole = split_by_keys(docs, "doc_id", runs.select("doc_id").distinct())
     runs = runs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    return docs.join(runs, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    joined = cut.join(runs, cut["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
+    none = F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
+    return joined.unionByName(whole.withColumn("_runs", none))
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4, with_text: bool = True) -> DataFrame:
@@ -313,6 +317,6 @@ def without_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4)
     """The documents, all other columns as they are, with passages that occurred earlier cut out.
 
     A text that loses words becomes its kept words joined by one space; the others stay as they
-    are. The texts are shuffled once.
+    are. Only texts that lose words are shuffled, and few others.
     """
     return _with_runs(docs, docs, window, gram).mapInArrow(_shortened(window), docs.schema)
