@@ -34,6 +34,7 @@ from .common import in_chunks, partitions, split_by_keys, text_bytes, written
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BUCKET_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 CUT_COLUMNS = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
 
@@ -116,9 +117,43 @@ def _unpack(block: bytes) -> list:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
 
 
+def _by_bytes(values: np.ndarray) -> bytes:
+    """Numbers with all their first bytes first, then all second ones, which packs well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_bytes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _pack_kmers(rows: list[tuple[int, int, int, bytes]]) -> bytes:
+    """Super-k-mers (piece, doc_id, first window, words) column by column; ids as differences.
+
+    Half of a piece's bits is enough to keep most groups apart; windows are told by their words."""
+    piece, doc_id, first, packed = zip(*rows)
+    columns = [
+        _by_bytes((np.array(piece, np.int64) >> 31).astype("<u4")),
+        _by_bytes(np.diff(np.array(doc_id, "<i8"), prepend=np.int64(0))),
+        _by_bytes(np.array(first, "<i8")),
+    ]
+    head = np.array([len(rows)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *columns, b" \n".join(packed)]))
+
+
+def _unpack_kmers(block: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, at, columns = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for kind in ("<u4", "<i8", "<i8"):
+        size = n * np.dtype(kind).itemsize
+        columns.append(_of_bytes(raw[at : at + size], kind))
+        at += size
+    return zip(columns[0].tolist(), np.cumsum(columns[1]).tolist(), columns[2].tolist(), raw[at:].split(b" \n"))
+
+
 def _to_buckets(window: int, gram: int, frequent: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in in_chunks(batches, "text"):
+        for chunk in in_chunks(batches, "text", CHUNK_BYTES):
             earliest: dict[bytes, tuple] = {}
             again: list[tuple[int, int, int]] = []
             ids = chunk.column("doc_id").to_pylist()
@@ -142,7 +177,7 @@ def _to_buckets(window: int, gram: int, frequent: np.ndarray, buckets: int):
             for packed, (piece, doc_id, a) in earliest.items():
                 parts.setdefault(piece % buckets, []).append((piece, doc_id, a, packed))
             keys = sorted(parts)
-            rows = [(k, _pack(parts[k]), None) for k in keys]
+            rows = [(k, _pack_kmers(parts[k]), None) for k in keys]
             spread = (again[0][0] if again else 0) % buckets
             rows += [
                 ((spread + i) % buckets, None, _pack(again[at : at + 20_000]))
@@ -219,7 +254,7 @@ def _judge(window: int):
                 if again is not None:
                     yield from batches_of(_unpack(again))
                 later = []
-                for piece, doc_id, a, packed in _unpack(kmers) if kmers is not None else ():
+                for piece, doc_id, a, packed in _unpack_kmers(kmers) if kmers is not None else ():
                     mine = (doc_id, a, piece)
                     other = earliest.setdefault(packed, mine)
                     if other != mine:
