@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import in_chunks, partitions, split_by_keys, text_bytes, written
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-BUCKET_BYTES = 24 << 20
-CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 CUT_COLUMNS = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
 
@@ -176,8 +176,8 @@ def _to_buckets(window: int, gram: int, frequent: np.ndarray, buckets: int):
             parts: dict[int, list] = {}
             for packed, (piece, doc_id, a) in earliest.items():
                 parts.setdefault(piece % buckets, []).append((piece, doc_id, a, packed))
-            keys = sorted(parts)
-            rows = [(k, _pack_kmers(parts[k]), None) for k in keys]
+            del earliest
+            rows = [(k, _pack_kmers(parts.pop(k)), None) for k in sorted(parts)]
             spread = (again[0][0] if again else 0) % buckets
             rows += [
                 ((spread + i) % buckets, None, _pack(again[at : at + 20_000]))
@@ -208,37 +208,37 @@ def _later_windows(group: list, window: int) -> Iterator[tuple[int, int]]:
             yield window_at[1:]
 
 
-def _stretches(found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    found.sort()
-    open_doc = first = last = None
-    for doc_id, start in found:
-        if doc_id == open_doc and start <= last + 1:
-            last = start
-        else:
-            if open_doc is not None:
-                yield open_doc, first, last
-            open_doc, first, last = doc_id, start, start
-    if open_doc is not None:
-        yield open_doc, first, last
+def _stretches(doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(doc_id, first, last) of runs of neighbouring windows, as rows."""
+    order = np.lexsort((start, doc_id))
+    doc_id, start = doc_id[order], start[order]
+    if not len(order):
+        return np.zeros((0, 3), np.int64)
+    opens = np.r_[True, (doc_id[1:] != doc_id[:-1]) | (start[1:] > start[:-1] + 1)]
+    first = np.flatnonzero(opens)
+    last = np.r_[first[1:], len(order)] - 1
+    return np.stack([doc_id[first], start[first], start[last]], axis=1)
 
 
 def _judge(window: int):
     """Judges buckets one after the other: (doc_id, first, last) of windows seen earlier."""
 
-    def judged(earliest: dict) -> list[tuple[int, int, int]]:
-        rows = sorted(((piece, doc_id, a, packed) for packed, (doc_id, a, piece) in earliest.items()), key=lambda r: r[0])
-        found, i = [], 0
-        while i < len(rows):
-            j = i + 1
-            while j < len(rows) and rows[j][0] == rows[i][0]:
+    def judged(earliest: dict) -> np.ndarray:
+        by_piece = sorted(earliest, key=lambda packed: earliest[packed][2])
+        found, i = [np.zeros((0, 2), np.int64)], 0
+        while i < len(by_piece):
+            j, piece = i + 1, earliest[by_piece[i]][2]
+            while j < len(by_piece) and earliest[by_piece[j]][2] == piece:
                 j += 1
             # windows of a single super-k-mer differ, as their minimiser stands at another place
             if j > i + 1:
-                found.extend(_later_windows(rows[i:j], window))
+                later = list(_later_windows([(piece, *earliest[k][:2], k) for k in by_piece[i:j]], window))
+                if later:
+                    found.append(np.array(later, np.int64))
             i = j
-        return list(_stretches(found))
+        return _stretches(*np.concatenate(found).T)
 
-    def batches_of(rows: list) -> Iterator[pa.RecordBatch]:
+    def batches_of(rows) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), 50_000):
             part = np.array(rows[at : at + 50_000], np.int64)
             yield pa.record_batch([pa.array(part[:, i]) for i in range(3)], ["doc_id", "first", "last"])
@@ -247,7 +247,8 @@ def _judge(window: int):
         bucket: int | None = None
         earliest: dict[bytes, tuple] = {}  # different strings only: copies do not pile up
         for batch in batches:
-            for key, kmers, again in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for key, kmers, again in zip(*(batch.column(i) for i in range(3))):
+                key, kmers, again = key.as_py(), kmers.as_py(), again.as_py()  # a block at a time
                 if key != bucket:
                     yield from batches_of(judged(earliest))
                     bucket, earliest = key, {}

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no sample tables"
 
 def test_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def check_sql(spark, name, folder):
