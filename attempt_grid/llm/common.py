@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,18 +90,23 @@ def _key_bits(keys: DataFrame) -> np.ndarray:
     return table
 
 
-def split_by_keys(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have one of the keys, the rest, which have none) by a filter of fixed size.
+Batches = Iterator[pa.RecordBatch]
+
+
+def key_test(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Callable[[bool], Callable[[Batches], Batches]]]:
+    """(the rows with a hash of their key, a function that tells them apart by a filter of fixed size).
 
-    What only concerns the rows of some keys then shuffles these and few others, not all rows. The
-    more keys, the more others; all rows may end up in the first part, none with a key in the
-    second. A null key is never among the keys. Each part reads the rows once.
+    Inside mapInArrow over the hashed rows, the function gives the rows that may have one of the
+    keys (True) or the rest, which have none (False), without the hash. What only concerns the rows
+    of some keys then shuffles these and few others. The more keys, the more others; none with a
+    key is ever among the rest. A null key is never among the keys.
     """
     bits = rows.sparkSession.sparkContext.broadcast(_key_bits(keys))
-    hashed = rows.withColumn(HASH_COLUMN, F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast(keys.schema[0].dataType))))
+    key = F.col(column)
+    hashed = rows.withColumn(HASH_COLUMN, F.when(key.isNotNull(), F.xxhash64(key.cast(keys.schema[0].dataType))))
 
-    def part(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(wanted: bool) -> Callable[[Batches], Batches]:
+        def run(batches: Batches) -> Batches:
             table = bits.value
             for batch in batches:
                 column = batch.column(HASH_COLUMN)
@@ -112,9 +117,15 @@ def split_by_keys(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFr
                 some = batch.filter(pa.array(may == wanted))
                 yield some.select([n for n in some.schema.names if n != HASH_COLUMN])
 
-        return hashed.mapInArrow(run, rows.schema)
+        return run
 
-    return part(True), part(False)
+    return hashed, part
+
+
+def split_by_keys(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, the rest) as ``key_test`` tells. Each reads the rows once."""
+    hashed, part = key_test(rows, column, keys)
+    return hashed.mapInArrow(part(True), rows.schema), hashed.mapInArrow(part(False), rows.schema)
 
 
 def tiled(rows: DataFrame, item: str, most: int) -> DataFrame:

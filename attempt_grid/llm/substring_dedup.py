@@ -30,11 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, partitions, split_by_keys, text_bytes, written
+from .common import in_chunks, key_test, partitions, text_bytes, written
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
+RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 CUT_COLUMNS = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
 
@@ -324,14 +325,24 @@ def _shortened(window: int):
     return run
 
 
-def _with_runs(docs: DataFrame, found_in: DataFrame, window: int, gram: int) -> DataFrame:
-    """The documents with their runs; those without any are not shuffled."""
+def _with_runs(docs: DataFrame, found_in: DataFrame, window: int, gram: int, finish, schema) -> DataFrame:
+    """``finish`` over the documents with their runs; those without any are not shuffled."""
     runs = written(repeated_windows(found_in, window, gram))
-    cut, whole = split_by_keys(docs, "doc_id", runs.select("doc_id").distinct())
+    hashed, part = key_test(docs, "doc_id", runs.select("doc_id").distinct())
     runs = runs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    cut = hashed.mapInArrow(part(True), docs.schema)
     joined = cut.join(runs, cut["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
-    none = F.lit(None).cast("array<struct<first:bigint,last:bigint>>")
-    return joined.unionByName(whole.withColumn("_runs", none))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one worker does both, so that a task holds one at a time
+        def without_runs() -> Iterator[pa.RecordBatch]:
+            for batch in part(False)(batches):
+                none = pa.nulls(batch.num_rows, RUNS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, none], [*batch.schema.names, "_runs"])
+
+        yield from finish(without_runs())
+
+    return joined.mapInArrow(finish, schema).unionByName(hashed.mapInArrow(untouched, schema))
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4, with_text: bool = True) -> DataFrame:
@@ -346,7 +357,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4, w
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return _with_runs(texts, docs, window, gram).mapInArrow(_digest(window, with_text), schema)
+    return _with_runs(texts, docs, window, gram, _digest(window, with_text), schema)
 
 
 def without_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4) -> DataFrame:
@@ -355,4 +366,4 @@ def without_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 4)
     A text that loses words becomes its kept words joined by one space; the others stay as they
     are. Only texts that lose words are shuffled, and few others.
     """
-    return _with_runs(docs, docs, window, gram).mapInArrow(_shortened(window), docs.schema)
+    return _with_runs(docs, docs, window, gram, _shortened(window), docs.schema)
