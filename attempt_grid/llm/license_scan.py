@@ -27,7 +27,8 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# label: (template text, key phrases that must stand in it)
+# Label: (template text, key phrases that must stand in it). Where licences differ by
+# version only, the version is part of a key phrase.
 TEMPLATES = {
     "mit": [
         ("released under the mit license", ["mit license"]),
@@ -38,13 +39,43 @@ TEMPLATES = {
     "cc-by": [("licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4"])],
     "cc-by-nc": [
         ("licensed under cc by nc 4 0", ["cc by nc"]),
-        ("licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial"]),
+        ("licensed under a creative commons attribution noncommercial 4 0 international license", ["attribution noncommercial 4"]),
+    ],
+    "cc-by-sa": [
+        ("licensed under cc by sa 4 0", ["cc by sa"]),
+        ("licensed under a creative commons attribution sharealike 4 0 international license", ["attribution sharealike 4"]),
+    ],
+    "gpl-2": [
+        ("this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+        ("under the terms of the gnu general public license as published by the free software foundation either version 2 of the license",
+         ["gnu general public license", "version 2 of the license"]),
+    ],
+    "gpl-3": [
+        ("this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
+        ("this work is licensed under the gnu general public license v3", ["gnu general public license v3"]),
+        ("under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
+         ["gnu general public license", "version 3 of the license"]),
+    ],
+    "lgpl-2.1": [
+        ("licensed under the gnu lesser general public license version 2 1", ["gnu lesser general public license version 2 1"]),
+        ("under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license",
+         ["gnu lesser general public license", "version 2 1 of the license"]),
+    ],
+    "lgpl-3": [
+        ("licensed under the gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
+        ("under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license",
+         ["gnu lesser general public license", "version 3 of the license"]),
+    ],
+    "agpl-3": [
+        ("licensed under the gnu affero general public license version 3", ["gnu affero general public license version 3"]),
+        ("under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license",
+         ["gnu affero general public license", "version 3 of the license"]),
+    ],
+    "mpl-1.1": [("subject to the mozilla public license version 1 1", ["mozilla public license version 1 1"])],
+    "mpl-2": [
+        ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2"]),
+        ("licensed under the mozilla public license version 2 0", ["mozilla public license version 2"]),
     ],
-    "cc-by-sa": [("licensed under cc by sa 4 0", ["cc by sa"])],
-    "gpl-3": [("this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"])],
-    "lgpl-3": [("licensed under the gnu lesser general public license version 3", ["gnu lesser general public license"])],
-    "agpl-3": [("licensed under the gnu affero general public license version 3", ["gnu affero general public license"])],
-    "mpl-2": [("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"])],
     "bsd-3": [("redistribution and use in source and binary forms with or without modification are permitted provided",
                ["source and binary forms", "with or without modification"])],
     "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
@@ -131,21 +162,27 @@ def scan_licenses(docs: DataFrame, words_per_template: int = 5, least_share: flo
         .groupBy("row", "template", "label", (F.col("at") - F.col("template_at")).alias("start"))
         .agg((F.sum("idf") / F.max("total")).alias("share"))
         .filter(F.col("share") >= least_share)
+        .withColumn("share", F.round(F.least("share", F.lit(1.0)), 9))
+        .groupBy("row", "template", "label", "share")  # a template's few words have few sums
+        .agg(F.collect_list("start").alias("at"))
         .groupBy("row")
-        .agg(F.collect_set(F.struct("template", "label", "start", F.least("share", F.lit(1.0)).alias("share"))).alias("starts"))
+        .agg(F.collect_list(F.struct("template", "label", "share", "at")).alias("starts"))
     )
 
     found = table.join(starts, "row", "left")
     base = {p: F.when(F.size("hits") > 0, _places(p)).otherwise(F.array().cast("array<int>")) for p in PHRASES}
     found = found.withColumns({f"base{k}": base[p] for k, p in enumerate(PHRASES)})
 
-    def verified(start: Column) -> Column:
-        """Every key phrase of the start's template stands within the template, give or take two words."""
+    def verified(group: Column) -> Column:
+        """At one of the starts every key phrase stands within the template, give or take two words.
+
+        The starts that a phrase allows are listed, a template's length for each place, and
+        intersected by hashing, so the work is linear in the text."""
         ok = F.lit(False)
         for number, (text, keys) in enumerate(pairs):
             last = len(text.split()) + 2
-            within = [F.exists(_places(k), lambda at: (at >= start["start"] - 2) & (at <= start["start"] + last)) for k in keys]
-            ok = F.when(start["template"] == number, reduce(lambda a, b: a & b, within)).otherwise(ok)
+            allowed = [F.flatten(F.transform(_places(k), lambda at: F.sequence(at - last, at + 2))) for k in keys]
+            ok = F.when(group["template"] == number, F.size(reduce(F.array_intersect, allowed, group["at"])) > 0).otherwise(ok)
         return ok
 
     found = found.withColumn("kept", F.filter("starts", verified))
