@@ -1,8 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
-from attempt_grid.llm.pii import KINDS, all_spans, base_spans, find_personal_data, luhn, mask_personal_data, train_field
+from attempt_grid.llm.pii import KINDS, SemiMarkovField, all_spans, base_spans, find_personal_data, luhn, mask_personal_data, train_field
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -85,3 +86,32 @@ def test_addresses_in_words_far_from_digits(spark):
         assert all_spans(text, field) == ([], [])
     docs = spark.createDataFrame([(1, f"write to {address[0]} soon")], "doc_id long, text string")
     assert mask_personal_data(docs, field).first().text == "write to <EMAIL> soon"
+
+
+def test_sums_over_segmentations():
+    """Posteriors and the best segmentation against all segmentations of a few tokens."""
+    draw = random.Random(3)
+    for _ in range(40):
+        n = draw.randint(1, 5)
+        segments = [(i, j, [f"f{draw.randint(0, 4)}", f"g{j - i}"]) for i in range(n) for j in range(i + 1, n + 1) if draw.random() < 0.7]
+        field = SemiMarkovField({f"{c}{k}": [draw.uniform(-2, 2) for _ in KINDS] for c in "fg" for k in range(6)})
+        score = lambda k, kind: sum(field.weights[f][kind] for f in segments[k][2])
+
+        def every(at):
+            if at == n:
+                yield ()
+                return
+            yield from every(at + 1)
+            for k, (i, j, _) in enumerate(segments):
+                if i == at:
+                    for rest in every(j):
+                        yield from (((k, kind), *rest) for kind in range(len(KINDS)))
+
+        ways = [(math.exp(sum(score(*s) for s in way)), way) for way in every(0)]
+        total = sum(w for w, _ in ways)
+        if segments:
+            found = field.marginals(n, segments)
+            for k in range(len(segments)):
+                for kind in range(len(KINDS)):
+                    assert abs(found[k, kind] - sum(w for w, way in ways if (k, kind) in way) / total) < 1e-9
+        assert [(k, kind) for k, kind, _ in field.best(n, segments)] == list(max(ways)[1])
