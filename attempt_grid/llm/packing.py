@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Collection, Iterator
 from fractions import Fraction
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ from .common import in_chunks, process_store, text_bytes, written
 
 END_ID = 1
 MAX_QUEUES = 256
-CACHED_WORDS = 400_000
-CACHED_BYTES = 64 << 20
+# of each of the cache's two generations
+CACHED_WORDS = 500_000
+CACHED_BYTES = 80 << 20
+JOINED_WORDS = 64
+END_OF_RUN = "</w>"  # how the vocabulary marks it
 TAIL = b".,;:!?$%&#*|"
 UNIT = 1 << 64
 
@@ -42,7 +46,8 @@ class WordEncoder:
     """Token ids of texts as little-endian 16-bit bytes, from a cache of space-separated words.
 
     The tokenizer drops white space and never joins across it, and lower-cases anyway. Texts
-    with "<|" may hold special tokens and are encoded as they are."""
+    with "<|" may hold special tokens and are encoded as they are. When the cache is full, its words
+    become the old generation, from which those still in use come back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +56,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(END_OF_RUN)]] = True
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cached = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -60,6 +68,18 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only. Some go in one text, which costs half: a word's last id, and
+        no other, is one that ends a run, so that ids are cut there. Letters that the tokenizer does
+        not see as one run give more ends than words; the words of such a call go one by one."""
+        joined = [" ".join(words[at : at + JOINED_WORDS]) for at in range(0, len(words), JOINED_WORDS)]
+        ids = np.concatenate([np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        cuts = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+        if len(cuts) != len(words):
+            return self._ids(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in pairwise([0, *cuts])]
+
     def _learn(self, new: set[bytes]) -> None:
         parts, whole = {}, set()
         for word in new:
@@ -71,24 +91,33 @@ class WordEncoder:
             else:
                 whole.add(word)
         todo = [w for w in whole if w not in self.words]
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
-            self.words.update(zip(some, self._ids([w.decode() for w in some])))
+        texts = [w.decode() for w in todo]
+        letters = [t.isalpha() for t in texts]
+        for wanted, ids in ((True, self._word_ids), (False, self._ids)):
+            names, some = ([x for x, alpha in zip(xs, letters) if alpha == wanted] for xs in (todo, texts))
+            for at in range(0, len(some), 4096):
+                self.words.update(zip(names[at : at + 4096], ids(some[at : at + 4096])))
         for word, (body, tail) in parts.items():
             self.words[word] = self.words[body] + self.words[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [None if b"<|" in t else t.lower().split() for t in texts]
-        new = set().union(*(s for s in split if s)) - self.words.keys()
+        get = self.words.get
+        found = [None if s is None else list(map(get, s)) for s in split]
+        new = {w for s, ids in zip(split, found) if ids and None in ids for w, x in zip(s, ids) if x is None}
         if new:
             self.cached += sum(map(len, new))
             if len(self.words) + len(new) > CACHED_WORDS or self.cached > CACHED_BYTES:
-                self.words.clear()
-                new = set().union(*(s for s in split if s))
+                self.old, self.words = self.words, {}
                 self.cached = sum(map(len, new))
-            self._learn(new)
-        get = self.words.__getitem__
-        return [self._ids([t.decode()])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+            again = new & self.old.keys()
+            self.words.update((w, self.old[w]) for w in again)
+            self._learn(new - again)
+            get = self.words.__getitem__
+            for s, ids in zip(split, found):
+                if ids and None in ids:
+                    ids[:] = [get(w) if x is None else x for w, x in zip(s, ids)]
+        return [self._ids([t.decode()])[0] if x is None else b"".join(x) for t, x in zip(texts, found)]
 
 
 class Mixture:

@@ -78,7 +78,15 @@ def test_cache_is_bounded_by_size(monkeypatch):
     for i in range(6):
         texts = [f"word{i} {'long' * 60}{i}, again", f"Word{i} end."]
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == [expected(t)[:-1] for t in texts]
-        assert sum(map(len, encoder.words)) < 1000
+        assert sum(map(len, encoder.words)) < 1000 and sum(map(len, encoder.old)) < 1000
+        assert not i or b"end." in encoder.words
+
+
+def test_words_in_one_call_are_cut_where_they_end():
+    encoder = WordEncoder(PATH)
+    words = [f"w{'xyz' * (i % 5)}{c}" for i, c in enumerate("aéßøñçšžłαβжя漢字ءअ")] + ["straße", "x" * 300]
+    assert encoder._word_ids(words) == encoder._ids(words)
+    assert encoder._word_ids([*words, "İstanbul"]) == encoder._ids([*words, "İstanbul"])
 
 
 def test_weighted_and_heavy_sources_are_not_folded(spark):
