@@ -79,7 +79,7 @@ def test_cache_is_bounded_by_size(monkeypatch):
         texts = [f"word{i} {'long' * 60}{i}, again", f"Word{i} end."]
         assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == [expected(t)[:-1] for t in texts]
         assert sum(map(len, encoder.words)) < 1000 and sum(map(len, encoder.old)) < 1000
-        assert not i or b"end." in encoder.words
+        assert b"end." in encoder.words or b"end." in encoder.old
 
 
 def test_words_in_one_call_are_cut_where_they_end():
