@@ -48,8 +48,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def process_store(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker process, across its tasks."""
+    """A dictionary that lives as long as the Python worker process, across its tasks.
+
+    A worker holds one of them: asking for another lets go of what an earlier job left."""
     home = sys.modules.setdefault("_corpus_process_store", types.ModuleType("_corpus_process_store"))
+    for other in [k for k in home.__dict__ if k.startswith("store_") and k != f"store_{name}"]:
+        del home.__dict__[other]
     return home.__dict__.setdefault(f"store_{name}", {})
 
 

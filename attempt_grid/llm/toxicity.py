@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, written
+from .common import in_chunks, process_store, written
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -108,6 +108,7 @@ def _evidence(words: list[str], scores: dict, seen: dict, gumbel: tuple[float, f
 
 
 def _counts(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    process_store("toxicity")  # nothing is kept; what the worker holds of other jobs goes
     for chunk in in_chunks(chunks, "text"):
         counts: dict[tuple[int, int], Counter] = {}
         for text, toxic, fold in zip(*(chunk.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
@@ -295,6 +296,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, at_least: float = 0.5)
     shared, score = docs.sparkSession.sparkContext.broadcast((model.scores, model.gumbel, model.weights)), _scorer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_store("toxicity")
         seen, scorer = {}, score(ToxicityModel(*shared.value))
         for chunk in in_chunks(batches, "text"):
             scores = scorer(chunk.column("text").to_pylist(), seen)
