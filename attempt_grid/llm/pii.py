@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import insort
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 # what an address goes on with, to its left and to its right
-MORE_LEFT = re.compile(r"(?:\.|\bdot[\])]?\s{1,2})\Z")
+MORE_LEFT = re.compile(r"(?:[.-]|\bdot[\])]?\s{1,2})\Z")
 MORE_RIGHT = re.compile(r"(?:\s{1,2}[\[(]?\s{0,2}dot\b[\])]?\s{1,2}|\.)[A-Za-z]")
+DOT_FIRST = re.compile(r"[\[(]?dot\b")
+DOT_LAST = re.compile(r"\bdot[\])]?\Z")
 
 MAX_TOKENS = 16
 LEAST_POSTERIOR = 0.9
@@ -89,20 +93,67 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def stretches(text: str, trigger: re.Pattern = SPELLED) -> Iterator[tuple[int, int]]:
-    """Places worth a look: triggers less than 48 characters apart, with 40 more on either side.
-
-    Stretches are cut after about 2,000 characters, so the work stays linear."""
+def _groups(text: str, trigger: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(first, last) of triggers less than 48 characters apart, in groups of up to 2,000 characters."""
     first = last = None
     for m in trigger.finditer(text):
         at = m.start()
         if first is not None and (at - last > 48 or at - first > 2000):
-            yield max(0, first - 40), min(len(text), last + 41)
+            yield first, last
             first = None
         first = at if first is None else first
         last = at
     if first is not None:
-        yield max(0, first - 40), min(len(text), last + 41)
+        yield first, last
+
+
+def _tokens_before(text: str, at: int) -> int:
+    """Where the MAX_TOKENS tokens before a place start, however long they are."""
+    low, size = at, 96
+    while low > 0:
+        low, size = max(0, at - size), 2 * size
+        found = [m.start() for m in TOKEN.finditer(text, low, at)]
+        if len(found) > MAX_TOKENS:  # the first one may be cut
+            return found[-MAX_TOKENS]
+    return 0
+
+
+def _left_edge(text: str, first: int) -> int:
+    at, least = max(0, first - 40), _tokens_before(text, first)
+    while at > least:
+        if text[at - 1].isspace():
+            if not (MORE_LEFT.search(text, max(0, at - 7), at) or DOT_FIRST.match(text, at)):
+                break
+            while at > least and text[at - 1].isspace():
+                at -= 1
+        else:
+            at -= 1
+    return at
+
+
+def _right_edge(text: str, last: int) -> int:
+    most = last + 1
+    for m in islice(TOKEN.finditer(text, last), MAX_TOKENS):
+        most = m.end()
+    at = min(len(text), last + 41)
+    while at < most:
+        if text[at].isspace():
+            if not (MORE_RIGHT.match(text, at) or DOT_LAST.search(text, max(0, at - 7), at)):
+                break
+            while at < most and text[at].isspace():
+                at += 1
+        else:
+            at += 1
+    return at
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Places worth a look: groups of triggers with 40 characters on either side, and on to the end of
+    the word or dotted run of words there, as far as MAX_TOKENS tokens from the trigger.
+
+    Groups are of bounded length, so the work stays linear; neighbouring stretches may overlap."""
+    for first, last in _groups(text, SPELLED):
+        yield _left_edge(text, first), _right_edge(text, last)
 
 
 def _span_features(text: str, a: int, b: int, before: str) -> list[str]:
@@ -252,7 +303,7 @@ def _example(text: str, spans: list):
 def train_field(docs: DataFrame, max_stretches: int = 400) -> SemiMarkovField:
     """A field from at most max_stretches stretches with and without marked spans.
 
-    They are those of the documents with the smallest hashes of doc_id, at most four a document."""
+    A training stretch is a group of triggers with 40 characters on either side. They are those of the documents with the smallest hashes of doc_id, at most four a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in in_chunks(batches, "text"):
@@ -262,7 +313,8 @@ def train_field(docs: DataFrame, max_stretches: int = 400) -> SemiMarkovField:
                     spans = base_spans(text)
                     kinds = set()
                     # spelled-out addresses are not marked: as examples of plain text they would mislead
-                    for a, b in stretches(text, TRIGGER):
+                    for first, last in _groups(text, TRIGGER):
+                        a, b = max(0, first - 40), min(len(text), last + 41)
                         inside = sorted({k for k, x, y in spans if a <= x and y <= b})
                         name = inside[0] if inside else "none"
                         if name not in kinds and b - a <= 300:
@@ -303,17 +355,23 @@ def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:
     if not base and not SPELLED.search(text):
         return [], []
     taken = sorted((a, b) for _, a, b in base)
-    added = []
+    added, passed = [], 0
     for x, y in stretches(text):
         tokens, segments = candidates(text, x, y)
-        segments = [s for s in segments if not any(a < tokens[s[1] - 1][1] and tokens[s[0]][0] < b for a, b in taken if b > x and a < y)]
+        # stretches start ever further right, so base spans passed once are passed for good
+        while passed < len(taken) and taken[passed][1] <= x:
+            passed += 1
+        near = [(a, b) for a, b in takewhile(lambda s: s[0] < y, islice(taken, passed, None)) if b > x]
+        segments = [s for s in segments if not any(a < tokens[s[1] - 1][1] and tokens[s[0]][0] < b for a, b in near)]
         for k, kind, posterior in field.best(len(tokens), segments):
             if posterior >= LEAST_POSTERIOR:
                 i, j, _ = segments[k]
-                span = (tokens[i][0], tokens[j - 1][1])
-                if all(b <= span[0] or span[1] <= a for _, a, b in added):
-                    added.append((KINDS[kind], *span))
-    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
+                start, end = tokens[i][0], tokens[j - 1][1]
+                # by their ends, so only the last few can overlap
+                later = takewhile(lambda s: s[0] > start, reversed(added))
+                if all(end <= a for _, a, _ in later):
+                    insort(added, (end, start, KINDS[kind]))
+    return base, sorted(base + [(kind, a, b) for b, a, kind in added], key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def _listed(spans: list) -> str:

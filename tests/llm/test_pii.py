@@ -3,7 +3,20 @@ import math
 import random
 import re
 
-from attempt_grid.llm.pii import KINDS, SemiMarkovField, all_spans, base_spans, find_personal_data, luhn, mask_personal_data, train_field
+from attempt_grid.llm.pii import (
+    KINDS,
+    MAX_TOKENS,
+    SPELLED,
+    TOKEN,
+    SemiMarkovField,
+    all_spans,
+    base_spans,
+    find_personal_data,
+    luhn,
+    mask_personal_data,
+    stretches,
+    train_field,
+)
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -115,3 +128,33 @@ def test_sums_over_segmentations():
                 for kind in range(len(KINDS)):
                     assert abs(found[k, kind] - sum(w for w, way in ways if (k, kind) in way) / total) < 1e-9
         assert [(k, kind) for k, kind, _ in field.best(n, segments)] == list(max(ways)[1])
+
+
+def test_long_names_and_hosts(spark):
+    """A span is looked at whole, however many characters its tokens have."""
+    field = train_field(corpus(spark))
+    for text in [
+        "jo.smith at department-of-computer-science.example.com",
+        "smith at department-of-computer-science.university.example.org",
+        "bartholomew.featherstonehaugh-cholmondeley at mail dot example dot com",
+        "bartholomew.featherstonehaugh.cholmondeley@department-of-computer-science.example.com",
+    ]:
+        whole = f"{'plain words ' * 9}please write to {text} {'about it ' * 9}"
+        assert [(k, whole[a:b]) for k, a, b in all_spans(whole, field)[1]] == [("email", text)]
+
+
+def test_addresses_lie_whole_in_a_stretch():
+    """Dotted runs of up to MAX_TOKENS tokens around a trigger, whatever their length; linear work."""
+    draw = random.Random(8)
+    for _ in range(300):
+        name = [draw.choice("ab") * draw.randint(1, 60) for _ in range(draw.randint(2, 7))]
+        dot = draw.choice([".", " dot ", " [dot] "])
+        k = draw.randrange(1, len(name))
+        address = dot.join(name[:k]) + draw.choice(["@", " at "]) + dot.join(name[k:])
+        text = f"{'plain words ' * 9}{address} {'about it ' * 9}"
+        if len(TOKEN.findall(address)) <= MAX_TOKENS and SPELLED.search(address):
+            assert any(a <= 108 and 108 + len(address) <= b for a, b in stretches(text))
+    field = SemiMarkovField()
+    for text in ["1 " * 20_000, "a@b.cd " * 20_000, ("x" * 5000 + " 7 ") * 100]:
+        base, every = all_spans(text, field)
+        assert len(every) >= len(base)
