@@ -3,8 +3,9 @@
 A tree splits its points by their distance to a vantage point at the median. A query leaves out
 the inner (outer) part if the triangle inequality puts all of it farther than the query's k-th
 best so far; that bound is multiplied by ``factor``: at 1 the search is exact, above it prunes
-more and may miss some. Shards hold about ``shard_rows`` rows, and queries come in blocks, so a
-task holds one tree and one block; each returns k rows per query, of which k are kept in the end.
+more and may miss some. Shards hold about ``shard_rows`` rows. A shard's points come first in its
+task, then all queries stream through the one tree in blocks, so a point is shipped once and a
+task holds one tree and one block; each gives k rows per query, of which k are kept in the end.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import usable
+from .common import partitions
+from .vectors import blocks, matrix, usable
 
 LEAF = 48
 
@@ -106,33 +108,41 @@ def nearest(
     rows = table.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks")
     ).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, query_blocks = n // shard_rows + 1, (asking or 0) // query_rows + 1
+    shards = rows.count() // shard_rows + 1
     size = F.size("embedding").alias("size")
-    all_shards, all_blocks = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (shards, query_blocks))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    points = rows.select("vec_id", "embedding", size, dealt(shards).alias("shard"), all_blocks.alias("block"))
-    queries = rows.filter("asks").select("vec_id", "embedding", size, dealt(query_blocks).alias("block"), all_shards.alias("shard"))
-    tree, names = VantageTree, ["query_id", "vec_id", "score"]
-
-    def values(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("vec_id").to_numpy()
-        flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return ids, np.asarray(flat, np.float64).reshape(len(ids), -1)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        if not left.num_rows or not right.num_rows:
-            return empty
-        ids, vectors = values(left)
-        query_ids, asked = values(right)
-        found, away = tree(vectors, ids).search(asked, query_ids, k, factor)
-        real = found >= 0 if (ids >= 0).all() else ~np.isinf(away)
-        return pa.table(
-            [pa.array(np.repeat(query_ids, k)[real.ravel()]), pa.array(found[real]), pa.array(away[real])], names
-        )
-
-    key = ["size", "shard", "block"]
-    found = points.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    own = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
+    all_shards = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    points = rows.select("vec_id", "embedding", size, own.alias("shard"), F.lit(False).alias("asks"))
+    queries = rows.filter("asks").select("vec_id", "embedding", size, all_shards, F.lit(True).alias("asks"))
+    make = VantageTree
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, held = None, None, []
+        for batch in blocks(batches, query_rows):
+            sizes, places = (batch.column(c).to_numpy() for c in ("size", "shard"))
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            ids = batch.column("vec_id").to_numpy()
+            starts = np.flatnonzero(np.r_[True, (sizes[1:] != sizes[:-1]) | (places[1:] != places[:-1]) | (asks[1:] != asks[:-1])])
+            for a, b in zip(starts, np.r_[starts[1:], len(ids)]):
+                if key != (sizes[a], places[a]):
+                    key, tree, held = (sizes[a], places[a]), None, []
+                vectors = matrix(batch.column("embedding").slice(a, b - a))
+                if not asks[a]:
+                    held.append((vectors, ids[a:b]))
+                    continue
+                if tree is None:
+                    if not held:  # a shard without points of this length
+                        continue
+                    tree, held = make(*map(np.concatenate, zip(*held))), []
+                found, away = tree.search(vectors, ids[a:b], k, factor)
+                real = ~np.isinf(away)
+                yield pa.record_batch(
+                    [pa.array(np.repeat(ids[a:b], k)[real.ravel()]), pa.array(found[real]), pa.array(away[real])],
+                    ["query_id", "vec_id", "score"],
+                )
+
+    # as many partitions as shards, up to a few for each shuffle partition
+    met = points.unionAll(queries).repartition(min(shards, 4 * partitions(table.sparkSession)), "size", "shard")
+    found = met.sortWithinPartitions("size", "shard", "asks").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
