@@ -211,7 +211,9 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
             ]
             names = ["doc_id", "n_tokens", "ids_crc32", "round_trip"]
             if with_ids:
-                columns.append(pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(coded), "<i4")
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.record_batch(columns, names + ["ids"] * with_ids)
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
