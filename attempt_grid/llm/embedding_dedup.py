@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, tiled, written
 from .components import connected_components
-from .vectors import blocks, kmeans, matrix, nearest_rows, sample_matrix, usable
+from .vectors import blocks, kmeans, matrix, nearest_rows, sample_matrix, scaled, usable
 
 ROUNDING = 1e-6
 
@@ -70,7 +70,7 @@ def _filed(quantiser: Quantiser, radius: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 1024):
-            vectors = matrix(batch.column("embedding"))
+            vectors = scaled(matrix(batch.column("embedding")))
             units = vectors / np.sqrt((vectors**2).sum(axis=1))[:, None]
             own, codes, error = quantiser.encode(units)
             near = quantiser.probes(units, own, radius) & (np.arange(len(quantiser.centroids)) > own[:, None])
@@ -108,7 +108,7 @@ def _compare(quantiser: Quantiser, least: float, radius: float):
             target, query, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("target", "query", "home"))
             rep, n, coarse = (batch.column(c).to_numpy() for c in ("rep", "n", "coarse"))
             error = batch.column("error").to_numpy()
-            vectors, codes = matrix(batch.column("embedding")), np.stack([np.frombuffer(c, np.uint8) for c in batch.column("code").to_pylist()])
+            vectors, codes = scaled(matrix(batch.column("embedding"))), np.stack([np.frombuffer(c, np.uint8) for c in batch.column("code").to_pylist()])
             norms = np.sqrt((vectors**2).sum(axis=1))
             units = vectors / norms[:, None]
             starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (tile[1:] != tile[:-1])])
@@ -165,6 +165,8 @@ def embedding_components(
     that of vectors (256 at most), as each vector may have to probe a share of them. A vec_id should be unique; rows that repeat one
     with the same vector count as copies.
     """
+    if codes > 256:
+        raise ValueError("a code is one byte: at most 256 codes a subspace")
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     rows = rows.withColumn("usable", usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
@@ -177,7 +179,7 @@ def embedding_components(
     found = None
     for (size,) in classes.select(F.size("embedding")).distinct().collect():
         same = classes.filter(F.size("embedding") == size)
-        sample = sample_matrix(same, "embedding", sample_rows, F.xxhash64("embedding"))
+        sample = scaled(sample_matrix(same, "embedding", sample_rows, F.xxhash64("embedding")))
         sample = sample / np.sqrt((sample**2).sum(axis=1))[:, None]
         radius = math.sqrt(max(0.0, 2 - 2 * least_cosine))
         quantiser = Quantiser(sample, lists or min(256, math.isqrt(n_classes) // 8 + 1), subspaces, codes)

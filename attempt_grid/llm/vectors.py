@@ -23,6 +23,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors by powers of two, so that the largest component lies in [0.5, 1): no square of it
+    is lost or infinite, and cosines keep every bit."""
+    _, power = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def sample_matrix(vectors: DataFrame, column: str, most: int, order: Column) -> np.ndarray:
     """At most ``most`` vectors, those first by order, on the driver."""
     rows = vectors.orderBy(order).limit(most).select(column).toArrow()

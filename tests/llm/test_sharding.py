@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from attempt_grid.llm.sharding import shard_documents
 
@@ -41,3 +44,20 @@ def test_odd_tables(no_docs, clashing, broken, texts):
     assert len({r.shard for r in odd if r.doc_id == 0}) == 1
     plan = shard_documents(broken)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_winning_shard(spark):
+    """Draws and winners computed apart, key by key."""
+    keys = [*range(300), -1, -(2**63), 2**63 - 1]
+    frame = spark.createDataFrame([(k, "x") for k in keys], "doc_id long, text string")
+
+    def winner(key, weights):
+        def score(shard):
+            number = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42))
+            return -weights[shard] / math.log(((number >> 11) + 0.5) / 2**53)
+
+        return max(range(len(weights)), key=lambda s: (score(s), -s))
+
+    for weights in [(1.0,) * 16, (1.0, 2.0, 0.5)]:
+        for r in shard_documents(frame, weights, 3.0).collect():
+            assert (r.shard, r.grown_shard) == (winner(r.doc_id, weights), winner(r.doc_id, (*weights, 3.0)))

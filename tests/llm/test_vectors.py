@@ -90,3 +90,22 @@ def test_relaxed_pruning_keeps_most():
     relaxed, _ = tree.search(points[ids], ids, 10, 1.5)
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact, relaxed)])
     assert 0.9 <= recall
+
+
+def test_extreme_lengths(spark):
+    """Cosines do not depend on lengths, not even where squares underflow or overflow."""
+    rows = [(10 * k + j, [s * x for x in v], 1) for k, v in enumerate(([1.0, 2.0, 3.0], [3.0, -1.0, 0.5])) for j, s in enumerate((1.0, 1e-200, 1e200, 5e-324))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(frame, lists=2).collect()}
+    # the smallest doubles keep only whole multiples: (1, 2, 3) and (3, -1, 0)
+    assert found == {i: (3, 10 * (i // 10)) for i, _, _ in rows}
+    with pytest.raises(ValueError):
+        embedding_components(frame, codes=257)
+
+
+def test_a_point_is_shipped_once(spark):
+    """Queries go to every shard, points to one, however many blocks of queries there are."""
+    frame = spark.createDataFrame(clustered(), SCHEMA)
+    found = nearest(frame, frame.vec_id % 2 == 0, shard_rows=30, query_rows=5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("RepartitionByExpression") == 1
