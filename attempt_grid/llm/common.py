@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -47,13 +49,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _give_back() -> None:
+    """Memory that is free but still held by this process goes back to the system, where that can be asked for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def process_store(name: str) -> dict:
     """A dictionary that lives as long as the Python worker process, across its tasks.
 
     A worker holds one of them: asking for another lets go of what an earlier job left."""
     home = sys.modules.setdefault("_corpus_process_store", types.ModuleType("_corpus_process_store"))
-    for other in [k for k in home.__dict__ if k.startswith("store_") and k != f"store_{name}"]:
+    others = [k for k in home.__dict__ if k.startswith("store_") and k != f"store_{name}"]
+    for other in others:
         del home.__dict__[other]
+    if others or f"store_{name}" not in home.__dict__:
+        _give_back()
     return home.__dict__.setdefault(f"store_{name}", {})
 
 

@@ -34,8 +34,9 @@ from .common import in_chunks, process_store, text_bytes, written
 END_ID = 1
 MAX_QUEUES = 256
 # of each of the cache's two generations
-CACHED_WORDS = 500_000
-CACHED_BYTES = 80 << 20
+CACHED_WORDS = 250_000
+CACHED_BYTES = 40 << 20
+CHUNK_BYTES = 1 << 18
 JOINED_WORDS = 64
 END_OF_RUN = "</w>"  # how the vocabulary marks it
 TAIL = b".,;:!?$%&#*|"
@@ -189,7 +190,7 @@ def tokenised(docs: DataFrame, tokenizer: str, queue: Column | None = None) -> D
         kept = store("word_encoders")
         encoder = kept.get(tokenizer) or kept.setdefault(tokenizer, make(tokenizer))
         block, filled = TaskContext.get().partitionId(), {}
-        for chunk in in_chunks(batches, "text"):
+        for chunk in in_chunks(batches, "text", CHUNK_BYTES):
             ids = [x + b"\x01\x00" for x in encoder.encode(text_bytes(chunk.column("text")))]
             places = []
             for queue, x in zip(chunk.column("queue").to_pylist(), ids):
