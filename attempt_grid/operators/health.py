@@ -36,6 +36,24 @@ def attempts_per_day(attempts: DataFrame) -> DataFrame:
     return _with_day_before(counts).select("partition_date", "attempts", missing.alias("missing_before"))
 
 
+def attempts_per_calendar_day(attempts: DataFrame) -> DataFrame:
+    """Attempts on every day from the first to the last; a day without any is a row with 0.
+
+    Columns as in attempts_per_day, also on days without attempts. Attempts without a day are a row
+    of their own. Each day present adds the days that lie before it, so there is no bound on the
+    span: a stray day costs one row for every day between.
+    """
+    days = attempts_per_day(attempts)
+    missing = F.coalesce("missing_before", F.lit(0))
+    filled = days.withColumn("step", F.explode(F.sequence(F.lit(0), missing)))
+    empty = F.col("step") < missing
+    return filled.select(
+        F.date_sub("partition_date", missing - F.col("step")).alias("partition_date"),
+        F.when(empty, F.lit(0).cast("long")).otherwise(F.col("attempts")).alias("attempts"),
+        F.when(empty, F.col("step")).otherwise(F.col("missing_before")).alias("missing_before"),
+    )
+
+
 def _with_day_before(counts: DataFrame) -> DataFrame:
     """Adds ``day_before``, the last day before the row's own that is present.
 

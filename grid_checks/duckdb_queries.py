@@ -520,8 +520,14 @@ _DAY_COUNTS = """counts AS (
   SELECT partition_date, count(*) AS attempts, CASE WHEN partition_date IS NOT NULL THEN
     partition_date - lag(partition_date) OVER (PARTITION BY partition_date IS NULL ORDER BY partition_date) - 1 END AS missing_before
   FROM attempts GROUP BY partition_date)"""
-ORACLE["mart_health_days"] = f"""WITH {_LINEITEM_ATTEMPTS}, {_DAY_COUNTS}
-SELECT partition_date, attempts, CAST(missing_before AS INTEGER) AS missing_before FROM counts"""
+ORACLE["mart_health_days"] = f"""WITH {_LINEITEM_ATTEMPTS},
+counts AS (SELECT partition_date, count(*) AS attempts FROM attempts GROUP BY 1),
+calendar AS (
+  SELECT CAST(unnest(generate_series(min(partition_date), max(partition_date), INTERVAL 1 DAY)) AS DATE) AS d FROM counts)
+SELECT d AS partition_date, coalesce(attempts, 0) AS attempts,
+  CAST(d - max(partition_date) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS INTEGER) AS missing_before
+FROM calendar LEFT JOIN counts ON d = partition_date
+UNION ALL SELECT partition_date, attempts, NULL FROM counts WHERE partition_date IS NULL"""
 _STRAY_DAYS = f"""{_EVENT_ATTEMPTS.replace("attempts AS (", "dated AS (", 1)},
 attempts AS (SELECT * REPLACE (CASE WHEN day(partition_date) = 5 THEN DATE '1900-01-01'
     WHEN day(partition_date) = 20 THEN DATE '2200-12-31'

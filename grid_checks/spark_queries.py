@@ -662,7 +662,7 @@ _register("dataset_status", _status)
 @_query
 def mart_health_days(spark, sf_dir):
     # Attempts of a month are dated to its first day, so the days between are gaps.
-    return health.attempts_per_day(sample.attempts_from_lineitem(spark, sf_dir))
+    return health.attempts_per_calendar_day(sample.attempts_from_lineitem(spark, sf_dir))
 
 
 @_query

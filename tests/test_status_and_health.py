@@ -74,6 +74,27 @@ def test_counts_per_day_tell_of_gaps(attempts):
         assert check(frame.limit(0)).collect() == []
 
 
+def test_every_calendar_day_has_a_row(spark, attempts):
+    frame = attempts(*on(date(2026, 1, 1), date(2026, 1, 1), date(2026, 1, 4), date(2026, 1, 5), None))
+    rows = sorted((tuple(r) for r in health.attempts_per_calendar_day(frame).collect()), key=repr)
+    each = [(2, None), (0, 0), (0, 1), (1, 2), (1, 0)]
+    expected = [(None, 1, None), *((date(2026, 1, 1) + timedelta(i), *x) for i, x in enumerate(each))]
+    assert rows == sorted(expected, key=repr)
+    assert health.attempts_per_calendar_day(frame.limit(0)).collect() == []
+    stray = health.attempts_per_calendar_day(frame.unionByName(attempts(*on(date(1, 1, 1)))))
+    days = stray.selectExpr("count(DISTINCT partition_date)", "count(*)", "sum(attempts)").first()
+    assert tuple(days) == ((date(2026, 1, 5) - date(1, 1, 1)).days + 1, (date(2026, 1, 5) - date(1, 1, 1)).days + 2, 6)
+
+
+def test_the_query_lists_days_without_attempts(spark):
+    from grid_checks.spark_queries import QUERIES
+
+    rows = QUERIES["mart_health_days"](spark, "/root/testdata/sf0.001").collect()
+    days = sorted(r["partition_date"] for r in rows)
+    assert days == [days[0] + timedelta(i) for i in range((days[-1] - days[0]).days + 1)]
+    assert any(r["attempts"] == 0 for r in rows)
+
+
 def test_stray_days_are_gaps_like_others(attempts):
     days = [date(1, 1, 1), date(2026, 1, 1), date(2026, 1, 2), date(9999, 12, 31)]
     frame = attempts(*on(*days))
