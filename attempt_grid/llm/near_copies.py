@@ -1,11 +1,12 @@
-"""Near copies by word shingles: MinHash bands name candidates, exact Jaccard similarity links them.
+"""Near copies by word shingles: SimHash groups and MinHash bands name candidates, exact Jaccard similarity links them.
 
-A text's signature holds the least hash of its shingles under ``BANDS * ROWS`` functions. Texts
+The groups are those of op9's operator: fingerprints within 3 bits, found over a grid of segment
+popcounts. Beside them, a text's signature holds the least hash of its shingles under ``BANDS * ROWS`` functions. Texts
 that agree in all rows of a band share a bucket; at similarity 0.8 that fails for all 24 bands of
-5 rows in fewer than one of 10,000 pairs. Nothing is linked by its signature: each candidate is
-settled by the two sets of shingles.
+5 rows in fewer than one of 10,000 pairs. Nothing is linked by its fingerprint or signature: each
+candidate is settled by the two sets of shingles.
 
-Equal texts take part once. A bucket's members are first compared with its smallest one, which
+Equal texts take part once. A SimHash group is a bucket like those of the bands. A bucket's members are first compared with its smallest one, which
 settles buckets of two and groups of copies in linear time. In buckets that still hold several
 components the members outside the largest one are compared with all, in tiles, where sizes and
 signatures sort out pairs that cannot reach the similarity. A set of shingles travels once for
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import in_chunks, key_test, partitions, text_bytes, written
 from .components import connected_components
+from .simhash import simhash_components
 
 SEED = 42
 BANDS, ROWS = 24, 5
@@ -81,6 +83,12 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, key long, size long, sig binary")
 
 
+def _groups(docs: DataFrame) -> DataFrame:
+    """(key, group): the SimHash component of each distinct text, as a bucket's name."""
+    found = simhash_components(docs.select(_key().alias("doc_id"), "text"))
+    return found.select(F.col("doc_id").alias("key"), F.xxhash64(F.lit(BANDS), "component_id").alias("group")).distinct()
+
+
 def _sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """(key, shingles) of the keys' texts: each set once, as bytes.
 
@@ -108,6 +116,7 @@ def _links_of_tiles(least: float):
     Streams tiles sorted by (cell, tile, targets first) and keeps one tile's targets. What was
     linked within the tile is not compared again, so its links form a forest. In the bucket of a
     band only pairs are compared that share no band before; those meet in the bucket of that one.
+    A SimHash group comes after all bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +151,7 @@ def _links_of_tiles(least: float):
                 near = equal.mean(axis=1) >= least - SLACK
                 if band >= 0:
                     bands = equal.reshape(-1, BANDS, ROWS).all(axis=2)
-                    near &= bands.argmax(axis=1) == band
+                    near &= np.where(bands.any(axis=1), bands.argmax(axis=1), BANDS) == band
                 for t in some[near]:
                     mine, other = root(component), root(int(components[t]))
                     if mine != other and similarity(shingles, targets[t][5]) >= least - 1e-9:
@@ -214,9 +223,10 @@ def near_copy_components(
     """
     parts = partitions(docs.sparkSession)
     sketches = written(_sketches(docs, width))
-    one = written(sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig")))
+    one = sketches.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    one = written(one.join(_groups(docs), "key"))
     bands = [F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)]
-    members = one.select("key", "size", F.posexplode(F.array(*bands)).alias("band", "cell"))
+    members = one.select("key", "size", F.posexplode(F.array(*bands, "group")).alias("band", "cell"))
     buckets = (
         members.groupBy("cell", "band")
         .agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("first"), F.bit_xor(F.xxhash64("key")).alias("mark"))

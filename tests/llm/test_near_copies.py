@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from attempt_grid.llm.near_copies import near_copy_components, shingle_set, similarity
+from attempt_grid.llm.near_copies import BANDS, ROWS, near_copy_components, shingle_set, signature, similarity
+from attempt_grid.llm.simhash import simhash_components
 
 
 def plain_set(text):
@@ -119,3 +120,39 @@ def test_no_temporary_folder_on_a_cluster():
 
     assert is_local("local") and is_local("local[4]")
     assert not is_local("local-cluster[3,2,1024]") and not is_local("yarn") and not is_local("spark://host:7077")
+
+
+def repeated_passage(seed, n_words, n_end, times=12):
+    """Two texts of one passage, many times, that end differently: their fingerprints are close."""
+    draw = random.Random(seed)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(n_words)]
+    ends = [[f"e{draw.randrange(10**6)}" for _ in range(n_end)] for _ in "ab"]
+    return [" ".join(words * times + end) for end in ends]
+
+
+def test_simhash_groups_find_what_no_band_holds(spark):
+    """A pair at 0.82 that shares no band is found by its fingerprints; close fingerprints alone link nothing."""
+    pair, apart = repeated_passage(84498, 18, 2), repeated_passage(1, 19, 9, 99)
+    sets = [shingle_set(t.encode()) for t in pair]
+    bands = [signature(s).reshape(BANDS, ROWS) for s in sets]
+    assert similarity(*sets) > 0.8 and not (bands[0] == bands[1]).all(axis=1).any()
+    assert similarity(*(shingle_set(t.encode()) for t in apart)) < 0.8
+    table = dict(enumerate([*pair, *apart, *(" ".join(word_list(30, random.Random(i))) for i in range(20))]))
+    groups = {r.doc_id: r.component_id for r in simhash_components(frame(spark, table)).collect()}
+    assert groups[1] == 0 and groups[3] == 2
+    found = {r.doc_id: r.component_id for r in near_copy_components(frame(spark, table)).collect()}
+    assert found == plain_components(table) and found[1] == 0 and found[3] == 3
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, table), "").collect()}
+    assert kept == set(table) - {1}
+
+
+def test_simhash_groups_of_many_texts(spark):
+    """A SimHash group whose members are no copies of its smallest one, some of them of each other."""
+    passage = repeated_passage(2, 19, 0, 99)[0]
+    draw, table = random.Random(3), {}
+    for k in range(30):
+        end = [f"e{draw.randrange(10**6)}" for _ in range(9)]
+        table[2 * k], table[2 * k + 1] = (" ".join([passage, *end, *more]) for more in ([], [f"x{k}"]))
+    found = near_copy_components(frame(spark, table), cell_rows=8, star_rows=8).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_components(table)
+    assert len(set(plain_components(table).values())) == 30
