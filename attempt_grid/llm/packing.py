@@ -16,12 +16,13 @@ so a document lies in it as one piece.
 from __future__ import annotations
 
 import bisect
+import gc
 import heapq
 import os
 import zlib
 from collections.abc import Collection, Iterator
 from fractions import Fraction
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .common import in_chunks, process_store, text_bytes, written
 END_ID = 1
 MAX_QUEUES = 256
 # of each of the cache's two generations
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 CACHED_BYTES = 40 << 20
 CHUNK_BYTES = 1 << 18
 JOINED_WORDS = 64
@@ -43,6 +44,21 @@ TAIL = b".,;:!?$%&#*|"
 UNIT = 1 << 64
 
 
+class _Words(dict):
+    """Ids by word. A missing word gives an empty place, the same each time, to be filled when its ids are known."""
+
+    def __init__(self):
+        self.places: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        return self.places.setdefault(word, bytearray())
+
+
+def _one_run(word: str) -> bool:
+    """Letters that any Unicode version sees as letters, also in lower case: Latin, Greek, Cyrillic."""
+    return word.isascii() or (max(word) < "\u0530" and "\u0130" not in word)
+
+
 class WordEncoder:
     """Token ids of texts as little-endian 16-bit bytes, from a cache of space-separated words.
 
@@ -52,15 +68,20 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for words of one run each: the same model without the patterns that look for white space and runs
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(END_OF_RUN)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words = self.old = _Words()
         self.cached = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -69,12 +90,12 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def _word_ids(self, words: list[str], tokenizer=None) -> list[bytes]:
         """Ids of words of letters only. Some go in one text, which costs half: a word's last id, and
         no other, is one that ends a run, so that ids are cut there. Letters that the tokenizer does
         not see as one run give more ends than words; the words of such a call go one by one."""
         joined = [" ".join(words[at : at + JOINED_WORDS]) for at in range(0, len(words), JOINED_WORDS)]
-        ids = np.concatenate([np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ids = np.concatenate([np.array(e.ids, "<u2") for e in (tokenizer or self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)])
         cuts = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
         if len(cuts) != len(words):
             return self._ids(words)
@@ -93,31 +114,40 @@ class WordEncoder:
                 whole.add(word)
         todo = [w for w in whole if w not in self.words]
         texts = [w.decode() for w in todo]
-        letters = [t.isalpha() for t in texts]
-        for wanted, ids in ((True, self._word_ids), (False, self._ids)):
-            names, some = ([x for x, alpha in zip(xs, letters) if alpha == wanted] for xs in (todo, texts))
+        kinds = [t.isalpha() and 1 + _one_run(t) for t in texts]
+        for wanted, ids in ((2, lambda some: self._word_ids(some, self.plain)), (1, self._word_ids), (0, self._ids)):
+            names, some = ([x for x, kind in zip(xs, kinds) if kind == wanted] for xs in (todo, texts))
             for at in range(0, len(some), 4096):
                 self.words.update(zip(names[at : at + 4096], ids(some[at : at + 4096])))
         for word, (body, tail) in parts.items():
             self.words[word] = self.words[body] + self.words[tail]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Nothing here refers back to itself, so no collector has to walk through the cache meanwhile."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         split = [None if b"<|" in t else t.lower().split() for t in texts]
-        get = self.words.get
+        words, self.words.places = self.words, {}
+        get = words.__getitem__
         found = [None if s is None else list(map(get, s)) for s in split]
-        new = {w for s, ids in zip(split, found) if ids and None in ids for w, x in zip(s, ids) if x is None}
-        if new:
+        if new := set(words.places):
             self.cached += sum(map(len, new))
-            if len(self.words) + len(new) > CACHED_WORDS or self.cached > CACHED_BYTES:
-                self.old, self.words = self.words, {}
+            if len(words) + len(new) > CACHED_WORDS or self.cached > CACHED_BYTES:
+                self.old, self.words = words, _Words()
                 self.cached = sum(map(len, new))
             again = new & self.old.keys()
             self.words.update((w, self.old[w]) for w in again)
             self._learn(new - again)
-            get = self.words.__getitem__
-            for s, ids in zip(split, found):
-                if ids and None in ids:
-                    ids[:] = [get(w) if x is None else x for w, x in zip(s, ids)]
+            for word, place in words.places.items():
+                place += self.words[word]
+            words.places = {}
         return [self._ids([t.decode()])[0] if x is None else b"".join(x) for t, x in zip(texts, found)]
 
 
@@ -212,14 +242,16 @@ def _pieces(mixture_of, queues: list[str], sizes: list[int], weights: list[int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture, number = mixture_of(sizes, weights), {q: k for k, q in enumerate(queues)}
-        known: dict[int, list[int]] = {}
+        known: dict[int, tuple[list[int], list[int]]] = {}
         window_of: dict[int, int] = {}
 
-        def before(window: int) -> list[int]:
+        def before(window: int) -> tuple[list[int], list[int]]:
+            """Tokens of each queue before a window, and of all queues in front of each."""
             if window not in known:
                 if len(known) > 20_000:
                     known.clear()
-                known[window] = mixture.before(window * length)
+                counts = mixture.before(window * length)
+                known[window] = counts, list(accumulate(counts, initial=0))
             return known[window]
 
         for batch in batches:
@@ -229,15 +261,15 @@ def _pieces(mixture_of, queues: list[str], sizes: list[int], weights: list[int],
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 n, at = len(ids) // 2, 0
                 w = window_of.get(k, -1)
-                if w < 0 or not before(w)[k] <= x < before(w + 1)[k]:
-                    if w < 0 or x < before(w)[k]:
-                        w = bisect.bisect_right(range(mixture.total // length + 1), x, key=lambda v: before(v)[k]) - 1
+                if w < 0 or x < before(w)[0][k]:
+                    w = bisect.bisect_right(range(mixture.total // length + 1), x, key=lambda v: before(v)[0][k]) - 1
+                (a, a_front), (b, b_front) = before(w), before(w + 1)
                 while at < n:
-                    while before(w + 1)[k] <= x + at:
+                    while b[k] <= x + at:
                         w += 1
-                    a, b = before(w), before(w + 1)
+                        a, a_front, (b, b_front) = b, b_front, before(w + 1)
                     end = min(n, b[k] - x)
-                    offset = sum(b[:k]) - sum(a[:k]) + x + at - a[k]
+                    offset = b_front[k] - a_front[k] + x + at - a[k]
                     out.append((doc_id, at, end - at, zlib.crc32(wide[4 * at : 4 * end]), n, w, offset, queue))
                     at = end
                 window_of[k] = w

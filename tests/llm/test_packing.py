@@ -89,6 +89,20 @@ def test_words_in_one_call_are_cut_where_they_end():
     assert encoder._word_ids([*words, "İstanbul"]) == encoder._ids([*words, "İstanbul"])
 
 
+def test_words_of_one_run_take_the_short_way():
+    """Same ids by the tokenizer without its patterns; what may be several runs never goes there."""
+    encoder = WordEncoder(PATH)
+    asked = []
+    plain = encoder.plain
+    encoder.plain = type("Asked", (), {"encode_batch_fast": lambda _, texts, **k: asked.extend(texts) or plain.encode_batch_fast(texts, **k)})()
+    words = ["Äpfel", "ÉCOLE", "ǅungla", "ςΣΑΣ", "жЁлка", "ªº", "x" * 300, "don", "İstanbul", "漢字", "ſtraße", "e\u0301a", "l'eau", "a1b2", "end."]
+    text = " ".join([*words, *words, *map(str.lower, words)])
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == expected(text)[:-1]
+    went = set(" ".join(asked).split())
+    assert {"x" * 300, "don", "end"} <= went and not went & {"İstanbul", "漢字", "a1b2", "l'eau"}
+
+
 def test_weighted_and_heavy_sources_are_not_folded(spark):
     """300 light sources, a heavy one and two with weights, one of them named as a shared queue."""
     rows = [(i, "some plain words of text " * 4, f"site{i}") for i in range(300)]
