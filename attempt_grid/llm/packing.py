@@ -20,12 +20,13 @@ import gc
 import heapq
 import os
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from fractions import Fraction
 from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,21 +38,51 @@ MAX_QUEUES = 256
 # of each of the cache's two generations
 CACHED_WORDS = 400_000
 CACHED_BYTES = 40 << 20
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 20
 JOINED_WORDS = 64
+SHORT_BYTES = 4
 END_OF_RUN = "</w>"  # how the vocabulary marks it
-TAIL = b".,;:!?$%&#*|"
+TAIL = ".,;:!?$%&#*|"
+# ASCII digits and those characters of up to two bytes that any Unicode version sees as letters; U+0130 ends in a mark in lower case
+ENDS_BODY = np.array([chr(c).isalnum() if c < 0x80 else c < 0x530 and c != 0x130 and chr(c).isalpha() for c in range(0x800)])
 UNIT = 1 << 64
 
 
-class _Words(dict):
-    """Ids by word. A missing word gives an empty place, the same each time, to be filled when its ids are known."""
+def _strings(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.large_binary()).cast(pa.large_string())
 
-    def __init__(self):
-        self.places: dict[bytes, bytearray] = {}
 
-    def __missing__(self, word: bytes) -> bytearray:
-        return self.places.setdefault(word, bytearray())
+def _bytes(strings: pa.Array) -> list[bytes]:
+    return strings.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def _ends(strings: pa.Array) -> np.ndarray:
+    """Where the strings of a new array with 64-bit offsets begin in its bytes, and where the last one ends."""
+    return np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1)
+
+
+def _halves(words: pa.Array, longer: int) -> pa.Array:
+    """Each word's body and the punctuation behind it, in turn. Only after a letter or digit it is a token run
+    of its own; other words, and those not longer than so many bytes, are bodies as a whole."""
+    n, at = len(words), np.zeros(2 * len(words) + 1, np.int64)
+    at[::2] = _ends(words)
+    first, last, bodies = at[:-1:2], at[2::2], pc.binary_length(pc.ascii_rtrim(words, characters=TAIL)).to_numpy()
+    at[1::2], some = last, np.flatnonzero((bodies > 0) & (bodies < last - first) & (last - first > longer))
+    if len(some):
+        cuts, data = first[some] + bodies[some], np.frombuffer(words.buffers()[2], np.uint8)
+        one, two = data[cuts - 1].astype(int), data[cuts - 2].astype(int)
+        letter = np.where(one < 0x80, ENDS_BODY[one], (two >= 0xC0) & ENDS_BODY[(two & 31) << 6 | one & 63])
+        at[2 * some[letter] + 1] = cuts[letter]
+    return pa.Array.from_buffers(words.type, 2 * n, [None, pa.py_buffer(at), words.buffers()[2]])
+
+
+def _joined(words: pa.Array, longer: int, ids_of: Callable[[list[bytes]], list[bytes]]) -> pa.Array:
+    """Ids of words: those of their halves, each of which is asked for once."""
+    halves = _halves(words, longer).dictionary_encode()
+    both = pa.array(ids_of(_bytes(halves.dictionary)), pa.large_binary()).take(halves.indices)
+    # the halves of a word lie one after the other
+    ends = pa.py_buffer(np.ascontiguousarray(_ends(both)[::2]))
+    return pa.Array.from_buffers(both.type, len(words), [None, ends, both.buffers()[2]])
 
 
 def _one_run(word: str) -> bool:
@@ -63,8 +94,9 @@ class WordEncoder:
     """Token ids of texts as little-endian 16-bit bytes, from a cache of space-separated words.
 
     The tokenizer drops white space and never joins across it, and lower-cases anyway. Texts
-    with "<|" may hold special tokens and are encoded as they are. When the cache is full, its words
-    become the old generation, from which those still in use come back."""
+    with "<|" may hold special tokens and are encoded as they are. Arrow numbers the different words
+    of a call, so that each is looked up once, without the punctuation behind it. When the cache is
+    full, its words become the old generation, from which those still in use come back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,7 +113,8 @@ class WordEncoder:
             raise ValueError("ids must fit into 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(END_OF_RUN)]] = True
-        self.words = self.old = _Words()
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cached = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -102,25 +135,34 @@ class WordEncoder:
         flat = ids.tobytes()
         return [flat[a:b] for a, b in pairwise([0, *cuts])]
 
-    def _learn(self, new: set[bytes]) -> None:
-        parts, whole = {}, set()
-        for word in new:
-            body = word.rstrip(TAIL)
-            # punctuation after a letter or digit is a token run of its own
-            if body and body != word and (body[-1:].isalnum() or body.decode()[-1].isalpha()):
-                parts[word] = body, word[len(body) :]
-                whole.update(parts[word])
-            else:
-                whole.add(word)
-        todo = [w for w in whole if w not in self.words]
-        texts = [w.decode() for w in todo]
+    def _tokenised(self, words: list[bytes]) -> list[bytes]:
+        texts, known = [w.decode() for w in words], {}
         kinds = [t.isalpha() and 1 + _one_run(t) for t in texts]
         for wanted, ids in ((2, lambda some: self._word_ids(some, self.plain)), (1, self._word_ids), (0, self._ids)):
-            names, some = ([x for x, kind in zip(xs, kinds) if kind == wanted] for xs in (todo, texts))
+            names, some = ([x for x, kind in zip(xs, kinds) if kind == wanted] for xs in (words, texts))
             for at in range(0, len(some), 4096):
-                self.words.update(zip(names[at : at + 4096], ids(some[at : at + 4096])))
-        for word, (body, tail) in parts.items():
-            self.words[word] = self.words[body] + self.words[tail]
+                known.update(zip(names[at : at + 4096], ids(some[at : at + 4096])))
+        return [known[w] for w in words]
+
+    def _keep(self, more: dict[bytes, bytes]) -> None:
+        size = sum(map(len, more))
+        if len(self.words) + len(more) > CACHED_WORDS or self.cached + size > CACHED_BYTES:
+            self.old, self.words, self.cached = self.words, {}, 0
+        self.words.update(more)
+        self.cached += size
+
+    def _found(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words, which are in the cache afterwards."""
+        found = list(map(self.words.get, words))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        if lacking:
+            more = {w: self.old.get(w) for w in (words[i] for i in lacking)}
+            if new := [w for w, ids in more.items() if ids is None]:
+                more.update(zip(new, _bytes(_joined(_strings(new), 0, self._tokenised))))
+            for i in lacking:
+                found[i] = more[words[i]]
+            self._keep(more)
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Nothing here refers back to itself, so no collector has to walk through the cache meanwhile."""
@@ -133,22 +175,13 @@ class WordEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        words, self.words.places = self.words, {}
-        get = words.__getitem__
-        found = [None if s is None else list(map(get, s)) for s in split]
-        if new := set(words.places):
-            self.cached += sum(map(len, new))
-            if len(words) + len(new) > CACHED_WORDS or self.cached > CACHED_BYTES:
-                self.old, self.words = words, _Words()
-                self.cached = sum(map(len, new))
-            again = new & self.old.keys()
-            self.words.update((w, self.old[w]) for w in again)
-            self._learn(new - again)
-            for word, place in words.places.items():
-                place += self.words[word]
-            words.places = {}
-        return [self._ids([t.decode()])[0] if x is None else b"".join(x) for t, x in zip(texts, found)]
+        special = [b"<|" in t for t in texts]
+        split = pc.ascii_split_whitespace(pc.ascii_lower(_strings([b"" if odd else t for t, odd in zip(texts, special)])))
+        words = split.flatten().dictionary_encode()
+        # short words come often and are cached as they are
+        ids = _joined(words.dictionary, SHORT_BYTES, self._found).take(words.indices)
+        ends, data = _ends(ids)[split.offsets.to_numpy()].tolist(), (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        return [self._ids([t.decode()])[0] if odd else data[a:b] for t, odd, (a, b) in zip(texts, special, pairwise(ends))]
 
 
 class Mixture:

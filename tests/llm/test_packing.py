@@ -103,6 +103,31 @@ def test_words_of_one_run_take_the_short_way():
     assert {"x" * 300, "don", "end"} <= went and not went & {"İstanbul", "漢字", "a1b2", "l'eau"}
 
 
+def test_words_are_cached_without_the_punctuation_behind_them():
+    """One body in five spellings is one entry, whose ids each spelling shares."""
+    encoder = WordEncoder(PATH)
+    text = "wordy wordy. Wordy, wordy!! wordy.&&& wordy. niño; niño %% ..."
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == expected(text)[:-1]
+    assert sorted(w for w in encoder.words if w) == sorted(w.encode() for w in "wordy niño . , !! .&&& ; %% ...".split())
+
+
+def test_punctuation_is_cut_off_after_letters_and_digits_only():
+    """Every character before punctuation, among them letters whose lower case ends in a mark (İ)."""
+    encoder, tokenizer = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    chars = [chr(c) for c in (*range(0x21, 0x3000), *range(0xAC00, 0xAC80), *range(0xF900, 0x10000), *range(0x1D400, 0x1D500))]
+    texts = [f"abcdef{c}{tail}" for c in chars for tail in (".", "!?&")]
+    wanted = [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, x, y in zip(texts, encoder.encode([t.encode() for t in texts]), wanted) if x != y] == []
+
+
+def test_odd_calls():
+    tokenizer = Tokenizer.from_file(PATH)
+    for texts in ([], [""], ["", ""], [" "], ["<|endoftext|>"], ["\n\t a \x0b b\x0c", ""], ["."], ["", "....."], ["a" * 5000, "x" + "." * 5000]):
+        ids = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in WordEncoder(PATH).encode([t.encode() for t in texts])] == ids
+
+
 def test_weighted_and_heavy_sources_are_not_folded(spark):
     """300 light sources, a heavy one and two with weights, one of them named as a shared queue."""
     rows = [(i, "some plain words of text " * 4, f"site{i}") for i in range(300)]
